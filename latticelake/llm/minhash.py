@@ -163,24 +163,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     direct = short.withColumnRenamed("rep", "b").join(other, "v").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other"))).select("a", "b").distinct()
 
     # Long lists: only members that share enough of what sets them apart from the hub.
-    long = rest.where((F.col("length") > SHORT_LIST) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"), "component").distinct()
+    # Hubs that links have joined stand for each other: the one with most members takes over the lists of its component.
+    long = rest.where(F.col("length") > SHORT_LIST).select("hub", "rep", "component").distinct()
+    hub = long.groupBy("hub").agg(F.count("*").alias("m")).join(label.withColumnRenamed("node", "hub"), "hub", "left").select("hub", "m", F.coalesce("component", "hub").alias("of"))
+    top = hub.groupBy("of").agg(F.max(F.struct("m", (-F.col("hub")).alias("neg"))).alias("top")).select("of", (-F.col("top.neg")).alias("a"))
+    long = long.join(hub.join(top, "of").select("hub", "a"), "hub").where("rep <> a").select("a", F.col("rep").alias("b"), "component").distinct()
     apart = long.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
-    long = long.join(apart, "a", "left_semi")
+    long = written(long.join(apart, "a", "left_semi"), "lists-long")
     told = _compared(long.select("a", "b"), sets, percent, differences=True).join(long, ["a", "b"])
     weight = 100 * F.col("lacks") + percent * F.col("adds")
-    slack = (100 - percent) * F.col("size")
-    told = written(told.withColumn("weight", weight).withColumn("outside", weight > slack), "differences")
-    # Shared differences o of a pair x, y must satisfy (100 + percent) * o >= weight_x + weight_y - slack.
-    least = F.when(F.col("outside"), F.ceil((F.col("weight") - slack) / (100 + percent))).otherwise(F.floor(F.col("weight") / (100 + percent)) + 1)
-    items = told.select("a", "b", "component", "outside", F.size("items").alias("size"), least.alias("need"), F.explode("items").alias("e"))
-    seen = items.groupBy("a", "e").agg(F.count("*").alias("df"), F.max("outside").alias("any")).where("df > 1")
-    places = (F.col("size") - F.greatest(F.col("need"), F.lit(1)) + 1 - (F.col("size") - F.size("held"))).cast("int")
-    short_of = (items.join(seen, ["a", "e"]).groupBy("a", "b", "component", "outside", "size", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
-                .withColumn("places", places).where("places > 0").select("a", "b", "component", "outside", F.explode(F.slice("held", F.lit(1), F.col("places"))).alias("x"))
-                .select("a", "b", "component", "outside", F.col("x.e").alias("e")))
+    told = written(told.withColumn("weight", weight).withColumn("slack", (100 - percent) * F.col("size")).withColumn("outside", F.col("weight") > F.col("slack")), "differences")
+    # The differences that x and y share, o, must satisfy (100 + percent) * o >= weight_x + weight_y - slack, where a member
+    # is outside if its weight is above the slack. So o > weight / (100 + percent) for each of two outside members and for an
+    # inside one that an outside one links to; an outside one has only the weaker bound towards an inside one.
+    strict = F.floor(F.col("weight") / (100 + percent)) + 1
+    loose = F.when(F.col("outside"), F.greatest(F.lit(1), F.ceil((F.col("weight") - F.col("slack")) / (100 + percent)))).otherwise(strict)
+    items = told.select("a", "b", "component", "outside", F.size("items").alias("size"), strict.alias("strict"), loose.alias("loose"), (F.col("size") - F.col("lacks") + F.col("adds")).alias("n"), F.explode("items").alias("e"))
+    seen = items.groupBy("a", "e").agg(F.count("*").alias("df"), F.max("outside").alias("any")).where("df > 1 and any")
+    alone = F.col("size") - F.size("held")
+    short_of = (items.join(seen, ["a", "e"]).groupBy("a", "b", "component", "outside", "n", "size", "strict", "loose").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
+                .withColumn("places", (F.col("size") - F.col("loose") + 1 - alone).cast("int")).withColumn("near", F.col("size") - F.col("strict") + 1 - alone).where("places > 0")
+                .select("a", "b", "component", "outside", "n", "near", F.posexplode(F.slice("held", F.lit(1), F.col("places"))).alias("pos", "x"))
+                .select("a", "b", "component", "outside", "n", (F.col("pos") < F.col("near")).alias("strict"), F.col("x.e").alias("e")))
     short_of = written(short_of, "differences-rare")
-    left = short_of.where("outside").select("a", "e", F.col("b").alias("x"), F.col("component").alias("cx"))
-    hidden = left.join(short_of, ["a", "e"]).where(F.col("cx") != F.col("component")).select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    left = short_of.where("outside").select("a", "e", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("strict").alias("sx"))
+    meets = ~F.col("outside") | (F.col("sx") & F.col("strict") & (F.col("x") < F.col("b")))
+    alike = 100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")
+    hidden = left.join(short_of, ["a", "e"]).where((F.col("cx") != F.col("component")) & meets & alike).select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
 
     more = _compared(_may_link(direct.unionByName(hidden).distinct(), reps, k, percent), sets, percent)
     joined = label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(written(more, "links-more"))
