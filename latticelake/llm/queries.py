@@ -5,18 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality
+from . import bpe, chat, minhash, packing, quality, secrets
 
+#: SQL twins, where DuckDB can express the result on whole tables.
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file as installed on the driver and every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    place = F.array(*(F.lit(k) for k in secrets.KINDS))
+    order = lambda x: F.struct(x["start"], F.array_position(place, x["kind"]), x["end"], x["kind"].alias("kind"))
+    text = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, order)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "class_js", "word_js")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op7_quality_rules)}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_trees(chat.from_turns(rows.unionByName(own))))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_secret_scans, op7_quality_rules, op9_chat_formatting, op10_byte_bpe)}
