@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, minhash, packing, quality, secrets
+from . import bpe, chat, lattice, minhash, packing, quality, repeats, secrets
 
 #: SQL twins, where DuckDB can express the result on whole tables.
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "class_js", "word_js")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -57,4 +62,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op7_quality_rules, op9_chat_formatting, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe)}
