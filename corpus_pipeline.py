@@ -1,8 +1,78 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality rules, near-duplicates, repeated strings, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs. All but the last keep the columns of documents. SQL can't
+express the stages, so ORACLE_SQL is None and tests compare the result with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticelake.llm import minhash, packing, quality, repeats, secrets
+from latticelake.llm.common import written
+from latticelake.llm.queries import vocabulary
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    good = quality.judge(docs).where("kept").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, similarity 0.8); rows that repeat an id count once."""
+    first = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes or more that occurred earlier are cut out; documents of which nothing but white space is left go.
+
+    A character of which a cut takes only some bytes goes as a whole.
+    """
+    left = repeats.without_repeats(docs, length=100).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.expr("try_validate_utf8(cast(kept as string))").alias("_whole"), "kept").dropDuplicates(["_id"])
+
+    @F.pandas_udf("string")
+    def decoded(kept):
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    left = left.withColumn("_text", F.coalesce("_whole", decoded("kept"))).select("_id", "_text")
+    cut = docs.join(left, docs["doc_id"] == left["_id"], "left")
+    text = F.coalesce("_text", "text")
+    out = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.where("_id is null or length(trim(text)) > 0").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4,096 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("quality rules", keep_good_quality),
+    ("MinHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", remove_repeats),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i}")
+    return docs

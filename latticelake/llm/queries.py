@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, minhash, packing, quality, repeats, secrets
+from . import bpe, chat, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide
 
 #: SQL twins, where DuckDB can express the result on whole tables.
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,15 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = siteguide.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "class_js", "word_js")
@@ -62,4 +71,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe)}
