@@ -45,8 +45,8 @@ def sampled(texts: list[bytes], length: int):
     buf = np.frombuffer(b"".join(texts[i] for i in keep), dtype=np.uint8)
     n, k = len(buf), length - GRAM + 1
     h = Hasher(buf)
-    at = np.arange(n - GRAM + 1)
-    gram = h.ranges(at, at + GRAM)
+    gram = h.grams(GRAM)
+    at = np.arange(len(gram))
     bits = U(max(1, int(n).bit_length()))
     low = _sliding_min((gram >> bits << bits) | at.astype(U), k)
     edge = np.cumsum([0] + [len(texts[i]) for i in keep])
@@ -66,7 +66,7 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             texts = texts_of(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, 1_000_000):
                 at, start, g, c = sampled(texts[i:j], length)
                 # many contexts of one gram: it is repeated for certain, so its rows needn't meet; one of them still goes with the rest
                 order = np.lexsort((c, g))

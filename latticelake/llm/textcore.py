@@ -33,8 +33,7 @@ def powers(n: int, way: str = "up") -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
-    x = x.astype(U, copy=True)
-    x ^= x >> U(30)
+    x = x ^ (x >> U(30))
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
@@ -54,6 +53,12 @@ class Hasher:
         return mix((self.sums[end] - self.sums[start]) * powers(len(self.sums), "down")[start])
 
 
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of the k bytes from each place on."""
+        n = len(self.sums) - k
+        return mix((self.sums[k:] - self.sums[:-k]) * powers(n, "down"))
+
+
 class Words:
     """The words of some texts: start, end (bytes in buf), doc (index of the text), hash."""
 
