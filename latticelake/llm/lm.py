@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,10 +191,10 @@ def trained(spark, sums: np.ndarray, head: np.ndarray, rounds: int = ROUNDS, par
         at = np.flatnonzero(own)
         rows.append((np.full(len(at), kind), at, own[at]))
     kind, i, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-    import pandas as pd
-
+    if not len(i):
+        return model
     table = written(spark.createDataFrame(pd.DataFrame({"part": np.arange(len(i)) % parts, "kind": kind, "i": i, "n": n})).repartition(parts, "part"), "contexts")
-    for _ in range(rounds if len(i) else 0):
+    for _ in range(rounds):
         now = model
 
         def run(batches, now=now):

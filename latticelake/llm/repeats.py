@@ -60,7 +60,7 @@ def sampled(texts: list[bytes], length: int):
 
 
 def positions(docs: DataFrame, length: int) -> DataFrame:
-    """(g, c, spread, doc_id, start): sampled positions with the ranks of their gram and context."""
+    """(g, c, spread, doc_id, start, sure): sampled positions with the ranks of their gram and context; sure if the gram is repeated for certain."""
 
     def run(batches):
         for b in batches:
@@ -81,10 +81,12 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                 first[1:] = gs[1:] != gs[:-1]
                 spread = np.zeros(len(gs), dtype=np.int64)
                 spread[order] = np.where(hot & ~first, (cs >> U(8)).astype(np.int64) | 1, 0)
+                sure = np.zeros(len(gs), dtype=bool)
+                sure[order] = hot
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(spread), pa.array(ids[i:j][at].astype(np.int64)), pa.array(start)], names=["g", "c", "spread", "doc_id", "start"])
+                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(spread), pa.array(ids[i:j][at].astype(np.int64)), pa.array(start), pa.array(sure)], names=["g", "c", "spread", "doc_id", "start", "sure"])
 
-    return docs.mapInArrow(run, "g long, c long, spread long, doc_id long, start long")
+    return docs.mapInArrow(run, "g long, c long, spread long, doc_id long, start long, sure boolean")
 
 
 def _by_group(batches, key: list[int], work):
@@ -106,7 +108,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """(doc_id, start, g, done): repeated positions; done if an earlier position has the same context."""
 
     def work(b):
-        g, c, spread, doc, start = (np.asarray(x) for x in b.columns)
+        g, c, spread, doc, start, sure = (np.asarray(x) for x in b.columns)
         new_g = np.ones(len(g), dtype=bool)
         new_g[1:] = (g[1:] != g[:-1]) | (spread[1:] != spread[:-1])
         new_c = new_g.copy()
@@ -115,7 +117,7 @@ def judged(rows: DataFrame) -> DataFrame:
         kinds = np.bincount(group[new_c])
         lead = np.maximum.accumulate(np.where(new_c, np.arange(len(g)), 0))
         done = (doc != doc[lead]) | (start != start[lead])
-        active = ~done & ((kinds[group] > 1) | (spread != 0))
+        active = ~done & ((kinds[group] > 1) | sure)
         keep = done | active
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, g)] + [pa.array(done[keep])], names=["doc_id", "start", "g", "done"])
 
