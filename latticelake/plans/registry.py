@@ -338,10 +338,10 @@ def _(t):
 
 
 @query("g2_fractional", """with f as (select a.struct_id, a.atom_idx, a.number, x, y, z, l.*, a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31) as det from b_atoms a join b_lattices l on a.struct_id = l.struct_id)
-  select struct_id, atom_idx, number, round((x * (a22 * a33 - a23 * a32) + y * (a23 * a31 - a21 * a33) + z * (a21 * a32 - a22 * a31)) / det, 6) + 0.0 as fx, round((x * (a13 * a32 - a12 * a33) + y * (a11 * a33 - a13 * a31) + z * (a12 * a31 - a11 * a32)) / det, 6) + 0.0 as fy,
-  round((x * (a12 * a23 - a13 * a22) + y * (a13 * a21 - a11 * a23) + z * (a11 * a22 - a12 * a21)) / det, 6) + 0.0 as fz from f""")
+  select struct_id, atom_idx, number, round((x * (a22 * a33 - a23 * a32) + y * (a23 * a31 - a21 * a33) + z * (a21 * a32 - a22 * a31)) / det + 1e-9, 5) + 0.0 as fx, round((x * (a13 * a32 - a12 * a33) + y * (a11 * a33 - a13 * a31) + z * (a12 * a31 - a11 * a32)) / det + 1e-9, 5) + 0.0 as fy,
+  round((x * (a12 * a23 - a13 * a22) + y * (a13 * a21 - a11 * a23) + z * (a11 * a22 - a12 * a21)) / det + 1e-9, 5) + 0.0 as fz from f""")
 def _(t):
-    return G.fractional(t.b_atoms, t.b_lattices).select("struct_id", "atom_idx", "number", *((F.round(c, 6) + 0.0).alias(c) for c in ("fx", "fy", "fz")))
+    return G.fractional(t.b_atoms, t.b_lattices).select("struct_id", "atom_idx", "number", *((F.round(F.col(c) + 1e-9, 5) + 0.0).alias(c) for c in ("fx", "fy", "fz")))
 
 
 BANDS_SQL = "select vec_id as run_id, list_transform(generate_series(0, 3), lambda b: list_transform(generate_series(1, 16), lambda k: cast(embedding[b * 16 + k] as double) + [-0.6, -0.2, 0.25, 0.6][b + 1])) as s from embeddings"
