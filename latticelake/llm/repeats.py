@@ -66,7 +66,7 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             texts = texts_of(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in chunks(texts, 1_000_000):
+            for i, j in chunks(texts, 500_000):
                 at, start, g, c = sampled(texts[i:j], length)
                 # many contexts of one gram: it is repeated for certain, so its rows needn't meet; one of them still goes with the rest
                 order = np.lexsort((c, g))
@@ -234,14 +234,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and give repeated rows. Rows with a null id keep all their bytes. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 1024)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     marks = written(judged(positions(source.where("doc_id is not null"), length)), "positions")
     active = marks.where("not done").select("doc_id", "start", "g").distinct()
     crowd = active.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("g", F.lit(True).alias("many"))
     active = active.join(crowd, "g", "left").select("doc_id", "start", "g", F.coalesce("many", F.lit(False)).alias("hot"))
     squeezed = _squeezed(source)
-    ends = written(later_windows(contexts(squeezed, active, length), length), "spans")
+    around = written(contexts(squeezed, active, length), "contexts")
+    ends = written(later_windows(around, length), "spans")
     spans = ends.unionByName(marks.where("done").select("doc_id", F.greatest(F.lit(0), F.col("start") - (length - GRAM)).alias("low"), (F.col("start") + length).alias("high")))
     lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
