@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, small_batches, texts_of, written
-from .textcore import Hasher, U
+from .textcore import Hasher, U, mix
 
 GRAM = 24
 #: Contexts of one gram that a map task sends under the gram alone; more are spread by their hash.
@@ -60,7 +60,7 @@ def sampled(texts: list[bytes], length: int):
 
 
 def positions(docs: DataFrame, length: int) -> DataFrame:
-    """(g, c, spread, doc_id, start, sure): sampled positions with the ranks of their gram and context; sure if the gram is repeated for certain."""
+    """(g, c, spread, doc_id, start, sure, late): sampled positions with the ranks of their gram and context; sure if the gram is repeated for certain, late if an earlier twin was seen."""
 
     def run(batches):
         for b in batches:
@@ -69,7 +69,8 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
             for i, j in chunks(texts, 500_000):
                 at, start, g, c = sampled(texts[i:j], length)
                 # many contexts of one gram: it is repeated for certain, so its rows needn't meet; one of them still goes with the rest
-                order = np.lexsort((c, g))
+                doc = ids[i:j][at].astype(np.int64)
+                order = np.lexsort((start, doc, c, g))
                 gs, cs = g[order], c[order]
                 new = np.ones(len(gs), dtype=bool)
                 new[1:] = (gs[1:] != gs[:-1]) | (cs[1:] != cs[:-1])
@@ -81,12 +82,17 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                 first[1:] = gs[1:] != gs[:-1]
                 spread = np.zeros(len(gs), dtype=np.int64)
                 spread[order] = np.where(hot & ~first, (cs >> U(8)).astype(np.int64) | 1, 0)
-                sure = np.zeros(len(gs), dtype=bool)
+                sure, late = np.zeros(len(gs), dtype=bool), np.zeros(len(gs), dtype=bool)
                 sure[order] = hot
+                # a position that has an earlier twin here is settled, and goes anywhere
+                if len(gs):
+                    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(gs)), 0))]
+                    late[order] = (doc[order] != doc[lead]) | (start[order] != start[lead])  # the same place twice: a repeated row
+                spread[late] = mix((doc * 1_000_003 + start)[late].view(U)).view(np.int64) | 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(spread), pa.array(ids[i:j][at].astype(np.int64)), pa.array(start), pa.array(sure)], names=["g", "c", "spread", "doc_id", "start", "sure"])
+                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(spread), pa.array(doc), pa.array(start), pa.array(sure), pa.array(late)], names=["g", "c", "spread", "doc_id", "start", "sure", "late"])
 
-    return docs.mapInArrow(run, "g long, c long, spread long, doc_id long, start long, sure boolean")
+    return docs.mapInArrow(run, "g long, c long, spread long, doc_id long, start long, sure boolean, late boolean")
 
 
 def _by_group(batches, key: list[int], work):
@@ -108,7 +114,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """(doc_id, start, g, done): repeated positions; done if an earlier position has the same context."""
 
     def work(b):
-        g, c, spread, doc, start, sure = (np.asarray(x) for x in b.columns)
+        g, c, spread, doc, start, sure, late = (np.asarray(x) for x in b.columns)
         new_g = np.ones(len(g), dtype=bool)
         new_g[1:] = (g[1:] != g[:-1]) | (spread[1:] != spread[:-1])
         new_c = new_g.copy()
@@ -116,7 +122,7 @@ def judged(rows: DataFrame) -> DataFrame:
         group = np.cumsum(new_g) - 1
         kinds = np.bincount(group[new_c])
         lead = np.maximum.accumulate(np.where(new_c, np.arange(len(g)), 0))
-        done = (doc != doc[lead]) | (start != start[lead])
+        done = (doc != doc[lead]) | (start != start[lead]) | late
         active = ~done & ((kinds[group] > 1) | sure)
         keep = done | active
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, g)] + [pa.array(done[keep])], names=["doc_id", "start", "g", "done"])
