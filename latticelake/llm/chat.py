@@ -8,6 +8,7 @@ ranked by the sum of their messages' scores, and each chosen one becomes one con
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,32 +35,47 @@ def unescape(text: str) -> str:
 
 
 def leaves(nodes: DataFrame, branches: int | None) -> tuple[list[DataFrame], DataFrame]:
-    """The jump tables (tree_id, node_id, up, distance 2**k) and the chosen leaves (tree_id, leaf_id, length, score, rank)."""
-    at = written(nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n")), "jump")
-    jumps = []
+    """The jump tables (tree_id, node_id, up, distance 2**k) and the chosen leaves (tree_id, leaf_id, length, score, rank).
+
+    A tree of m messages has no path of more than m, so its rows leave the doubling at a distance of m.
+    """
+    sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("m"))
+    at = nodes.join(sizes, "tree_id").select("tree_id", "node_id", F.col("parent_id").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n"), "m")
+    at = written(at, "jump")
+    jumps, ends = [], []
     while True:
         # sum and n cover the messages from node_id up to, but without, `up`.
         jumps.append(at.where("up is not null").select("tree_id", "node_id", "up"))
-        if not jumps[-1].take(1):
+        far = 2 ** (len(jumps) - 1)
+        ends.append(at.where(F.col("m") <= far))
+        rest = at.where(F.col("m") > far)
+        if not rest.take(1):
             break
-        if len(jumps) > 40:
-            raise ValueError("parent links form a cycle")
-        above = at.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"), F.col("n").alias("m"))
-        at = written(at.join(above, ["tree_id", "up"], "left").select("tree_id", "node_id", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "jump")
+        above = rest.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"), F.col("n").alias("k"))
+        at = rest.join(above, ["tree_id", "up"], "left").select(
+            "tree_id", "node_id", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("k", F.lit(0))).alias("n"), "m")
+        at = written(at, "jump")
+    done = reduce(DataFrame.unionByName, ends)
+    if done.where("up is not null").take(1):
+        raise ValueError("parent links form a cycle")
     parents = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    ends = at.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), F.col("n").alias("length"), F.col("sum").alias("score"))
-    ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")))
+    tips = done.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), F.col("n").alias("length"), F.col("sum").alias("score"))
+    ranked = tips.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")))
     return jumps, ranked if branches is None else ranked.where(F.col("rank") <= branches)
 
 
 def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
-    """(tree_id, leaf_id, rank, score, node_id, place) of every message on the chosen root-to-leaf paths; place counts from the root."""
+    """(tree_id, leaf_id, rank, score, node_id, place) of every message on the chosen root-to-leaf paths; place counts from the root.
+
+    Each jump table adds the messages that lie its distance above those found so far; each
+    addition is written, so that the plan stays as long as the number of tables.
+    """
     jumps, chosen = leaves(nodes, branches)
-    chosen = written(chosen, "leaves")
-    on = chosen.select("tree_id", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("below"))
+    found = [written(chosen.select("tree_id", "leaf_id", "rank", "score", F.col("leaf_id").alias("node_id"), (F.col("length") - 1).alias("place")), "path")]
     for k in reversed(range(len(jumps))):
-        on = on.unionByName(on.join(jumps[k], ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("below") + 2**k).alias("below")))
-    return on.join(chosen, ["tree_id", "leaf_id"]).select("tree_id", "leaf_id", "rank", "score", "node_id", (F.col("length") - 1 - F.col("below")).alias("place"))
+        so_far = reduce(DataFrame.unionByName, found)
+        found.append(written(so_far.join(jumps[k], ["tree_id", "node_id"]).select("tree_id", "leaf_id", "rank", "score", F.col("up").alias("node_id"), (F.col("place") - 2**k).alias("place")), "path"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def format_trees(nodes: DataFrame, branches: int | None = None, learn_role: str = "assistant") -> DataFrame:
@@ -71,8 +87,12 @@ def format_trees(nodes: DataFrame, branches: int | None = None, learn_role: str
     scores count as empty and 0. loss_spans are the character ranges [start, end) of formatted
     that hold the texts of learn_role. Other columns are ignored.
     """
-    present = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
-    linked = nodes.join(present, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).select("tree_id", "node_id", "parent_id", "score")
+    # Texts are dealt by tree once: the join below and the grouping after it keep that partitioning.
+    nodes.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    links = written(nodes.select("tree_id", "node_id", "parent_id", "score"), "links")
+    present = links.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
+    linked = links.join(present, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).select("tree_id", "node_id", "parent_id", "score")
+    linked = written(linked, "links")
     says = nodes.select("tree_id", "node_id", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("role") == learn_role, F.lit(False)).alias("learn"))
     turns = (paths(linked, branches).join(says, ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id", "rank", "score")
              .agg(F.array_sort(F.collect_list(F.struct("place", "role", "text", "learn"))).alias("turns")))
@@ -96,10 +116,11 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def from_turns(rows: DataFrame) -> DataFrame:
     """Nodes of linear conversations (conv_id, turn, role, text): each row replies to the one before it.
 
-    Rows with equal turns follow each other by role and text; repeated rows stay. A null turn comes first.
+    Rows with equal turns follow each other by role, then by a hash of the text; repeated rows
+    stay. A null turn comes first.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.select(F.col("conv_id").alias("tree_id"), F.row_number().over(w).cast("long").alias("node_id"), "role", "text").select(
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "tie")
+    return rows.withColumn("tie", F.xxhash64("text")).select(F.col("conv_id").alias("tree_id"), F.row_number().over(w).cast("long").alias("node_id"), "role", "text").select(
         "tree_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
