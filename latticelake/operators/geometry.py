@@ -151,3 +151,9 @@ def to_cif(atoms: DataFrame, lattices: DataFrame, elements: DataFrame) -> DataFr
     head = [F.concat(F.lit(k + " "), F.format_string("%2.6f", v)) for k, v in (("_cell_length_a", "a"), ("_cell_length_b", "b"), ("_cell_length_c", "c"), ("_cell_angle_alpha", "alpha"), ("_cell_angle_beta", "beta"), ("_cell_angle_gamma", "gamma"))]
     loop = "_symmetry_space_group_name_H-M 'P1'\nloop_\n_symmetry_equiv_pos_as_xyz\nx,y,z\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z"
     return sites.join(cell_parameters(lattices), "struct_id").select("struct_id", F.concat_ws("\n", F.concat(F.lit("data_"), F.col("struct_id")), *head, F.lit(loop), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("cif"))
+
+
+def is_isolated(pairs: Column, periodicity: Column, cell_volume: Column, radius: Column, most: float = 100.0) -> Column:
+    """Whether a run is one single atom, alone in space: without periods, or in a cell of more than `most` volumes a radius."""
+    single = (F.size(pairs) == 1) & (pairs[0]["count"].cast("int") == 1)
+    return F.coalesce(single & ((periodicity == 0) | (cell_volume / radius > most)), F.lit(False))

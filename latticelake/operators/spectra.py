@@ -71,3 +71,21 @@ def band_path(kpoints: DataFrame, mode: str = "sum") -> DataFrame:
 def phonon_cartesian(vectors: Column, cell: list[Column]) -> Column:
     """Each triple of an eigenvector times the cell (three array columns), three decimals."""
     return F.transform(vectors, lambda v: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.round(sum((v[i] * cell[i][j] for i in range(3)), F.lit(0.0)), 3)))
+
+
+def spectra_points(spectra: DataFrame) -> DataFrame:
+    """(run_id, series, i, x, y) of precomputed spectra (run_id, x, values: map of series to numbers, the total among them)."""
+    rows = spectra.select("run_id", "x", F.explode("values").alias("series", "v"))
+    return rows.select("run_id", "series", F.posexplode(F.arrays_zip("x", "v")).alias("i", "p")).select("run_id", "series", "i", F.col("p.x").alias("x"), F.col("p.v").alias("y"))
+
+
+def phonon_listing(phonons: DataFrame) -> DataFrame:
+    """(run_id, kpoint, mode, frequency, irrep, ir, raman) of (run_id, modes, irreps: maps by k-point, ir_active, raman_active).
+
+    A missing irrep is ?; IR and Raman activity belong to the k-point 0 0 0 and are null elsewhere.
+    """
+    rows = phonons.select("run_id", "irreps", "ir_active", "raman_active", F.explode("modes").alias("kpoint", "freqs")).select("*", F.posexplode("freqs").alias("mode", "frequency"))
+    at = lambda c: F.get(c, F.col("mode"))
+    center = lambda c: F.when(F.col("kpoint") == "0 0 0", at(c))
+    irrep = F.coalesce(at(F.try_element_at("irreps", F.col("kpoint"))), F.lit("?"))
+    return rows.select("run_id", "kpoint", "mode", "frequency", irrep.alias("irrep"), center(F.col("ir_active")).alias("ir"), center(F.col("raman_active")).alias("raman"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import functionals as XC
+from ..functions import keys as K
 from ..functions import scalars as S
 from ..operators import facets as FA
 from ..operators import geometry as G
@@ -618,3 +620,42 @@ def _(t):
 @query("snk2_to_cif")
 def _(t):
     return G.to_cif(t.b_atoms, t.b_lattices, elements(t.spark))
+
+
+XC_TEXTS = ["PBE ( 1 4 3 4 0 0)", "SLA PW PBX PBC (1 4 3 4)", "'sla-pw' xx", "SLA+PW+HSE+PBE", "sla+pw+none+pbc"]
+
+
+@query("j11_xc_lookup", "select p_partkey, case p_partkey % 5 when 0 then 'PBE' when 1 then 'PBE' when 2 then 'sla-pw''+xx' when 3 then 'HSE06' else 'sla+pw+none+pbc' end as name, case p_partkey % 5 when 0 then '2' when 1 then '2' when 3 then '2,4' else '' end as types from part")
+def _(t):
+    x = XC.xc_lookup(F.element_at(F.array(*map(F.lit, XC_TEXTS)), (F.col("p_partkey") % 5 + 1).cast("int")))
+    return t.part.select("p_partkey", x.alias("x")).select("p_partkey", "x.name", F.array_join("x.types", ",").alias("types"))
+
+
+@query("h7_run_key")
+def _(t):
+    runs = t.b_energies.select("checksum", F.col("total").alias("energy"), F.lit("prog").alias("prog"), F.lit(None).cast("string").alias("given"), F.array(F.lit(1)).alias("codes"))
+    return K.run_keys(runs, t.b_structures, t.b_lattices, t.b_atoms)
+
+
+@query("g11_spectra_points", "select vec_id as run_id, s.k as series, cast(i - 1 as int) as i, cast(i - 1 as double) as x, cast(embedding[i + s.o] as double) as y from embeddings, (values ('total', 0), ('part', 32)) s(k, o), generate_series(1, 32) as g(i)")
+def _(t):
+    e = F.col("embedding").cast("array<double>")
+    x = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i.cast("double"))
+    return SP.spectra_points(t.embeddings.select(F.col("vec_id").alias("run_id"), x.alias("x"), F.create_map(F.lit("total"), F.slice(e, 1, 32), F.lit("part"), F.slice(e, 33, 32)).alias("values")))
+
+
+@query("g12_phonon_listing", """select vec_id as run_id, s.k as kpoint, cast(i - 1 as int) as mode, cast(embedding[i + s.o] as double) as frequency, case when s.o = 0 and i = 1 then 'A1' else '?' end as irrep,
+  case when s.o = 0 then i % 2 = 1 end as ir, case when s.o = 0 then i % 2 = 0 end as raman from embeddings, (values ('0 0 0', 0), ('1 0 0', 8)) s(k, o), generate_series(1, 8) as g(i)""")
+def _(t):
+    e = F.col("embedding").cast("array<double>")
+    flags = lambda r: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i % 2 == r)
+    modes, irreps = F.create_map(F.lit("0 0 0"), F.slice(e, 1, 8), F.lit("1 0 0"), F.slice(e, 9, 8)), F.create_map(F.lit("0 0 0"), F.array(F.lit("A1")))
+    return SP.phonon_listing(t.embeddings.select(F.col("vec_id").alias("run_id"), modes.alias("modes"), irreps.alias("irreps"), flags(0).alias("ir_active"), flags(1).alias("raman_active")))
+
+
+@query("c5_isolated_atom", f"select c.struct_id, natom = 1 and v / r > 100 as isolated from (select a.struct_id, count(*) as natom, min(e.radius) as r from b_atoms a join {ELEMENT_ROWS} on e.number = a.number group by 1) c join (select struct_id, {DET} as v from b_lattices) l using (struct_id)")
+def _(t):
+    named = t.b_atoms.join(F.broadcast(elements(t.spark)), "number").groupBy("struct_id").agg(F.collect_list("symbol").alias("symbols"), F.min("radius").alias("radius"))
+    cells = t.b_lattices.select("struct_id", G.volume().alias("v"))
+    alone = G.is_isolated(S.parse_formula(S.standard_formula(F.col("symbols"))), F.lit(3), F.col("v"), F.col("radius"))
+    return named.join(cells, "struct_id").select("struct_id", alone.alias("isolated"))
