@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = rest.where(F.col("length") > SHORT_LIST).select("hub", "rep", "component").distinct()
     hub = long.groupBy("hub").agg(F.count("*").alias("m")).join(label.withColumnRenamed("node", "hub"), "hub", "left").select("hub", "m", F.coalesce("component", "hub").alias("of"))
     top = hub.groupBy("of").agg(F.max(F.struct("m", (-F.col("hub")).alias("neg"))).alias("top")).select("of", (-F.col("top.neg")).alias("a"))
-    long = long.join(hub.join(top, "of").select("hub", "a"), "hub").where("rep <> a").select("a", F.col("rep").alias("b"), "component").distinct()
+    long = long.join(hub.join(top, "of").select("hub", "a", "of"), "hub").where("rep <> a").select("a", "of", F.col("rep").alias("b"), "component").distinct()
     apart = long.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
     long = written(long.join(apart, "a", "left_semi"), "lists-long")
     told = _compared(long.select("a", "b"), sets, percent, differences=True).join(long, ["a", "b"])
@@ -191,8 +191,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = 100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")
     hidden = left.join(short_of, ["a", "e"]).where((F.col("cx") != F.col("component")) & meets & alike).select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
 
+    # A member that is not outside links to a, which its list may not have compared it with.
+    taken = told.where(~F.col("outside") & (F.col("component") != F.col("of"))).select("a", "b")
+
     more = _compared(_may_link(direct.unionByName(hidden).distinct(), reps, k, percent), sets, percent)
-    joined = label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(written(more, "links-more"))
+    joined = label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(written(more, "links-more")).unionByName(taken)
     label = connected_components(joined)
 
     found = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))

@@ -89,6 +89,28 @@ def test_minhash_large_groups(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=4).collect()} == components({d: shingles(t, 4) for d, t in rows}, 80)
 
 
+def test_minhash_hub_of_several_groups(spark):
+    """A document with quotes of two other groups takes over the lists of its component, though members of its own group met another hub only."""
+    g = np.random.default_rng(2)
+    new = lambda n: [f"n{x}" for x in g.integers(10**12, size=n)]
+    cut = lambda w, at, n: w[:at] + w[at + n:]
+    base, quotes = new(400), [new(14) for _ in range(2)]
+    rows = [base, cut(base, 0, 48) + quotes[0] + quotes[1]]
+    for _ in range(80):
+        j = int(g.integers(385, 400))
+        rows.append(base[:j] + new(1) + base[j + 1:])
+    rows += [cut(base, 60 + int(j), 56) for j in g.permutation(280)[:60]]
+    for _ in range(20):  # linked with rows[1], not with rows[0]
+        j = int(g.integers(60, 360))
+        rows.append(cut(base[:j] + new(16) + base[j + 16:], 0, 48))
+    for q in quotes:
+        w = new(50)
+        rows += [w[:i % 50] + new(1) + w[i % 50 + 1:] + q * (i < 120) for i in range(140)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=4).collect()} == components({d: shingles(t, 4) for d, t in rows}, 80)
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
