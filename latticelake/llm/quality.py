@@ -44,8 +44,8 @@ _LISTED = _listed.hash[_order]
 N_WORDS = len(_words) + 1  # the last bin: any other word
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: A reference needs this share of all documents; so there are at most 1,000 of them.
-LEAST_SHARE = 0.001
+#: A reference of fewer words says too little: its documents are judged by the base counts alone.
+LEAST_REFERENCE = 1000
 
 
 def measured(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -112,28 +112,17 @@ def _summed(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(both)), pa.array(np.arange(len(both), dtype=np.int32)), pa.array(both.astype(np.int64))], names=["lang", "bin", "n"])
 
 
-def references(profiled: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Class and word shares by language, and over all documents under None.
+def references(profiled: DataFrame) -> DataFrame:
+    """(lang, sums): the summed classes and words of each language that has LEAST_REFERENCE words.
 
-    Only documents that pass the base counts take part. A language with less than LEAST_SHARE
-    of them has no reference of its own, so at most 1,000 times N_CLASSES + N_WORDS counts
-    reach the driver, whatever the input.
+    Only documents that pass the base counts take part. Every language has its own row, however
+    small its share of the corpus.
     """
     sums = (profiled.where(~base_failed()).select("lang", "kinds", "words").mapInArrow(_summed, "lang string, bin int, n long")
             .groupBy("lang", "bin").agg(F.sum("n").alias("n")))
-    sums = written(sums, "language-sums")
-    total = sums.groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    if not total:
-        return {}
-    n_docs = next(r.n for r in total if r.bin == 0)
-    large = sums.where((F.col("bin") == 0) & (F.col("n") >= max(1, LEAST_SHARE * n_docs))).select("lang")
-    found = {}
-    for r in sums.join(large, "lang", "left_semi").collect():
-        found.setdefault(r.lang, np.zeros(1 + N_CLASSES + N_WORDS))[r.bin] = r.n
-    found[None] = np.zeros(1 + N_CLASSES + N_WORDS)
-    for r in total:
-        found[None][r.bin] = r.n
-    return {k: (v[1:1 + N_CLASSES] / max(1, v[1:1 + N_CLASSES].sum()), v[1 + N_CLASSES:] / max(1, v[1 + N_CLASSES:].sum())) for k, v in found.items()}
+    rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("sums"))
+    n_words = F.aggregate(F.slice("sums", 2 + N_CLASSES, N_WORDS), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.where(n_words >= LEAST_REFERENCE)
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -156,24 +145,27 @@ def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, lea
     A document is rejected if it fails the base counts, if its character classes are further
     than most_class from its language's reference, or if the distances of its classes and of its
     common words together exceed most_sum. The first test needs least_chars characters in words,
-    the second least_words words: histograms of shorter texts say little. Languages that are null or rare are
-    compared with the whole corpus. Null and empty texts have zero counts and fail the base
+    the second least_words words: histograms of shorter texts say little. Null languages count as one
+    language. Documents of a language with too few words for a reference have distance 0. Null and empty texts have zero counts and fail the base
     test. Repeated rows give repeated rows; columns other than doc_id, lang and text are ignored.
     """
     small_batches(docs.sparkSession)
     profiled = written(profiles(docs), "profiles")
-    refs = references(profiled)
+    # Written, so that Spark knows its size: a small table is broadcast, a large one is shuffled with the profiles.
+    refs = written(references(profiled), "references")
 
     def run(batches):
         for b in batches:
-            langs = b.column(1).to_pylist()
-            kinds = np.array(b.column(2).flatten()).reshape(len(langs), N_CLASSES)
-            words = np.array(b.column(3).flatten()).reshape(len(langs), N_WORDS)
-            own = [refs.get(x, refs.get(None)) or (np.zeros(N_CLASSES), np.zeros(N_WORDS)) for x in langs]
-            a = js_distance(kinds, np.array([x[0] for x in own]).reshape(-1, N_CLASSES))
-            w = js_distance(words, np.array([x[1] for x in own]).reshape(-1, N_WORDS))
+            n = b.num_rows
+            kinds = np.array(b.column(1).flatten()).reshape(n, N_CLASSES)
+            words = np.array(b.column(2).flatten()).reshape(n, N_WORDS)
+            known = np.asarray(b.column(3).is_valid())
+            sums = np.array(b.column(3).drop_null().flatten()).reshape(-1, 1 + N_CLASSES + N_WORDS)[:, 1:]
+            a, w = np.zeros(n), np.zeros(n)
+            for out, counts, ref in ((a, kinds, sums[:, :N_CLASSES]), (w, words, sums[:, N_CLASSES:])):
+                out[known] = js_distance(counts[known], ref / np.maximum(ref.sum(axis=1, keepdims=True), 1))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(a), pa.array(w)], names=["doc_id", *COUNTS, "class_js", "word_js"])
 
-    scored = profiled.select("doc_id", "lang", "kinds", "words", *COUNTS).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", class_js double, word_js double")
+    scored = profiled.join(refs, "lang", "left").select("doc_id", "kinds", "words", "sums", *COUNTS).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", class_js double, word_js double")
     far = ((F.col("word_chars") >= least_chars) & (F.col("class_js") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("class_js") + F.col("word_js") > most_sum))
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)

@@ -232,6 +232,14 @@ def test_quality(docs, texts):
     assert len(rows) == docs.count() and quality.judge(empty(docs)).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    """A language's documents are judged alike in a small and in a large corpus; one with too few words for a reference is judged by the base counts."""
+    small = [(i, " ".join(f"слово{i * j * j % 1009}" for j in range(1, 301)), "ru") for i in range(1, 8)] + [(9, " ".join(f"말{j}" for j in range(80)), "ko")]
+    large = [(1000 + i, " ".join(f"the word {chr(97 + i * j % 26)}{j} of" for j in range(10)), "en") for i in range(9000)]
+    got = [{r.doc_id: (r.class_js, r.word_js, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id < 1000").collect()} for rows in (small, small + large)]
+    assert got[0] == got[1] and all(kept for _, _, kept in got[0].values())
+
+
 def test_quality_against_labels(spark, sf):
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
     judged = quality.judge(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).where("not base_failed").join(labels, "doc_id")
