@@ -26,7 +26,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 NOT_ARTICLE = re.compile(
     r"(^|[\s_-])(ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|footer|comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|pager|pagination|login|signup|search)([\s_-]|$)")
-#: A path needs this many pages of a host for a judgement of its own.
+#: A path needs this many different pages of a host for a judgement of its own.
 ENOUGH = 8
 
 
@@ -136,18 +136,24 @@ def importance(page_blocks: DataFrame) -> DataFrame:
     return own.join(every, "path")
 
 
+def different(found: DataFrame) -> DataFrame:
+    """One row of each different page of a host: copies count once in its tree."""
+    first = found.groupBy("host", "same").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("host", "same", "first")
+    return found.join(written(first, "copies"), ["host", "same"], "left").where("first is null or row = first").select("host", "blocks")
+
+
 def main_text(pages: DataFrame, least: float = 0.3, least_inside: float = 0.05) -> DataFrame:
     """(page_id, url, text) of every row; text is empty if nothing remains.
 
     Branches of the style tree below `least` importance are removed, inside an article element
-    only those below least_inside, which stand in nearly every page. A null or empty page has an
+    only those below least_inside, which stand in nearly every page. Copies of a page count once. A null or empty page has an
     empty text; pages without a host share one tree. Repeated rows give repeated rows. Other
     columns are ignored.
     """
     small_batches(pages.sparkSession)
-    found = written(parsed(pages), "blocks")
+    found = written(parsed(pages).withColumn("same", F.xxhash64("blocks")).withColumn("row", F.monotonically_increasing_id()), "blocks")
     value = F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.col("everywhere"))
-    low = importance(found).withColumn("value", value).where(F.col("value") < least).groupBy("host").agg(
+    low = importance(different(found)).withColumn("value", value).where(F.col("value") < least).groupBy("host").agg(
         F.collect_list("path").alias("low"), F.collect_list(F.when(F.col("value") < least_inside, F.col("path"))).alias("lowest"))
     # Written, so that Spark knows its size: a small table is broadcast, a large one is shuffled with the pages.
     low = written(low, "low")

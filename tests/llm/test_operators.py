@@ -219,6 +219,15 @@ def test_siteguide(spark):
     assert {r.text for r in siteguide.main_text(spark.createDataFrame(repeated, "page_id long, url string, html string")).collect()} == {f"Own text {i}" for i in range(20)}
 
 
+def test_siteguide_copies(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Text {0}</p>{1}</article></body>"
+    rows = [(i, "http://d.example.com/", page.format(0, "")) for i in range(10)]
+    rows += [(100 + i, "http://e.example.com/", page.format(i, "")) for i in range(20)] + [(200 + i, "http://e.example.com/", page.format("x", "<table><tr><td>Cell</td></tr></table>")) for i in range(10)]
+    got = {r.page_id: r.text for r in siteguide.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(10)} == {"Title 0\nText 0"}
+    assert all(got[100 + i] == f"Title {i}\nText {i}" for i in range(20)) and {got[200 + i] for i in range(10)} == {"Title x\nText x\nCell"}
+
+
 def test_quality(docs, texts):
     rows = quality.judge(docs).collect()
     for r in rows:
