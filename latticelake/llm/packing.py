@@ -145,8 +145,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
             while k >= 0 and left[large[k]] == 0:
                 k -= 1
             k = min(k, bisect_left(large, n))
+            if k >= 0 and large[k] == n and left[n] < 2:  # alone: a shorter partner, if there is one
+                k -= 1
+                while k >= 0 and left[large[k]] == 0:
+                    k -= 1
             m = large[k] if k >= 0 else None
-            if m is None or m == n and left[n] < 2:
+            if m is None:
                 put([(n, 1)], left[n], capacity - n)
                 left[n] = 0
             elif m == n:

@@ -138,6 +138,16 @@ def test_packing(docs, texts):
     assert packing.pack(empty(docs), path).count() == 0
 
 
+def test_plan_pairs_single_lengths():
+    for counts in ({2000: 1, 1900: 1, 1800: 1, 1700: 1}, {2000: 1, 1700: 3}, {2000: 2, 1900: 1}, {2000: 1}):
+        bins = packing.plan(counts, 4096)
+        assert sum(n for _, n in bins) == -(-sum(counts.values()) // 2)
+        placed = collections.Counter()
+        for content, n in bins:
+            placed.update({length: copies * n for length, copies in content})
+        assert placed == counts
+
+
 def test_lattice(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     v = rows[0][1]
