@@ -123,7 +123,8 @@ def judged(rows: DataFrame) -> DataFrame:
         kinds = np.bincount(group[new_c])
         lead = np.maximum.accumulate(np.where(new_c, np.arange(len(g)), 0))
         done = (doc != doc[lead]) | (start != start[lead]) | late
-        active = ~done & ((kinds[group] > 1) | sure)
+        # a leading row of a sure gram may itself be done; its group stays active all the same
+        active = ~done & ((kinds[group] > 1) | (np.bincount(group, sure)[group] > 0))
         keep = done | active
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, g)] + [pa.array(done[keep])], names=["doc_id", "start", "g", "done"])
 

@@ -291,6 +291,13 @@ def test_repeats(docs, texts, monkeypatch, together, spread):
     assert repeats.without_repeats(empty(docs)).count() == 0
 
 
+def test_repeats_of_a_gram_hot_in_one_batch(spark):
+    """The row that leads a hot gram has an earlier twin in another batch: the twin stays active."""
+    rows = [(1, 5, 0, 10, 0, False, False), (1, 5, 0, 20, 0, True, False), (2, 6, 0, 10, 50, False, False), (2, 6, 0, 20, 50, False, False)]
+    got = repeats.judged(spark.createDataFrame(rows, "g long, c long, spread long, doc_id long, start long, sure boolean, late boolean")).collect()
+    assert {(r.g, r.doc_id, r.done) for r in got} == {(1, 10, False), (1, 20, True), (2, 20, True)}
+
+
 def test_chat(spark):
     says = ["</s>[INST] ok [/INST]", "a\\b \\\\ <s>", "", None, "<</s>", "[/INST", "plain\n\ntext"]
     rows = [(c, t, ["system", "user", "assistant"][(t + c) % 3], says[(c + t) % len(says)]) for c in range(6) for t in range(c * 5 + 1)]
