@@ -1,12 +1,11 @@
-"""Removal of repeated byte strings, by prefix doubling over sampled positions.
-
-A position's rank names the string of some length that starts around it. The first ranks are those
-of short grams at sampled positions: of each window of the threshold's length, the gram with the
-least hash is sampled, so equal windows sample equal places. Spark sorts (rank, rank of the
-context) pairs: a gram that occurs once ends there, and a position whose whole context of window
-length to either side has an earlier twin is past the threshold. The remaining positions, those
-near the ends of repeats, are ranked by the pairs of what lies left and right of them at every
-offset, which gives all windows of exactly the threshold's length. Later ones go.
+"""Removal of repeated byte strings, by sampled grams and hashes of windows.
+
+These replace prefix doubling, which would sort every position several times: no ranks of growing
+length are built. Of each window of the threshold's length, the gram with the least hash is
+sampled, so equal windows sample equal places. Spark groups sampled positions by gram: a gram that
+occurs once ends there, and a position whose whole context of window length to either side has an
+earlier twin is past the threshold. At the remaining positions, those near the ends of repeats,
+every window of exactly the threshold's length is hashed at every offset. Later ones go.
 """
 
 from __future__ import annotations
