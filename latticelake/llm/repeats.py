@@ -1,11 +1,15 @@
-"""Removal of repeated byte strings, by sampled grams and hashes of windows.
-
-These replace prefix doubling, which would sort every position several times: no ranks of growing
-length are built. Of each window of the threshold's length, the gram with the least hash is
-sampled, so equal windows sample equal places. Spark groups sampled positions by gram: a gram that
-occurs once ends there, and a position whose whole context of window length to either side has an
-earlier twin is past the threshold. At the remaining positions, those near the ends of repeats,
-every window of exactly the threshold's length is hashed at every offset. Later ones go.
+"""Removal of repeated byte strings, by ranks of strings of growing length.
+
+A full prefix doubling ranks every byte position. Here the positions to rank are sampled so that
+equal windows sample equal places: of each window of the threshold's length, the gram with the
+least hash. The first rank of a position is its gram; positions of a gram that occurs once drop
+out. From then on a position stands for a range of windows around it, all of which hold a common
+string. Every round cuts the ranges, so that the common string grows: 24 bytes, then 62, 91, 98 and
+100 of a threshold of 100. Its new rank is that of the pair (rank so far, hash of the bytes added on
+either side): Spark counts the distinct pairs, sorts them and numbers those that occur more than
+once. A range leaves when its rank is unique, or when an earlier position has all of its windows
+too, which is then past the threshold and goes. Equal ranges are collapsed into one row with
+their earliest place before every round, so no group of copies multiplies, whatever its size.
 """
 
 from __future__ import annotations
@@ -13,17 +17,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, small_batches, texts_of, written
-from .textcore import Hasher, U, mix
+from .common import chunks, discard, small_batches, texts_of, written
+from .textcore import PLACES, Hasher, U, mix
 
 GRAM = 24
 #: Contexts of one gram that a map task sends under the gram alone; more are spread by their hash.
 SPREAD = 32
-#: Positions of one gram that one task compares; more are compared by their windows' hashes instead.
-TOGETHER = 4096
+#: Windows in a range, round by round.
+WIDTHS = (39, 10, 3, 1)
+PLACE = ["doc_id", "version", "start"]
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -59,17 +65,17 @@ def sampled(texts: list[bytes], length: int):
 
 
 def positions(docs: DataFrame, length: int) -> DataFrame:
-    """(g, c, spread, doc_id, start, sure, late): sampled positions with the ranks of their gram and context; sure if the gram is repeated for certain, late if an earlier twin was seen."""
+    """(g, c, spread, doc_id, version, start, sure, late): sampled positions with the hashes of their gram and context; sure if the gram is repeated for certain, late if an earlier twin was seen."""
 
     def run(batches):
         for b in batches:
             texts = texts_of(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, versions = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for i, j in chunks(texts, 500_000):
                 at, start, g, c = sampled(texts[i:j], length)
                 # many contexts of one gram: it is repeated for certain, so its rows needn't meet; one of them still goes with the rest
-                doc = ids[i:j][at].astype(np.int64)
-                order = np.lexsort((start, doc, c, g))
+                doc, version = ids[i:j][at].astype(np.int64), versions[i:j][at].astype(np.int32)
+                order = np.lexsort((start, version, doc, c, g))
                 gs, cs = g[order], c[order]
                 new = np.ones(len(gs), dtype=bool)
                 new[1:] = (gs[1:] != gs[:-1]) | (cs[1:] != cs[:-1])
@@ -86,12 +92,12 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                 # a position that has an earlier twin here is settled, and goes anywhere
                 if len(gs):
                     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(gs)), 0))]
-                    late[order] = (doc[order] != doc[lead]) | (start[order] != start[lead])  # the same place twice: a repeated row
+                    late[order] = (doc[order] != doc[lead]) | (version[order] != version[lead]) | (start[order] != start[lead])  # the same place twice: a repeated row
                 spread[late] = mix((doc * 1_000_003 + start)[late].view(U)).view(np.int64) | 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(spread), pa.array(doc), pa.array(start), pa.array(sure), pa.array(late)], names=["g", "c", "spread", "doc_id", "start", "sure", "late"])
+                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(spread), pa.array(doc), pa.array(version), pa.array(start), pa.array(sure), pa.array(late)], names=["g", "c", "spread", *PLACE, "sure", "late"])
 
-    return docs.mapInArrow(run, "g long, c long, spread long, doc_id long, start long, sure boolean, late boolean")
+    return docs.mapInArrow(run, "g long, c long, spread long, doc_id long, version int, start long, sure boolean, late boolean")
 
 
 def _by_group(batches, key: list[int], work):
@@ -110,10 +116,10 @@ def _by_group(batches, key: list[int], work):
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, g, done): repeated positions; done if an earlier position has the same context."""
+    """(doc_id, version, start, g, done): positions of repeated grams; done if an earlier position has the same context."""
 
     def work(b):
-        g, c, spread, doc, start, sure, late = (np.asarray(x) for x in b.columns)
+        g, c, spread, doc, version, start, sure, late = (np.asarray(x) for x in b.columns)
         new_g = np.ones(len(g), dtype=bool)
         new_g[1:] = (g[1:] != g[:-1]) | (spread[1:] != spread[:-1])
         new_c = new_g.copy()
@@ -121,97 +127,115 @@ def judged(rows: DataFrame) -> DataFrame:
         group = np.cumsum(new_g) - 1
         kinds = np.bincount(group[new_c])
         lead = np.maximum.accumulate(np.where(new_c, np.arange(len(g)), 0))
-        done = (doc != doc[lead]) | (start != start[lead]) | late
+        done = (doc != doc[lead]) | (version != version[lead]) | (start != start[lead]) | late
         # a leading row of a sure gram may itself be done; its group stays active all the same
         active = ~done & ((kinds[group] > 1) | (np.bincount(group, sure)[group] > 0))
         keep = done | active
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, g)] + [pa.array(done[keep])], names=["doc_id", "start", "g", "done"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, version, start, g)] + [pa.array(done[keep])], names=[*PLACE, "g", "done"])
 
-    ordered = rows.repartition("g", "spread").sortWithinPartitions("g", "spread", "c", "doc_id", "start")
-    return ordered.mapInArrow(lambda batches: _by_group(batches, [0, 2], work), "doc_id long, start long, g long, done boolean")
+    ordered = rows.repartition("g", "spread").sortWithinPartitions("g", "spread", "c", *PLACE)
+    return ordered.mapInArrow(lambda batches: _by_group(batches, [0, 2], work), "doc_id long, version int, start long, g long, done boolean")
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts compressed before they are shuffled."""
+def _squeezed(docs: DataFrame, others: list[str]) -> DataFrame:
+    """(doc_id, z, version, others): texts compressed before they are shuffled."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t) for t in texts_of(b.column(1))], pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t) for t in texts_of(b.column(1))], pa.binary()), *b.columns[2:]], names=["doc_id", "z", "version", *others])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    out = T.StructType([*T.StructType.fromDDL("doc_id long, z binary, version int"), *(docs.schema[c] for c in others)])
+    return docs.select("doc_id", "text", "version", *others).mapInArrow(run, out)
 
 
-def contexts(docs: DataFrame, active: DataFrame, length: int) -> DataFrame:
-    """(g, hot, doc_id, start, left, bytes): what lies around each active position."""
+def contexts(squeezed: DataFrame, active: DataFrame, length: int) -> DataFrame:
+    """(doc_id, version, start, rank, low, left, bytes): what lies around each active position, which starts at `left` of bytes; its range of windows starts at 0."""
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
-            out = [[] for _ in range(6)]
-            for doc_id, raw, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = [[] for _ in kinds]
+            for doc_id, version, raw, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = z.decompress(raw)
                 for x in at:
                     lo = max(0, x["start"] - (length - GRAM))
-                    for column, v in zip(out, (x["g"], x["hot"], doc_id, x["start"], x["start"] - lo, text[lo:x["start"] + length]), strict=True):
+                    for column, v in zip(out, (doc_id, version, x["start"], x["g"], 0, x["start"] - lo, text[lo:x["start"] + length]), strict=True):
                         column.append(v)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["g", "hot", "doc_id", "start", "left", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=[*PLACE, "rank", "low", "left", "bytes"])
 
-    lists = active.groupBy("doc_id").agg(F.collect_list(F.struct("start", "g", "hot")).alias("at"))
-    return docs.join(lists, "doc_id").select("doc_id", "z", "at").mapInArrow(run, "g long, hot boolean, doc_id long, start long, left long, bytes binary")
+    lists = active.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "g")).alias("at"))
+    return squeezed.select("doc_id", "version", "z").join(lists, ["doc_id", "version"]).select("doc_id", "version", "z", "at").mapInArrow(run, "doc_id long, version int, start long, rank long, low int, left int, bytes binary")
 
 
-def _windows(left: np.ndarray, content: list[bytes], length: int):
-    """For each offset: the rows that have a window starting so far left of their position, and its hash."""
-    lens = np.array([len(x) for x in content])
-    base = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    h = Hasher(np.frombuffer(b"".join(content), dtype=np.uint8))
-    for o in range(length - GRAM + 1):
-        rows = np.flatnonzero((left >= o) & (lens - left >= length - o))
-        if len(rows):
-            s = base[rows] + left[rows] - o
-            yield o, rows, h.ranges(s, s + length)
+def pairs(around: DataFrame, width: int, narrow: int, length: int) -> DataFrame:
+    """(rank, added, full, doc_id, version, start, low, first, last): ranges of `width` windows cut into ranges of `narrow`.
 
+    Window o starts o bytes left of its position; a range holds the windows from low on. All of
+    them have a string in common; rank stands for what the wider range had in common, added for
+    the bytes that come to it. first and last are the windows of the range that lie within the
+    text, full is the hash of all their bytes.
+    """
+    most = length - GRAM
 
-def later_windows(found: DataFrame, length: int) -> DataFrame:
-    """(doc_id, low, high): the spans of windows that an earlier position of the same gram shares."""
-
-    def work(b):
-        doc, start, left = (np.asarray(b.column(k)) for k in (1, 2, 3))
-        order = np.lexsort((start, doc))
-        doc, start, left = doc[order], start[order], left[order]
-        content = b.column(4).take(pa.array(order)).to_pylist()
-        most, least = np.full(len(doc), -1), np.full(len(doc), length)
-        for o, rows, key in _windows(left, content, length):
-            by = np.argsort(key, kind="stable")  # rows are in order of position
-            later = np.zeros(len(rows), dtype=bool)
-            ks = key[by]
-            lead = np.ones(len(ks), dtype=bool)
-            lead[1:] = ks[1:] != ks[:-1]
-            lead_row = rows[by][np.maximum.accumulate(np.where(lead, np.arange(len(ks)), 0))]
-            later[by] = (doc[rows[by]] != doc[lead_row]) | (start[rows[by]] != start[lead_row])
-            hit = rows[later]
-            most[hit] = o  # offsets grow
-            least[hit] = np.minimum(least[hit], o)
-        some = most >= 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array((start - most)[some]), pa.array((start - least + length)[some])], names=["doc_id", "low", "high"])
-
-    def exploded(batches):
+    def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            doc, start, left = (np.asarray(b.column(k)) for k in (1, 2, 3))
-            for o, rows, key in _windows(left, b.column(4).to_pylist(), length):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[rows]), pa.array(start[rows] - o)], names=["key", "doc_id", "low"])
-
-    columns = ["g", "doc_id", "start", "left", "bytes"]
-    few = found.where("not hot").select(*columns).repartition("g").sortWithinPartitions("g")
-    few = few.mapInArrow(lambda batches: _by_group(batches, [0], work), "doc_id long, low long, high long")
-    many = found.where("hot").select(*columns).mapInArrow(exploded, "key long, doc_id long, low long").distinct()
-    first = many.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("first"))
-    many = many.join(first, "key").where(F.struct("doc_id", "low") != F.col("first")).select("doc_id", "low", (F.col("low") + length).alias("high"))
-    return few.unionByName(many)
+            rank, low, left = (np.asarray(b.column(k)) for k in (3, 4, 5))
+            content = b.column(6)
+            size = np.array([len(x) for x in content.to_pylist()], dtype=np.int64)
+            joined = np.frombuffer(b"".join(content.to_pylist()), dtype=np.uint8)
+            h, at = Hasher(joined), np.concatenate([[0], np.cumsum(size)])[:-1] + left
+            from_o, to_o = np.maximum(0, length - (size - left)), np.minimum(most, left)
+            outer = np.minimum(low + width - 1, most)
+            for x in range(0, width, narrow):
+                lo = low + x
+                hi = np.minimum(np.minimum(lo + narrow - 1, outer), most)
+                first, last = np.maximum(lo, from_o), np.minimum(hi, to_o)
+                own = np.flatnonzero((lo <= outer) & (first <= last))
+                if not len(own):
+                    continue
+                p, a, z, f, t = at[own], lo[own], hi[own], first[own], last[own]
+                added = h.ranges(p - a, p - low[own]) * PLACES[0] + h.ranges(p + length - outer[own], p + length - z) * PLACES[1] + U(x) * PLACES[2]
+                full = h.ranges(p - t, p + length - f) * PLACES[3] + f.astype(U) * PLACES[4] + t.astype(U) * PLACES[5]
+                rows = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(3).take(rows), pa.array(mix(added).view(np.int64)), pa.array(mix(full).view(np.int64)), *(b.column(k).take(rows) for k in range(3)), *(pa.array(v.astype(np.int32)) for v in (a, f, t))],
+                    names=["rank", "added", "full", *PLACE, "low", "first", "last"])
+
+    columns = [*PLACE, "rank", "low", "left", "bytes"]
+    return around.select(*columns).mapInArrow(run, "rank long, added long, full long, doc_id long, version int, start long, low int, first int, last int")
+
+
+def reranked(classes: DataFrame) -> DataFrame:
+    """(rank, added, next): the pairs that more than one class has, sorted and numbered in that order."""
+    shared = classes.groupBy("rank", "added").agg(F.count("*").alias("n")).where("n > 1")
+    return shared.orderBy("rank", "added").select("rank", "added", F.monotonically_increasing_id().alias("next"))
+
+
+def later_windows(around: DataFrame, length: int) -> list[DataFrame]:
+    """(doc_id, version, low, high) of every round: the bytes of ranges all windows of which start earlier too."""
+    out, width = [], length - GRAM + 1
+    widths = [w for w in WIDTHS if w < width]
+    for narrow in widths:
+        rows = written(pairs(around, width, narrow, length), "pairs")
+        place = F.struct(*PLACE)
+        classes = written(rows.groupBy("rank", "added", "full").agg(F.min(place).alias("place"), (F.min(place) != F.max(place)).alias("more"), F.first("low").alias("low")), "classes")
+        many = classes.where("more").select("rank", "added", "full", "place")
+        late = rows.join(many, ["rank", "added", "full"]).where(place != F.col("place"))
+        out.append(written(late.select("doc_id", "version", (F.col("start") - F.col("last")).alias("low"), (F.col("start") - F.col("first") + length).alias("high")), "late"))
+        if narrow > 1:
+            ranks = written(reranked(classes), "ranks")
+            open_ = classes.join(ranks, ["rank", "added"]).select("place.*", F.col("next").alias("rank"), "low")
+            wider, around = around, written(around.select(*PLACE, "left", "bytes").dropDuplicates(PLACE).join(open_, PLACE).select(*PLACE, "rank", "low", "left", "bytes"), "open")
+            discard(wider, ranks)
+        else:
+            discard(around)
+        discard(rows, classes)
+        width = narrow
+    return out
 
 
 def cut_out(text: bytes, spans) -> tuple[bytes, int]:
@@ -231,26 +255,38 @@ def cut_out(text: bytes, spans) -> tuple[bytes, int]:
     return b"".join(out), runs
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def _versions(docs: DataFrame) -> DataFrame:
+    """docs with a column version that numbers the different texts of one id; it is 0 but for ids that have several."""
+    h = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most").select("doc_id")
+    several = written(several, "several")
+    if several.isEmpty():
+        return docs.withColumn("version", F.lit(0))
+    w = Window.partitionBy("doc_id").orderBy("h")
+    numbered = written(docs.withColumn("h", h).join(several, "doc_id").select("doc_id", "h").distinct().withColumn("version", F.row_number().over(w)), "versions")
+    return docs.withColumn("h", h).join(numbered, ["doc_id", "h"], "left").withColumn("version", F.coalesce("version", F.lit(0))).drop("h")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, others: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the remaining bytes.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of
     smaller id, or earlier in the same one. All texts are judged as they came in. A null or empty
-    text has no bytes. Ids are expected to name one text: repeated rows are judged as one document
-    and give repeated rows. Rows with a null id keep all their bytes. Other columns are ignored.
+    text has no bytes. Repeated rows count as one document and give repeated rows; different texts
+    of one id count as documents that follow each other by a hash. Rows with a null id keep all
+    their bytes. The columns named in others come along as struct `others`; the rest is ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1024)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    marks = written(judged(positions(source.where("doc_id is not null"), length)), "positions")
-    active = marks.where("not done").select("doc_id", "start", "g").distinct()
-    crowd = active.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("g", F.lit(True).alias("many"))
-    active = active.join(crowd, "g", "left").select("doc_id", "start", "g", F.coalesce("many", F.lit(False)).alias("hot"))
-    squeezed = _squeezed(source)
-    around = written(contexts(squeezed, active, length), "contexts")
-    ends = written(later_windows(around, length), "spans")
-    spans = ends.unionByName(marks.where("done").select("doc_id", F.greatest(F.lit(0), F.col("start") - (length - GRAM)).alias("low"), (F.col("start") + length).alias("high")))
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    small_batches(docs.sparkSession, 1024)
+    carried = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []
+    source = _versions(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *carried))
+    marks = written(judged(positions(source.where("doc_id is not null").select("doc_id", "text", "version"), length)), "positions")
+    active = marks.where("not done").select(*PLACE, "g").distinct()
+    squeezed = _squeezed(source, ["others"] if others else [])
+    late = later_windows(written(contexts(squeezed, active, length), "contexts"), length)
+    spans = marks.where("done").select("doc_id", "version", F.greatest(F.lit(0), F.col("start") - (length - GRAM)).alias("low"), (F.col("start") + length).alias("high"))
+    for found in late:
+        spans = spans.unionByName(found)
+    lists = spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
@@ -263,6 +299,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 gone.append(len(text) - len(left))
                 runs.append(k)
                 kept.append(left)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.binary()), *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *extra])
 
-    return squeezed.join(lists, "doc_id", "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    extra = ["others"] if others else []
+    out = T.StructType([*T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), *(squeezed.schema[c] for c in extra)])
+    return squeezed.join(lists, ["doc_id", "version"], "left").select("doc_id", "z", "spans", *extra).mapInArrow(run, out)

@@ -281,20 +281,39 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("together,spread", [(4096, 32), (2, 1)])
-def test_repeats(docs, texts, monkeypatch, together, spread):
-    monkeypatch.setattr(repeats, "TOGETHER", together)
+@pytest.mark.parametrize("spread,widths", [(32, repeats.WIDTHS), (1, (60, 7, 1))])
+def test_repeats(docs, texts, monkeypatch, spread, widths):
     monkeypatch.setattr(repeats, "SPREAD", spread)
+    monkeypatch.setattr(repeats, "WIDTHS", widths)
     want = brute_repeats(texts, 100)
     rows = repeats.without_repeats(docs).collect()
     assert {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == want and len(rows) == docs.count()
     assert repeats.without_repeats(empty(docs)).count() == 0
 
 
+def test_repeats_of_random_cuts(spark):
+    """Passages of every length around the threshold in different surroundings, null ids, repeated rows, and two texts of one id."""
+    g = np.random.default_rng(5)
+    word = lambda n: bytes(g.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage, rows = word(400), []
+    for i in range(150):
+        a = int(g.integers(0, 300))
+        rows.append((i, word(int(g.integers(0, 90))) + passage[a:a + int(g.integers(60, 190))] + word(int(g.integers(0, 90)))))
+    rows += [(1000 + i, "ab" * 150) for i in range(3)] + [(2000, None), (2001, "")]
+    want = brute_repeats({d: t or "" for d, t in rows}, 100)
+    df = spark.createDataFrame([*rows, rows[7], (None, passage), (None, passage)], "doc_id long, text string")
+    got = repeats.without_repeats(df).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in got if r.doc_id is not None} == want and len(got) == len(rows) + 3
+    assert [bytes(r.kept).decode() for r in got if r.doc_id is None] == [passage, passage]
+    two = spark.createDataFrame([(1, passage), (1, passage[:150] + word(80)), (1, passage)], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed) for r in repeats.without_repeats(two).collect())
+    assert got in ([(230, 150), (400, 0), (400, 0)], [(230, 0), (400, 150), (400, 150)])
+
+
 def test_repeats_of_a_gram_hot_in_one_batch(spark):
     """The row that leads a hot gram has an earlier twin in another batch: the twin stays active."""
-    rows = [(1, 5, 0, 10, 0, False, False), (1, 5, 0, 20, 0, True, False), (2, 6, 0, 10, 50, False, False), (2, 6, 0, 20, 50, False, False)]
-    got = repeats.judged(spark.createDataFrame(rows, "g long, c long, spread long, doc_id long, start long, sure boolean, late boolean")).collect()
+    rows = [(1, 5, 0, 10, 0, 0, False, False), (1, 5, 0, 20, 0, 0, True, False), (2, 6, 0, 10, 0, 50, False, False), (2, 6, 0, 20, 0, 50, False, False)]
+    got = repeats.judged(spark.createDataFrame(rows, "g long, c long, spread long, doc_id long, version int, start long, sure boolean, late boolean")).collect()
     assert {(r.g, r.doc_id, r.done) for r in got} == {(1, 10, False), (1, 20, True), (2, 20, True)}
 
 
