@@ -84,9 +84,13 @@ def format_trees(nodes: DataFrame, branches: int | None = None, learn_role: str
     nodes has tree_id, node_id, parent_id (null: a root), role, text and score; node_id is unique
     within its tree, and a parent that isn't there ends a path. The best `branches` paths of each
     tree are chosen (None: all), by score and then by the smallest leaf. Null roles, texts and
-    scores count as empty and 0. loss_spans are the character ranges [start, end) of formatted
-    that hold the texts of learn_role. Other columns are ignored.
+    scores count as empty and 0; rows with a null tree_id form one tree, rows with a null node_id
+    belong to no path. loss_spans are the character ranges [start, end) of formatted that hold the
+    texts of learn_role. Other columns are ignored.
     """
+    kind = nodes.schema["tree_id"].dataType
+    # Joins drop null keys: trees go by a text that null has too.
+    nodes = nodes.withColumn("tree_id", F.coalesce(F.concat(F.lit("="), F.col("tree_id").cast("string")), F.lit("")))
     # Texts are dealt by tree once: the join below and the grouping after it keep that partitioning.
     nodes.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     links = written(nodes.select("tree_id", "node_id", "parent_id", "score"), "links")
@@ -105,7 +109,8 @@ def format_trees(nodes: DataFrame, branches: int | None = None, learn_role: str
         end = begin + F.length(t["text"])
         return F.struct((end + len(CLOSE)).alias("at"), F.when(t["learn"], F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
 
-    return turns.select("tree_id", "leaf_id", "rank", "score", F.array_join(F.transform("turns", one), "").alias("formatted"), F.aggregate("turns", start, step)["spans"].alias("loss_spans"))
+    tree = F.when(F.col("tree_id") != "", F.substring("tree_id", 2, 1_000_000).cast(kind)).alias("tree_id")
+    return turns.select(tree, "leaf_id", "rank", "score", F.array_join(F.transform("turns", one), "").alias("formatted"), F.aggregate("turns", start, step)["spans"].alias("loss_spans"))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -117,7 +122,7 @@ def from_turns(rows: DataFrame) -> DataFrame:
     """Nodes of linear conversations (conv_id, turn, role, text): each row replies to the one before it.
 
     Rows with equal turns follow each other by role, then by a hash of the text; repeated rows
-    stay. A null turn comes first.
+    stay. A null turn comes first; rows with a null conv_id form one conversation.
     """
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "tie")
     return rows.withColumn("tie", F.xxhash64("text")).select(F.col("conv_id").alias("tree_id"), F.row_number().over(w).cast("long").alias("node_id"), "role", "text").select(

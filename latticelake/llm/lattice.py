@@ -118,7 +118,7 @@ def hashed(rows: DataFrame, tables: int, cell: float, probes: int) -> DataFrame:
 
 def _block_pair(part: dict, tables: int, least: float):
     """Counts of links and local components within one unit of work."""
-    unit = np.stack(part["unit"])
+    unit, members = np.stack(part["unit"]), np.array(part["n"])
     table, home, block = part["table"][0], np.array(part["home"]), np.array(part["block"])
     cos = unit @ unit.T
     hit = np.triu(cos >= least, 1) & (home[:, None] | home[None, :])
@@ -148,7 +148,7 @@ def _block_pair(part: dict, tables: int, least: float):
             if ids[x] > ids[y]:
                 x, y = y, x
             top[y] = x
-    links = np.bincount(np.concatenate([a, b]), minlength=len(unit))
+    links = np.bincount(np.concatenate([a, b]), np.concatenate([members[b], members[a]]), minlength=len(unit))
     for x in np.flatnonzero(links):
         yield ids[x], int(links[x]), ids[find(int(x))]
 
@@ -160,13 +160,20 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     Vectors of equal label are linked if their cosine in double precision is at least `least`;
     component_id is the smallest id that links reach. Null vectors or labels, zero vectors and
     vectors with null or non-finite entries have no links; vectors of unequal length never meet.
-    Ids are expected to be unique: rows that share one count as one node, without links to each
-    other. Recall depends on tables, cell and probes. Other columns are ignored.
+    Equal vectors of a label are compared once, as one node with the number of their ids, so a
+    group of copies of any size makes one row. Rows that repeat an id with the same vector count
+    once and give repeated rows; different vectors of one id are vectors of their own. Recall
+    depends on tables, cell and probes. Other columns are ignored.
     """
     spark = rows.sparkSession
     small_batches(spark, 2048)
     source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    h = written(hashed(source.where("label is not null and id is not null"), tables, cell, probes), "cells")
+    source = source.withColumn("same", F.xxhash64("label", "v"))
+    named = source.where("label is not null and id is not null and v is not null")
+    members = written(named.select("id", "same").distinct(), "members")
+    sizes = written(members.groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("least")), "sizes")
+    one = named.groupBy("same").agg(F.first("label").alias("label"), F.first("v").alias("v")).select(F.col("same").alias("id"), "label", "v")
+    h = written(hashed(one, tables, cell, probes).join(sizes.select(F.col("same").alias("id"), "n"), "id"), "cells")
     size = (F.size("probed") / F.size("own")).cast("int")
     spots = h.select("id", "label", F.posexplode("own").alias("table", "cell")).withColumn("home", F.lit(True)).unionByName(
         h.select("id", "label", F.posexplode("probed").alias("p", "cell"), size.alias("size")).select("id", "label", F.floor(F.col("p") / F.col("size")).cast("int").alias("table"), "cell", F.lit(False).alias("home")))
@@ -176,8 +183,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     units = (spots.join(busy, key).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("id", *key, "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
     unit_key = [*key, "low", "high"]
-    work = units.join(h.select("id", "unit", "own", "probed"), "id").repartition(*unit_key).sortWithinPartitions(*unit_key)
-    columns = ["id", "home", "block", "unit", "own", "probed", *unit_key]
+    work = units.join(h.select("id", "n", "unit", "own", "probed"), "id").repartition(*unit_key).sortWithinPartitions(*unit_key)
+    columns = ["id", "n", "home", "block", "unit", "own", "probed", *unit_key]
 
     def run(batches):
         last, part = None, None
@@ -204,8 +211,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             yield done()
 
     found = written(work.select(*columns).mapInArrow(run, "id long, links long, root long"), "vector-links")
-    counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     label = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
-    return (source.select("id").join(counts, "id", "left").join(label, "id", "left")
-            .select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    nodes = h.select("id").join(sizes.select(F.col("same").alias("id"), "n", "least"), "id").join(counts, "id", "left").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    nodes = written(nodes.select(F.col("id").alias("same"), "component", "least", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links")), "nodes")
+    top = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    done = nodes.join(top, "component").select("same", "n_links", "component_id")
+    usable = F.when(F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("same"))
+    return (source.select("id", usable.alias("same")).join(done, "same", "left")
+            .select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

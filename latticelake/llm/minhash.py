@@ -6,7 +6,7 @@ values give overlaps, the union of two sketches estimates their Jaccard similari
 that may reach the threshold are verified on their full sets.
 
 Lists are kept short without caps. A pair at the threshold shares at least t of its retained
-values (t is exact where whole sets are retained, else missed with a probability under 1e-6),
+values (t is exact where whole sets are retained, else missed with a probability under 1e-5),
 so it meets in the list of one of its k - t + 1 rarest values: values of passages that many
 documents share are not indexed. In each list all members are compared with one hub, the
 member with the most frequent values, and only members that no verified link has joined are

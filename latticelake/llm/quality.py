@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, small_batches, texts_of, written
 from .textcore import Hasher, U, Words, mix
@@ -85,8 +86,8 @@ def _lists(a: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(a.astype(np.int32).ravel()))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, counts, kinds, words) of every text; null text counts as empty."""
+def profiles(docs: DataFrame, others: list[str]) -> DataFrame:
+    """(doc_id, lang, counts, kinds, words, others) of every text; null text counts as empty."""
 
     def run(batches):
         for b in batches:
@@ -94,11 +95,16 @@ def profiles(docs: DataFrame) -> DataFrame:
             for i, j in chunks(texts):
                 m = measured(texts[i:j])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), _lists(m["kinds"]), _lists(m["words"])],
-                    names=["doc_id", "lang", *COUNTS, "kinds", "words"])
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), _lists(m["kinds"]), _lists(m["words"]), *(c.slice(i, j - i) for c in b.columns[3:])],
+                    names=["doc_id", "lang", *COUNTS, "kinds", "words", *extra])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", kinds array<int>, words array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []))
+    extra = ["others"] if others else []
+    return rows.mapInArrow(run, _with("doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", kinds array<int>, words array<int>", rows, extra))
+
+
+def _with(ddl: str, rows: DataFrame, names: list[str]) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(ddl), *(rows.schema[c] for c in names)])
 
 
 def _summed(batches):
@@ -139,7 +145,7 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, least_chars: int = 200, least_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, least_chars: int = 200, least_words: int = 50, others: list[str] | None = None) -> DataFrame:
     """One row per document: counts, class_js, word_js, base_failed, kept.
 
     A document is rejected if it fails the base counts, if its character classes are further
@@ -147,10 +153,12 @@ def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, lea
     common words together exceed most_sum. The first test needs least_chars characters in words,
     the second least_words words: histograms of shorter texts say little. Null languages count as one
     language. Documents of a language with too few words for a reference have distance 0. Null and empty texts have zero counts and fail the base
-    test. Repeated rows give repeated rows; columns other than doc_id, lang and text are ignored.
+    test. Repeated rows give repeated rows, whatever their ids. The columns named in others come
+    along as struct `others`; those besides doc_id, lang and text are ignored.
     """
     small_batches(docs.sparkSession)
-    profiled = written(profiles(docs), "profiles")
+    profiled = written(profiles(docs, others or []), "profiles")
+    extra = ["others"] if others else []
     # Written, so that Spark knows its size: a small table is broadcast, a large one is shuffled with the profiles.
     refs = written(references(profiled), "references")
 
@@ -164,8 +172,9 @@ def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, lea
             a, w = np.zeros(n), np.zeros(n)
             for out, counts, ref in ((a, kinds, sums[:, :N_CLASSES]), (w, words, sums[:, N_CLASSES:])):
                 out[known] = js_distance(counts[known], ref / np.maximum(ref.sum(axis=1, keepdims=True), 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(a), pa.array(w)], names=["doc_id", *COUNTS, "class_js", "word_js"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(a), pa.array(w)], names=["doc_id", *COUNTS, *extra, "class_js", "word_js"])
 
-    scored = profiled.join(refs, "lang", "left").select("doc_id", "kinds", "words", "sums", *COUNTS).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", class_js double, word_js double")
+    scored = profiled.join(refs, "lang", "left").select("doc_id", "kinds", "words", "sums", *COUNTS, *extra).mapInArrow(
+        run, T.StructType([*_with("doc_id long, " + ", ".join(f"{c} long" for c in COUNTS), profiled, extra), *T.StructType.fromDDL("class_js double, word_js double")]))
     far = ((F.col("word_chars") >= least_chars) & (F.col("class_js") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("class_js") + F.col("word_js") > most_sum))
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)

@@ -210,11 +210,48 @@ def test_lm(docs, texts):
     assert lm.score(empty(docs)).count() == 0
 
 
-def test_lm_is_a_distribution():
-    sums = np.random.default_rng(0).integers(0, 3, sum(lm.SIZES.values())).astype(float)
-    m = lm.Model(sums, np.ones(lm.HEAD))
-    assert np.allclose(np.exp(m.class_logs(np.array([3, 255]), np.array([5, 254]))).sum(axis=1), 1)
-    assert np.allclose(np.exp(m.word_logs(np.array([0, 7]), np.array([1, 2]), np.array([3, 4]))).sum(axis=1), 1)
+def test_lm_is_a_distribution(spark):
+    """A plain softmax over classes and words, from the model's weights, gives every score; all words together have probability 1."""
+    g = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in g.zipf(1.3, int(g.integers(0, 60))) % 9000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    source = df.select("doc_id", "text")
+    counts, _, v, m, tails = lm.fitted(source)
+    known = {int(np.uint64(r.h % 2**64)): r.c for r in counts.where("h is not null").collect()}
+    hash_of = {w: int(x) for w, x in zip(sorted({w for _, t in rows for w in t.split()}), lm.Words([w.encode() for w in sorted({w for _, t in rows for w in t.split()})]).hash, strict=True)}
+    place = dict(zip(v.hashes.tolist(), v.place.tolist(), strict=True))
+    z = m.z
+
+    def bucket(h):
+        p = place.get(h, lm.HEAD)
+        return p if p <= z.own else z.own + 1 + h % (z.buckets - z.own - 3)
+
+    def logs(h, b1, b2):
+        pair = int(z.pair_bucket(np.array([b1]), np.array([b2]))[0])
+        x = (m.bias + m.part("one")[b1] + m.part("two")[b2] + m.part("both")[pair]).astype(float)
+        of_class = x - np.log(np.exp(x).sum())
+        p = 0 if h is None else place.get(h, lm.HEAD)
+        if p < lm.HEAD:
+            c, k = divmod(p, lm.CLASS_SIZE)
+            y = (m.word_bias.reshape(-1, lm.CLASS_SIZE)[c] + m.part("w_one")[b1 % lm.COARSE, c] + m.part("w_two")[b2 % lm.COARSE, c]).astype(float)
+            return (of_class[c] + y[k] - np.log(np.exp(y).sum())) / np.log(10)
+        k = h % lm.TAILS
+        return of_class[lm.HEADS + k] / np.log(10) + math.log10(known.get(h, 0) + 0.1) - tails[k]
+
+    for r in lm.score(df).where("doc_id < 120").collect():
+        before, want = [z.buckets - 2, z.buckets - 1], 0.0
+        for w in [*rows[r.doc_id][1].split(), None]:
+            h = None if w is None else hash_of[w]
+            want += logs(h, before[1], before[0])
+            before = [before[1], 0 if h is None else bucket(h)]
+        assert math.isclose(want, r.score, rel_tol=1e-4)
+    every = sum(10 ** logs(h, 3, 5) for h in [None, *known]) + sum(10 ** logs(1_000_000 * lm.TAILS + k, 3, 5) for k in range(lm.TAILS))
+    assert math.isclose(every, 1, rel_tol=1e-3)
+
+
+def test_lm_grows():
+    small, large = lm.Sizes(28_000_000), lm.Sizes(140_000_000)
+    assert large.buckets > small.buckets and large.pairs > small.pairs and lm.Sizes(10**15).weights["both"] == 65536 * lm.CLASSES
 
 
 def test_siteguide(spark):
@@ -354,16 +391,17 @@ def test_pipeline(docs):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "suffix-array dedup", "secret scans", "best-fit packing"]
-    plain = docs.drop("n", "kept")
+    plain = docs.withColumns({c: F.lit(c) for c in ("_id", "_text", "_spans", "others", "whole", "no_text", "clean")})
     rows = plain
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         before = {r.doc_id: r.text or "" for r in rows.collect()}
         rows = corpus_pipeline.written(stage(docs.sparkSession, rows, ""), "test")
         assert rows.columns == plain.columns
+        assert rows.select("_id", "_text", "_spans", "others", "whole", "no_text", "clean").distinct().collect() == [tuple(("_id", "_text", "_spans", "others", "whole", "no_text", "clean"))]
         after = {r.doc_id: r.text or "" for r in rows.collect()}
         if i == 1:
             top = components({d: shingles(t, 5) for d, t in before.items()}, 80)
-            assert set(after) == {d for d in before if top[d] == d}
+            assert set(after) == {d for d in before if top[d] == d} and rows.count() == len(after)
         elif i == 2:
             cut = {d: k.decode("utf-8", "ignore") for d, (_, _, k) in brute_repeats(before, 100).items()}
             assert after == {d: t for d, t in cut.items() if t.strip() or t == before[d]}
@@ -371,3 +409,32 @@ def test_pipeline(docs):
             assert set(after) == set(before) and not any(base_spans(t) for t in after.values())
     packed = corpus_pipeline.STAGES[-1][1](docs.sparkSession, rows, "")
     assert packed.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+
+
+def test_pipeline_without_ids(spark):
+    """Null and repeated ids: no good row is lost, no secret stays; empty tables stay empty."""
+    import corpus_pipeline
+
+    g = np.random.default_rng(9)
+    prose = lambda: " ".join("the of and to in a is that for it was on with he as be at by i this had not are".split()[k] + f" w{x}" for k, x in zip(g.integers(0, 23, 60), g.integers(0, 10**6, 60), strict=True))
+    rows = [(None, f"{prose()} password = abcdef{i}23", "en") for i in range(4)] + [(7, f"{prose()} secret = zyxwvu{i}23", "en") for i in range(2)] + [(8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = []
+    for stage in (s for _, s in corpus_pipeline.STAGES[:-1]):
+        assert stage(spark, docs.where("false"), "").count() == 0
+        docs = corpus_pipeline.written(stage(spark, docs, ""), "test")
+        count.append(docs.count())
+    assert count == [6, 6, 6, 6] and not any(base_spans(r.text) for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 6
+
+
+def test_nulls_and_repeated_rows(spark):
+    turns = [(None, 0, "user", "hi"), (None, 1, "assistant", "there"), (1, 0, "user", "hm"), (1, 0, "user", "hm"), (2, None, "assistant", None)]
+    out = chat.digests(chat.format_trees(chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).collect()
+    assert {(r.conv_id, r.n_turns) for r in out} == {(None, 2), (1, 2), (2, 1)} and chat.digests(chat.format_trees(chat.from_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1), (1, v, 1), (2, v, 1), (3, [-1.0, 0.0, 0.0], 1), (3, v, 1), (None, v, 1), (4, v, 2)]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 2, 1), (None, 0, None), (4, 0, 4)], key=str)
+    same = spark.createDataFrame([(None, "token = abcdef99"), (5, "token = abcdef99"), (5, "no secret")], "_id long, text string")
+    assert sorted(r.text for r in secrets.redact(same).collect()) == ["[SECRET]", "[SECRET]", "no secret"]
