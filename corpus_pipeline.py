@@ -18,44 +18,62 @@ ORACLE_SQL = None
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    good = quality.judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the quality rules reject go.
+
+    Every row is judged by its own text and language, whatever its id: null and repeated ids and
+    repeated rows change nothing. Null and empty texts are rejected; an empty table stays empty.
+    """
+    return quality.judge(docs, others=docs.columns).where("kept").select("others.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8); rows that repeat an id count once."""
+    """One document of each group of near copies stays, that of the smallest id (five words, similarity 0.8).
+
+    Rows that repeat an id with the same text count once; different texts of one id stay or go
+    together. Rows with a null id stay. Documents without words have no copies and stay.
+    """
     first = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes or more that occurred earlier are cut out; documents of which nothing but white space is left go.
 
-    A character of which a cut takes only some bytes goes as a whole.
+    A character of which a cut takes only some bytes goes as a whole. Texts come back from the
+    operator with their row's other columns, so no row is looked up by its id: rows with a null
+    id stay as they are, repeated rows are cut alike, null texts stay null.
     """
-    left = repeats.without_repeats(docs, length=100).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.expr("try_validate_utf8(cast(kept as string))").alias("_whole"), "kept").dropDuplicates(["_id"])
+    missing = "no_text"
+    while missing in docs.columns:
+        missing += "_"
+    others = [c for c in docs.columns if c != "text"]
+    left = repeats.without_repeats(docs.withColumn(missing, F.col("text").isNull()), length=100, others=[*others, missing])
 
     @F.pandas_udf("string")
     def decoded(kept):
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    left = left.withColumn("_text", F.coalesce("_whole", decoded("kept"))).select("_id", "_text")
-    cut = docs.join(left, docs["doc_id"] == left["_id"], "left")
-    text = F.coalesce("_text", "text")
-    out = cut.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("_id is null or length(trim(text)) > 0").select(*docs.columns)
+    whole = F.expr("try_validate_utf8(cast(kept as string))")
+    cut = left.withColumn("whole", whole).withColumn("repaired", F.when(F.col("whole").isNull(), decoded("kept")))
+    text = F.when(~F.col(f"others.`{missing}`"), F.coalesce("whole", "repaired"))
+    out = cut.withColumn("text", text).where("n_removed = 0 or length(trim(text)) > 0")
+    column = {c: F.col(f"others.`{c}`").alias(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in others:
+        column["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars")).alias("n_chars")
+    return out.select(*(column[c] for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark, also in rows with null or repeated ids; every row stays."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4,096 tokens."""
+    """The pieces of all documents and their places in sequences of 4,096 tokens; a null text is an empty one, and repeated rows are packed each."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
