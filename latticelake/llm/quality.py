@@ -8,10 +8,10 @@ distance. Counts that need no reference (dup lines, repeated words, symbols) com
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import chunks, small_batches, texts_of, written
 from .textcore import Hasher, U, Words, mix
@@ -86,8 +86,8 @@ def _lists(a: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(a.astype(np.int32).ravel()))
 
 
-def profiles(docs: DataFrame, others: list[str]) -> DataFrame:
-    """(doc_id, lang, counts, kinds, words, others) of every text; null text counts as empty."""
+def profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, counts, kinds, words) of every text; null text counts as empty."""
 
     def run(batches):
         for b in batches:
@@ -95,16 +95,11 @@ def profiles(docs: DataFrame, others: list[str]) -> DataFrame:
             for i, j in chunks(texts):
                 m = measured(texts[i:j])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), _lists(m["kinds"]), _lists(m["words"]), *(c.slice(i, j - i) for c in b.columns[3:])],
-                    names=["doc_id", "lang", *COUNTS, "kinds", "words", *extra])
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), _lists(m["kinds"]), _lists(m["words"])],
+                    names=["doc_id", "lang", *COUNTS, "kinds", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []))
-    extra = ["others"] if others else []
-    return rows.mapInArrow(run, _with("doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", kinds array<int>, words array<int>", rows, extra))
-
-
-def _with(ddl: str, rows: DataFrame, names: list[str]) -> T.StructType:
-    return T.StructType([*T.StructType.fromDDL(ddl), *(rows.schema[c] for c in names)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", kinds array<int>, words array<int>")
 
 
 def _summed(batches):
@@ -141,11 +136,21 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(kl.sum(axis=1) / 2, 0, 1)), 0.0)
 
 
+def distances(kinds: np.ndarray, words: np.ndarray, sums: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """class_js and word_js of texts against their references' sums (null: no reference, distance 0)."""
+    known = np.asarray(sums.is_valid())
+    rows = np.array(sums.drop_null().flatten()).reshape(-1, 1 + N_CLASSES + N_WORDS)[:, 1:]
+    out = np.zeros(len(known)), np.zeros(len(known))
+    for value, counts, ref in zip(out, (kinds, words), (rows[:, :N_CLASSES], rows[:, N_CLASSES:]), strict=True):
+        value[known] = js_distance(counts[known], ref / np.maximum(ref.sum(axis=1, keepdims=True), 1))
+    return out
+
+
 def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, least_chars: int = 200, least_words: int = 50, others: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, least_chars: int = 200, least_words: int = 50) -> DataFrame:
     """One row per document: counts, class_js, word_js, base_failed, kept.
 
     A document is rejected if it fails the base counts, if its character classes are further
@@ -153,12 +158,10 @@ def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, lea
     common words together exceed most_sum. The first test needs least_chars characters in words,
     the second least_words words: histograms of shorter texts say little. Null languages count as one
     language. Documents of a language with too few words for a reference have distance 0. Null and empty texts have zero counts and fail the base
-    test. Repeated rows give repeated rows, whatever their ids. The columns named in others come
-    along as struct `others`; those besides doc_id, lang and text are ignored.
+    test. Repeated rows give repeated rows; columns other than doc_id, lang and text are ignored.
     """
     small_batches(docs.sparkSession)
-    profiled = written(profiles(docs, others or []), "profiles")
-    extra = ["others"] if others else []
+    profiled = written(profiles(docs), "profiles")
     # Written, so that Spark knows its size: a small table is broadcast, a large one is shuffled with the profiles.
     refs = written(references(profiled), "references")
 
@@ -167,14 +170,44 @@ def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, lea
             n = b.num_rows
             kinds = np.array(b.column(1).flatten()).reshape(n, N_CLASSES)
             words = np.array(b.column(2).flatten()).reshape(n, N_WORDS)
-            known = np.asarray(b.column(3).is_valid())
-            sums = np.array(b.column(3).drop_null().flatten()).reshape(-1, 1 + N_CLASSES + N_WORDS)[:, 1:]
-            a, w = np.zeros(n), np.zeros(n)
-            for out, counts, ref in ((a, kinds, sums[:, :N_CLASSES]), (w, words, sums[:, N_CLASSES:])):
-                out[known] = js_distance(counts[known], ref / np.maximum(ref.sum(axis=1, keepdims=True), 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(a), pa.array(w)], names=["doc_id", *COUNTS, *extra, "class_js", "word_js"])
-
-    scored = profiled.join(refs, "lang", "left").select("doc_id", "kinds", "words", "sums", *COUNTS, *extra).mapInArrow(
-        run, T.StructType([*_with("doc_id long, " + ", ".join(f"{c} long" for c in COUNTS), profiled, extra), *T.StructType.fromDDL("class_js double, word_js double")]))
-    far = ((F.col("word_chars") >= least_chars) & (F.col("class_js") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("class_js") + F.col("word_js") > most_sum))
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
+            class_js, word_js = distances(kinds, words, b.column(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(class_js), pa.array(word_js)], names=["doc_id", *COUNTS, "class_js", "word_js"])
+
+    scored = profiled.join(refs, "lang", "left").select("doc_id", "kinds", "words", "sums", *COUNTS).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", class_js double, word_js double")
+    failed = base_failed()
+    far = too_far(F.col("word_chars"), F.col("n_words"), F.col("class_js"), F.col("word_js"), most_class, most_sum, least_chars, least_words)
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def too_far(word_chars, n_words, class_js, word_js, most_class: float = 0.30, most_sum: float = 0.50, least_chars: int = 200, least_words: int = 50):
+    """Whether the distances reject a text; for columns and for arrays."""
+    return ((word_chars >= least_chars) & (class_js > most_class)) | ((n_words >= least_words) & (class_js + word_js > most_sum))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text, lang) that judge() keeps, with all their columns.
+
+    Every row is judged by its own text and its language's reference, in a second pass over the
+    texts: no row is looked up by its id, and texts are neither shuffled nor copied.
+    """
+    small_batches(docs.sparkSession, 256)
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), "lang", "text")
+    lang, sums = "reference_lang", "reference_sums"
+    while {lang, sums} & set(docs.columns):
+        lang, sums = lang + "_", sums + "_"
+    refs = written(references(profiles(rows)), "references").toDF(lang, sums)
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series, sums: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), bool)
+        whole = texts_of(pa.array([t if isinstance(t, str) else None for t in text], pa.string()))
+        for i, j in chunks(whole, 1_000_000):
+            m = measured(whole[i:j])
+            ref = pa.array([None if x is None else [int(v) for v in x] for x in sums[i:j]], pa.list_(pa.int64()))
+            class_js, word_js = distances(m["kinds"], m["words"], ref)
+            failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+            out[i:j] = ~failed & ~too_far(m["word_chars"], m["n_words"], class_js, word_js)
+        return pd.Series(out)
+
+    told = docs.join(refs, F.coalesce(docs["lang"].cast("string"), F.lit("")) == refs[lang], "left")
+    return told.where(good(F.col("text").cast("string"), F.col(sums))).select(*(docs[f"`{c}`"] for c in docs.columns))
