@@ -23,7 +23,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Every row is judged by its own text and language, whatever its id: null and repeated ids and
     repeated rows change nothing. Null and empty texts are rejected; an empty table stays empty.
     """
-    return quality.judge(docs, others=docs.columns).where("kept").select("others.*")
+    return quality.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
