@@ -5,57 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Short name | name | type codes | set-ups (all in lower case, as texts are compared).
-FUNCTIONALS = """
-pw | PW_LDA | 1 | sla+pw+nogx+nogc
-pz | PZ_LDA | 1 | sla+pz+nogx+nogc
-bp | Becke-Perdew grad.corr. | 2 | b88+p86+nogx+nogc
-pw91 | PW91 | 2 | sla+pw+ggx+ggc
-blyp | BLYP | 2 | sla+b88+lyp+blyp
-pbe | PBE | 2 | sla+pw+pbx+pbc, sla+pw+pbe+pbe
-revpbe | revPBE | 2 | sla+pw+rpb+pbc, sla+pw+rpb+pbe
-pw86pbe | PW86+PBE | 2 | sla+pw+pw86+pbc, sla+pw+pw86+pbe
-b86bpbe | B86b+PBE | 2 | sla+pw+b86b+pbc, sla+pw+b86b+pbe
-pbesol | PBEsol | 2 | sla+pw+psx+psc
-q2d | PBEQ2D | 2 | sla+pw+q2dx+q2dc
-hcth | HCTH/120 | 2 | nox+noc+hcth+hcth
-olyp | OLYP | 2 | nox+lyp+optx+blyp
-wc | Wu-Cohen | 2 | sla+pw+wcx+pbc, sla+pw+wcx+pbe
-sogga | SOGGA | 2 | sla+pw+sox+pbc, sla+pw+sox+pbe
-optbk88 | optB88 | 2 | sla+pw+obk8+p86
-optb86b | optB86 | 2 | sla+pw+ob86+p86
-ev93 | Engel-Vosko | 2 | sla+pw+evx+nogc
-tpss | TPSS | 3 | sla+pw+tpss+tpss
-m06l | M06L | 3 | nox+noc+m6lx+m6lc
-tb09 | TB09 | 3 | sla+pw+tb09+tb09
-pbe0 | PBE0 | 2 4 | pb0x+pw+pb0x+pbc, pb0x+pw+pb0x+pbe
-hse | HSE06 | 2 4 | sla+pw+hse+pbc, sla+pw+hse+pbe
-b3lyp | B3LYP | 2 4 | b3lp+vwn+b3lp+b3lp
-gaupbe | Gau-PBE | 2 4 | sla+pw+gaup+pbc, sla+pw+gaup+pbe
-vdw-df | vdW-DF | 2 7 | sla+pw+rpb+vdw1
-vdw-df2 | vdW-DF2 | 2 7 | sla+pw+rw86+vdw2
-vdw-df-c09 | vdW-DF-C09 | 2 7 | sla+pw+c09x+vdw1
-vdw-df2-c09 | vdW-DF2-C09 | 2 7 | sla+pw+c09x+vdw2
-vdw-df-cx | vdW-DF-cx | 2 7 | sla+pw+cx13+vdw1
-vdw-df-obk8 | vdW-DF-obk8 | 2 7 | sla+pw+obk8+vdw1
-vdw-df-ob86 | vdW-DF-ob86 | 2 7 | sla+pw+ob86+vdw1
-vdw-df2-b86r | vdW-DF2-B86R | 2 7 | sla+pw+b86r+vdw2
-rvv10 | rVV10 | 2 7 | sla+pw+rw86+pbc+vv10, sla+pw+rw86+pbe+vv10
-hf | Hartree-Fock | 5 | hf+noc+nogx+nogc
-vdw-df3 | vdW-DF3 | 2 7 | sla+pw+rw86+vdw3
-vdw-df4 | vdW-DF4 | 2 7 | sla+pw+rw86+vdw4
-gaup | Gau-PBE | 2 4 |
-"""
+# Short name, name, type codes, set-ups.
+FUNCTIONALS = [
+    ("pw", "PW_LDA", [1], ["sla+pw+nogx+nogc"]),
+    ("pz", "PZ_LDA", [1], ["sla+pz+nogx+nogc"]),
+    ("bp", "Becke-Perdew grad.corr.", [2], ["b88+p86+nogx+nogc"]),
+    ("pw91", "PW91", [2], ["sla+pw+ggx+ggc"]),
+    ("blyp", "BLYP", [2], ["sla+b88+lyp+blyp"]),
+    ("pbe", "PBE", [2], ["sla+pw+pbx+pbc", "sla+pw+pbe+pbe"]),
+    ("revpbe", "revPBE", [2], ["sla+pw+rpb+pbc", "sla+pw+rpb+pbe"]),
+    ("pw86pbe", "PW86+PBE", [2], ["sla+pw+pw86+pbc", "sla+pw+pw86+pbe"]),
+    ("b86bpbe", "B86b+PBE", [2], ["sla+pw+b86b+pbc", "sla+pw+b86b+pbe"]),
+    ("pbesol", "PBEsol", [2], ["sla+pw+psx+psc"]),
+    ("q2d", "PBEQ2D", [2], ["sla+pw+q2dx+q2dc"]),
+    ("hcth", "HCTH/120", [2], ["nox+noc+hcth+hcth"]),
+    ("olyp", "OLYP", [2], ["nox+lyp+optx+blyp"]),
+    ("wc", "Wu-Cohen", [2], ["sla+pw+wcx+pbc", "sla+pw+wcx+pbe"]),
+    ("sogga", "SOGGA", [2], ["sla+pw+sox+pbc", "sla+pw+sox+pbe"]),
+    ("optbk88", "optB88", [2], ["sla+pw+obk8+p86"]),
+    ("optb86b", "optB86", [2], ["sla+pw+ob86+p86"]),
+    ("ev93", "Engel-Vosko", [2], ["sla+pw+evx+nogc"]),
+    ("tpss", "TPSS", [3], ["sla+pw+tpss+tpss"]),
+    ("m06l", "M06L", [3], ["nox+noc+m6lx+m6lc"]),
+    ("tb09", "TB09", [3], ["sla+pw+tb09+tb09"]),
+    ("pbe0", "PBE0", [2, 4], ["pb0x+pw+pb0x+pbc", "pb0x+pw+pb0x+pbe"]),
+    ("hse", "HSE06", [2, 4], ["sla+pw+hse+pbc", "sla+pw+hse+pbe"]),
+    ("b3lyp", "B3LYP", [2, 4], ["b3lp+vwn+b3lp+b3lp"]),
+    ("gaupbe", "Gau-PBE", [2, 4], ["sla+pw+gaup+pbc", "sla+pw+gaup+pbe"]),
+    ("vdw-df", "vdW-DF", [2, 7], ["sla+pw+rpb+vdw1"]),
+    ("vdw-df2", "vdW-DF2", [2, 7], ["sla+pw+rw86+vdw2"]),
+    ("vdw-df-c09", "vdW-DF-C09", [2, 7], ["sla+pw+c09x+vdw1"]),
+    ("vdw-df2-c09", "vdW-DF2-C09", [2, 7], ["sla+pw+c09x+vdw2"]),
+    ("vdw-df-cx", "vdW-DF-cx", [2, 7], ["sla+pw+cx13+vdW1"]),
+    ("vdw-df-obk8", "vdW-DF-obk8", [2, 7], ["sla+pw+obk8+vdw1"]),
+    ("vdw-df-ob86", "vdW-DF-ob86", [2, 7], ["sla+pw+ob86+vdw1"]),
+    ("vdw-df2-b86r", "vdW-DF2-B86R", [2, 7], ["sla+pw+b86r+vdw2"]),
+    ("rvv10", "rVV10", [2, 7], ["sla+pw+rw86+pbc+vv10", "sla+pw+rw86+pbe+vv10"]),
+    ("hf", "Hartree-Fock", [5], ["hf+noc+nogx+nogc"]),
+    ("vdw-df3", "vdW-DF3", [2, 7], ["sla+pw+rw86+vdw3"]),
+    ("vdw-df4", "vdW-DF4", [2, 7], ["sla+pw+rw86+vdw4"]),
+    ("gaup", "Gau-PBE", [2, 4], ["sla+pw+gaup+pbc", "sla+pw+gaup+pbe"]),
+]
 
 
 def _known() -> Column:
-    """Short names and set-ups, to name and types; the first owner of a set-up keeps it."""
+    """Short names and set-ups, to name and types; the first owner of a set-up keeps it.
+
+    Texts are compared in lower case, so a set-up spelled with capitals is found too.
+    """
     found: dict[str, Column] = {}
-    for line in FUNCTIONALS.strip().splitlines():
-        short, name, types, setups = (x.strip() for x in line.split("|"))
-        value = F.struct(F.lit(name).alias("name"), F.array(*(F.lit(int(t)) for t in types.split())).alias("types"))
-        for key in [short, *(x.strip() for x in setups.split(",") if x.strip())]:
-            found.setdefault(key, value)
+    for short, name, types, setups in FUNCTIONALS:
+        value = F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, types)).alias("types"))
+        for key in [short, *setups]:
+            found.setdefault(key.lower(), value)
     return F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v)))
 
 

@@ -83,7 +83,9 @@ def direction(v: Column) -> Column:
     return F.transform(v, lambda x: F.signum(x).cast("int"))
 
 
-def markup_to_html(s: Column) -> Column:
+def markup_to_html(s: Column, units: bool = True) -> Column:
+    """Marks of sub- and superscripts, and of an energy's unit, as HTML."""
+    s = F.replace(s, F.lit("{{units-energy}}"), F.lit(", <span class=units-energy></span>" if units else ""))
     for a, b in ((",,", "<sub>"), ("__", "</sub>"), ("^^", "<sup>"), ("**", "</sup>")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
@@ -144,12 +146,18 @@ def xc_is_valid(types: Column) -> Column:
 
 
 def basis_label(shells: Column, ecp: Column | None = None) -> Column:
-    """Consecutive equal shells with their number as a superscript, after the pseudopotential in brackets."""
-    runs = F.aggregate(shells, F.expr("cast(array() as array<struct<s:string,n:int>>)"), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["s"] == s),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(s.alias("s"), (F.element_at(acc, -1)["n"] + 1).alias("n"))))).otherwise(F.concat(acc, F.array(F.struct(s.alias("s"), F.lit(1).alias("n"))))))
-    text = F.array_join(F.transform(runs, lambda r: F.concat(r["s"], F.when(r["n"] > 1, F.concat(F.lit("<sup>"), r["n"].cast("string"), F.lit("</sup>"))).otherwise(F.lit("")))), "")
-    return text if ecp is None else F.concat(F.coalesce(F.concat(F.lit("["), ecp, F.lit("]")), F.lit("")), text)
+    """Shells (struct of type and size) of an element, after the shells of its pseudopotential in brackets.
+
+    A shell is its type in lower case with its size as a superscript; equal shells in a row are
+    one in round brackets with their number.
+    """
+    one = lambda c: F.concat(F.lower(c["type"]), F.lit("<sup>"), c["size"].cast("string"), F.lit("</sup>"))
+    texts = F.transform(shells, one)
+    runs = F.aggregate(texts, F.expr("cast(array() as array<struct<s:string,n:int>>)"), lambda acc, s: F.when(
+        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["s"] == s),
+        F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(s.alias("s"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))))).otherwise(F.concat(acc, F.array(F.struct(s.alias("s"), F.lit(1).alias("n"))))))
+    text = F.array_join(F.transform(runs, lambda r: F.when(r["n"] > 1, F.concat(F.lit("("), r["s"], F.lit(")<sup>"), r["n"].cast("string"), F.lit("</sup>"))).otherwise(r["s"])), "")
+    return text if ecp is None else F.concat(F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(ecp, one), ""), F.lit("]")), F.lit("")), text)
 
 
 def bit_signature(codes: Column) -> Column:
@@ -157,10 +165,26 @@ def bit_signature(codes: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc + F.pow(F.lit(2.0), x).cast("long"))
 
 
-def hubbard_label(elements: Column, us: Column, js: Column) -> Column:
-    """Sorted element:U/J list, one decimal; zero pairs are skipped."""
+def hubbard_label(elements: Column, us: Column, js: Column, kind: Column | None = None) -> Column:
+    """Scheme of the correction (type 1, 2 or 4) and the sorted el:U/J list, one decimal; zero pairs are skipped.
+
+    Further pairs of an element have its number after its name; a pair that is like its first one counts once.
+    """
     rows = F.filter(F.arrays_zip(elements.alias("e"), us.alias("u"), js.alias("j")), lambda x: (x["u"] != 0) | (x["j"] != 0))
-    return F.array_join(F.array_sort(F.transform(rows, lambda x: F.format_string("%s:%.1f/%.1f", x["e"], x["u"], x["j"]))), ",")
+    pairs = F.transform(rows, lambda x: F.struct(x["e"].alias("e"), F.format_string("%.1f/%.1f", x["u"], x["j"]).alias("v")))
+    first = lambda x: F.filter(pairs, lambda y: y["e"] == x["e"])[0]["v"]
+    further = lambda x, i: F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda y: (y["e"] == x["e"]) & (y["v"] != first(x))))
+    name = lambda x, i: F.when(x["v"] == first(x), x["e"]).otherwise(F.concat(x["e"], further(x, i).cast("string")))
+    text = F.array_join(F.array_sort(F.array_distinct(F.transform(pairs, lambda x, i: F.concat(name(x, i), F.lit(":"), x["v"])))), " ")
+    if kind is None:
+        return text
+    scheme = F.when(kind == 2, F.lit("GGA+U(std.)")).when(kind == 1, F.lit("GGA+U(Liecht.)")).when(kind == 4, F.lit("LDA+U(Liecht.)")).otherwise(F.format_string("GGA+U(type %s)", kind.cast("string")))
+    return F.concat_ws(" ", scheme, F.when(text != "", text))
+
+
+def tolerance_label(ev: Column) -> Column:
+    """Plane-wave cutoff as a label."""
+    return F.concat(F.lit("cutoff "), ev.cast("string"), F.lit("eV"))
 
 
 def hybrid_label(screening: Column) -> Column:
@@ -178,8 +202,7 @@ def point_group(n: Column) -> Column:
     """Schoenflies symbol with the index as a subscript."""
     out = None
     for low, high, name in POINT_GROUPS:
-        label = name[0] + (f"<sub>{name[1:]}</sub>" if len(name) > 1 else "")
-        out = (F.when if out is None else out.when)(n.between(low, high), F.lit(label))
+        out = (F.when if out is None else out.when)(n.between(low, high), F.lit(name))
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..reference_data import FACETS
+
 
 def make_tags(runs: DataFrame, facets: list[tuple]) -> DataFrame:
     """(checksum, cid, topic) of every facet column of nested run rows; arrays give one row per entry."""
@@ -14,6 +16,8 @@ def make_tags(runs: DataFrame, facets: list[tuple]) -> DataFrame:
             continue
         value = F.col(source).cast("array<string>") if kinds[source].startswith("array") else F.array(F.col(source).cast("string"))
         parts.append(F.arrays_zip(F.array_repeat(F.lit(cid), F.coalesce(F.size(value), F.lit(0))).alias("cid"), F.coalesce(value, F.array().cast("array<string>")).alias("topic")))
+    if not parts:
+        return runs.select("checksum", F.lit(0).alias("cid"), F.lit("").alias("topic")).where("false")
     return runs.select("checksum", F.explode(F.concat(*parts)).alias("x")).select("checksum", "x.cid", "x.topic").where("topic is not null and topic <> ''").distinct()
 
 
@@ -50,11 +54,15 @@ def topics_of_run(tags: DataFrame, topics: DataFrame) -> DataFrame:
     return tags.join(topics, "tid").select("checksum", "cid", "topic")
 
 
-def facet_topics(tags: DataFrame, topics: DataFrame, facets: DataFrame) -> DataFrame:
-    """(cid, name, content): the topics of each facet with the number of runs, ordered by topic."""
+def facet_topics(tags: DataFrame, topics: DataFrame, facets: DataFrame, values: DataFrame) -> DataFrame:
+    """(cid, name, sort, kind, topic, value, tid, n): a row for each topic of a facet with its decoded name and number of runs.
+
+    Blocks are the rows of a cid, kind tells how they are shown (mendeleev: chemical elements).
+    """
     count = tags.groupBy("tid").agg(F.count("*").alias("n"))
-    shown = topics.join(facets.where("has_facet or has_topic").select("cid", "name"), "cid").join(count, "tid", "left")
-    return shown.groupBy("cid", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic", "tid", "n"))), lambda x: F.concat_ws(":", x["topic"], x["tid"], F.coalesce(x["n"], F.lit(0)))), ",").alias("content"))
+    shown = topics.join(facets.where("has_facet or has_topic").select("cid", "name", "sort", "source"), "cid").join(values.select("cid", F.col("num").cast("string").alias("topic"), "value"), ["cid", "topic"], "left").join(count, "tid", "left")
+    kind = F.when(F.col("source") == "elements", F.lit("mendeleev")).otherwise(F.lit("tag"))
+    return shown.select("cid", "name", "sort", kind.alias("kind"), "topic", F.coalesce("value", "topic").alias("value"), "tid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def replace_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:
@@ -65,7 +73,9 @@ def replace_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int
 
 
 def append_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:
-    """Tags with further values of a multiple facet; pairs that exist stay single."""
+    """Tags with further values of a multiple facet; pairs that exist stay single, and single facets are refused."""
+    if not {f[0]: f[4] for f in FACETS}.get(cid, True):
+        raise ValueError("a facet with one value takes no further ones")
     return tags.unionByName(_given(topics.where(F.col("cid") == cid), keys, values)).distinct()
 
 

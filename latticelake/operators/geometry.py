@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import counts_gcd
 from ..reference_data import SITE_A, SITE_B, SITE_C
 
 
@@ -47,54 +48,106 @@ def molecular_weight(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     return atoms.join(F.broadcast(elements.select("number", "mass")), "number").groupBy("struct_id").agg(F.bround(F.sum("mass")).cast("long").alias("weight"))
 
 
-def relaxation(structures: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(checksum, atom_idx, shift) between the first and the last structure of a run, two decimals; equal numbers of atoms only."""
+def step_pairs(structures: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(checksum, atom_idx, p, q): each atom in the first and in the last structure of its run; an end without the atom is null."""
     end = lambda which, name: structures.where(which).select("checksum", "struct_id").join(atoms.select("struct_id", "atom_idx", "x", "y", "z"), "struct_id").select("checksum", "atom_idx", F.struct("x", "y", "z").alias(name))
-    first, last = end("step = 0", "p"), end("final", "q")
-    n = lambda d, name: d.groupBy("checksum").agg(F.count("*").alias(name))
-    equal = n(first, "n").join(n(last, "m"), "checksum").where("n = m").select("checksum")
+    return end("step = 0", "p").join(end("final", "q"), ["checksum", "atom_idx"], "full")
+
+
+def relaxation(structures: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(checksum, atom_idx, shift, error): shifts from the first to the last structure of a run, two decimals; a run whose numbers of atoms differ has one row with an error."""
     shift = F.sqrt(sum((F.pow(F.col(f"p.{k}") - F.col(f"q.{k}"), 2) for k in "xyz"), F.lit(0.0)))
-    return first.join(last, ["checksum", "atom_idx"]).join(equal, "checksum", "left_semi").select("checksum", "atom_idx", F.round(shift, 2).alias("shift"))
+    rows = step_pairs(structures, atoms).select("checksum", "atom_idx", F.round(shift, 2).alias("shift"), (F.col("p").isNull() | F.col("q").isNull()).alias("odd"))
+    # runs are few rows each: the odd ones are marked before the shuffle
+    odd = rows.where("odd").select("checksum").distinct()
+    fine = rows.join(odd, "checksum", "left_anti").select("checksum", "atom_idx", "shift", F.lit(None).cast("string").alias("error"))
+    return fine.unionByName(odd.select("checksum", F.lit(None).cast("int").alias("atom_idx"), F.lit(None).cast("double").alias("shift"), F.lit("different numbers of atoms").alias("error")))
+
 
+# The images of ligands that neighbours() looks at, in cell vectors.
+IMAGES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (1, 1, 0), (1, -1, 0), (-1, -1, 0), (-1, 1, 0), (0, 0, 1), (0, 0, -1)]
 
-def neighbours(atoms: DataFrame, centers: list[int], ligands: list[int], most: float = 2.5) -> DataFrame:
-    """(struct_id, center, ligand, distance) of pairs within a structure; atoms are binned by `most`, so big cells need no full product."""
+
+def neighbours(atoms: DataFrame, centers: list[int], ligands: list[int], lattices: DataFrame | None = None, most: float = 2.5) -> DataFrame:
+    """(struct_id, center, ligand, image, distance) of pairs within a structure; with lattices, ligands have their periodic images too (image 0: the cell itself).
+
+    Atoms are binned by `most`, so big cells need no full product.
+    """
     bins = [F.floor(F.col(k) / most).alias(f"b{k}") for k in "xyz"]
     near = F.sequence(F.lit(-1), F.lit(1))
     c = atoms.where(F.col("number").isin(centers)).select("struct_id", F.col("atom_idx").alias("center"), F.struct("x", "y", "z").alias("p"), *bins)
     for k in "xyz":
         c = c.withColumn("d", F.explode(near)).withColumn(f"b{k}", F.col(f"b{k}") + F.col("d")).drop("d")
-    own = atoms.where(F.col("number").isin(ligands)).select("struct_id", F.col("atom_idx").alias("ligand"), F.struct("x", "y", "z").alias("q"), *bins)
+    own = atoms.where(F.col("number").isin(ligands)).select("struct_id", "atom_idx", "x", "y", "z")
+    if lattices is None:
+        own = own.withColumn("image", F.lit(0))
+    else:
+        shifts = F.array(*(F.struct(F.lit(i).alias("image"), *(F.lit(v).alias(n) for v, n in zip(x, "uvw", strict=True))) for i, x in enumerate([(0, 0, 0), *IMAGES])))
+        own = own.join(lattices, "struct_id").withColumn("s", F.explode(shifts))
+        moved = {k: F.col(k) + F.col("s.u") * F.col(f"a1{j}") + F.col("s.v") * F.col(f"a2{j}") + F.col("s.w") * F.col(f"a3{j}") for j, k in ((1, "x"), (2, "y"), (3, "z"))}
+        own = own.select("struct_id", "atom_idx", *(v.alias(k) for k, v in moved.items()), F.col("s.image").alias("image"))
+    own = own.select("struct_id", F.col("atom_idx").alias("ligand"), "image", F.struct("x", "y", "z").alias("q"), *bins)
     d2 = sum((F.pow(F.col(f"p.{k}") - F.col(f"q.{k}"), 2) for k in "xyz"), F.lit(0.0))
-    return (c.join(own, ["struct_id", "bx", "by", "bz"]).withColumn("d2", d2).where((F.col("d2") <= most**2) & (F.col("center") != F.col("ligand")))
-            .select("struct_id", "center", "ligand", F.round(F.sqrt("d2"), 4).alias("distance")))
+    return (c.join(own, ["struct_id", "bx", "by", "bz"]).withColumn("d2", d2).where((F.col("d2") <= most**2) & ((F.col("center") != F.col("ligand")) | (F.col("image") > 0)))
+            .select("struct_id", "center", "ligand", "image", F.round(F.sqrt("d2"), 4).alias("distance")))
+
+
+def octahedra(pairs: DataFrame, structures: DataFrame) -> DataFrame:
+    """(struct_id, center, ligands, error): centers with six ligands, or five or six in 2-periodic structures (struct_id, periodicity); a structure without any has one row with an error."""
+    corners = pairs.groupBy("struct_id", "center").agg(F.count("*").cast("int").alias("n"), F.array_join(F.array_sort(F.collect_list(F.struct("ligand", "image"))).cast("array<string>"), ";").alias("ligands"))
+    fits = (F.col("n") == 6) | ((F.col("periodicity") == 2) & (F.col("n") == 5))
+    found = corners.join(structures.select("struct_id", "periodicity"), "struct_id").where(fits).select("struct_id", "center", "ligands")
+    error = F.when(F.col("center").isNull(), F.lit("Cannot extract valid octahedra: not enough corner atoms found!"))
+    return structures.select("struct_id").join(found, "struct_id", "left").select("struct_id", "center", "ligands", error.alias("error"))
 
 
-def octahedra(pairs: DataFrame, corners: int = 6) -> DataFrame:
-    """Centers with exactly so many ligands."""
-    return pairs.groupBy("struct_id", "center").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("ligand")), ",").alias("ligands")).where(F.col("n") == corners).drop("n")
+def corners(atoms: DataFrame, lattices: DataFrame, structures: DataFrame, centers: list[int], ligands: list[int]) -> DataFrame:
+    """(struct_id, center, corners, error): the positions of each octahedron's ligands, those of the cell first, then the images by atom; structures as octahedra() takes them."""
+    pairs = neighbours(atoms, centers, ligands, lattices)
+    shift = F.array(*(F.array(*map(F.lit, x)) for x in [(0, 0, 0), *IMAGES]))
+    at = F.element_at(shift, F.col("image") + 1)
+    moved = [F.col(k) + sum((at[i] * F.col(f"a{i + 1}{j}") for i in range(3)), F.lit(0.0)) for j, k in ((1, "x"), (2, "y"), (3, "z"))]
+    placed = pairs.join(atoms.select("struct_id", F.col("atom_idx").alias("ligand"), "x", "y", "z"), ["struct_id", "ligand"]).join(lattices, "struct_id")
+    placed = placed.select("struct_id", "center", F.struct((F.col("image") > 0).alias("far"), "ligand", "image", *(v.alias(k) for v, k in zip(moved, "xyz", strict=True))).alias("c"))
+    lists = placed.groupBy("struct_id", "center").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"))).alias("corners"))
+    found = octahedra(pairs, structures)
+    return found.join(lists, ["struct_id", "center"], "left").select("struct_id", "center", "corners", "error")
 
 
-def slab_layers(atoms: DataFrame, axis: str = "z", gap: float = 0.7) -> DataFrame:
-    """(struct_id, layer, number, n): a new layer begins where the next atom along the axis is further than gap."""
-    w = Window.partitionBy("struct_id").orderBy(axis, "atom_idx")
-    step = (F.col(axis) - F.lag(axis).over(w) > gap).cast("int")
-    layered = atoms.withColumn("new", F.coalesce(step, F.lit(0))).withColumn("layer", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def longest_axis() -> Column:
+    """Number of the longest cell vector; of equal ones, the last."""
+    return F.array_max(F.array(*(F.struct(F.sqrt(_dot(k, k)).alias("length"), F.lit(int(k)).alias("axis")) for k in "123")))["axis"]
+
+
+def atoms_by_axis(atoms: DataFrame, lattices: DataFrame) -> DataFrame:
+    """(struct_id, place, atom_idx, number, height): atoms in order along their cell's longest vector; ghosts (number 0) are left out."""
+    height = F.when(F.col("axis") == 1, F.col("x")).when(F.col("axis") == 2, F.col("y")).otherwise(F.col("z"))
+    rows = atoms.where("number > 0").join(lattices.select("struct_id", longest_axis().alias("axis")), "struct_id").withColumn("height", height)
+    return rows.select("struct_id", F.row_number().over(Window.partitionBy("struct_id").orderBy("height", "atom_idx")).alias("place"), "atom_idx", "number", "height")
+
+
+def slab_layers(atoms: DataFrame, lattices: DataFrame, gap: float = 0.7) -> DataFrame:
+    """(struct_id, layer, number, n): along the longest cell vector, a new layer begins where the next atom is further than gap."""
+    w = Window.partitionBy("struct_id").orderBy("place")
+    fresh = (F.col("height") - F.lag("height").over(w) > gap).cast("int")
+    layered = atoms_by_axis(atoms, lattices).withColumn("new", F.coalesce(fresh, F.lit(0))).withColumn("layer", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return layered.groupBy("struct_id", "layer", "number").agg(F.count("*").alias("n"))
 
 
-def surface_termination(layers: DataFrame) -> DataFrame:
-    """(struct_id, termination): the composition of the first layer where the last one is equal and there are several."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "n"))), lambda x: F.concat_ws("x", x["number"], x["n"])), "-")
-    per = layers.groupBy("struct_id", "layer").agg(text.alias("content"))
+def surface_termination(layers: DataFrame, elements: DataFrame) -> DataFrame:
+    """(struct_id, termination): the first layer's formula over its greatest common divisor where the last layer is equal and there are several."""
+    per = layers.join(F.broadcast(elements), "number").groupBy("struct_id", "layer").agg(F.array_sort(F.collect_list(F.struct("place", "symbol", "n"))).alias("content"))  # the elements: 96 rows
     ends = per.groupBy("struct_id").agg(F.min_by("content", "layer").alias("first"), F.max_by("content", "layer").alias("last"), F.count("*").alias("layers"))
-    return ends.where("layers > 1 and first = last").select("struct_id", F.col("first").alias("termination"))
+    counts = F.transform("first", lambda x: x["n"].cast("int"))
+    text = F.array_join(F.transform("first", lambda x: F.concat(x["symbol"], F.when(x["n"] == F.col("g"), F.lit("")).otherwise((x["n"] / F.col("g")).cast("int").cast("string")))), "")
+    return ends.where("layers > 1 and first = last").withColumn("g", counts_gcd(counts)).select("struct_id", text.alias("termination"))
 
 
 def cell_drift(structures: DataFrame, lattices: DataFrame) -> DataFrame:
-    """(checksum, dv): change of the cell volume from the first to the last structure."""
-    v = structures.join(lattices.select("struct_id", volume().alias("v")), "struct_id")
-    return v.groupBy("checksum").agg(F.round(F.max_by("v", "step") - F.min_by("v", "step"), 6).alias("dv"))
+    """(checksum, da, db, dc, dalpha, dbeta, dgamma, dv): change of the cell parameters and volume from the first to the last structure."""
+    names = ["a", "b", "c", "alpha", "beta", "gamma", "volume"]
+    v = structures.join(cell_parameters(lattices), "struct_id")
+    return v.groupBy("checksum").agg(*(F.round(F.max_by(n, "step") - F.min_by(n, "step"), 3).alias("dv" if n == "volume" else f"d{n}") for n in names))
 
 
 def effective_dimension(atoms: DataFrame, lattices: DataFrame, elements: DataFrame) -> DataFrame:
@@ -128,13 +181,18 @@ def is_organic(pairs: Column, periodicity: Column) -> Column:
     return F.array_contains(el, "C") & F.array_contains(el, "H") & ~periodicity.isin(2, 3)
 
 
-def vacancy_defect(pairs: Column) -> Column:
-    """Best (gcd, element, added): one or two atoms more of one element that give a larger common divisor; null if none does."""
+def vacancy_defect(pairs: Column, lack: Column | None = None) -> Column:
+    """(gcd, element, added): one or two atoms more of one element (lack, if it is known) that give a larger common divisor; the first trial of the largest one, null if none does.
+
+    One more atom is tried before two, elements in their order.
+    """
+    lack = F.lit(None).cast("string") if lack is None else lack
     counts = lambda element, k: F.transform(pairs, lambda p: F.when(p["element"] == element, p["count"] + k).otherwise(p["count"]))
-    gcd = lambda c: F.filter(F.sequence(F.array_min(c), F.lit(1), F.lit(-1)), lambda g: F.forall(c, lambda x: x % g == 0))[0]
-    tries = F.flatten(F.transform(pairs, lambda p: F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.struct(gcd(counts(p["element"], k)).alias("gcd"), p["element"].alias("element"), k.alias("added")))))
-    plain = gcd(F.transform(pairs, lambda p: p["count"]))
-    return F.when(F.size(pairs) > 1, F.array_max(F.filter(tries, lambda t: t["gcd"] > plain)))
+    one = lambda p, i, k: F.struct(counts_gcd(counts(p["element"], k)).alias("gcd"), (-(k * 1000 + i)).alias("late"), p["element"].alias("element"), k.alias("added"))
+    tries = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.transform(pairs, lambda p, i: one(p, i, k))))
+    best = F.array_max(F.filter(tries, lambda t: lack.isNull() | (t["element"] == lack)))
+    plain = counts_gcd(F.transform(pairs, lambda p: p["count"]))
+    return F.when((F.size(pairs) > 1) & (best["gcd"] > plain), F.struct(best["gcd"].alias("gcd"), best["element"].alias("element"), best["added"].alias("added")))
 
 
 def to_xyz(atoms: DataFrame, elements: DataFrame) -> DataFrame:
@@ -144,13 +202,26 @@ def to_xyz(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     return rows.select("struct_id", F.concat(F.size("lines").cast("string"), F.lit("\nXYZ\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("xyz"))
 
 
-def to_cif(atoms: DataFrame, lattices: DataFrame, elements: DataFrame) -> DataFrame:
-    """(struct_id, cif): cell parameters, P1 and fractional coordinates."""
+def step_of(structures: DataFrame, step: int | str = "final") -> DataFrame:
+    """The final structure of each run, or that of a step; negative steps count from the end."""
+    if step == "final":
+        return structures.where("final")
+    if step >= 0:
+        return structures.where(F.col("step") == step)
+    last = structures.groupBy("checksum").agg((F.max("step") + 1 + step).alias("step"))
+    return structures.join(last, ["checksum", "step"]).select(*structures.columns)
+
+
+def to_cif(atoms: DataFrame, lattices: DataFrame, elements: DataFrame, comment: Column | None = None) -> DataFrame:
+    """(struct_id, cif): a comment line if there is one, cell parameters, P1 and fractional coordinates.
+
+    For one step only, atoms and lattices are those of step_of()'s structures.
+    """
     line = F.format_string("%s %s % 1.8f % 1.8f % 1.8f", "symbol", "symbol", "fx", "fy", "fz")
     sites = fractional(atoms, lattices).join(F.broadcast(elements.select("number", "symbol")), "number").groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", line.alias("line")))).alias("lines"))
     head = [F.concat(F.lit(k + " "), F.format_string("%2.6f", v)) for k, v in (("_cell_length_a", "a"), ("_cell_length_b", "b"), ("_cell_length_c", "c"), ("_cell_angle_alpha", "alpha"), ("_cell_angle_beta", "beta"), ("_cell_angle_gamma", "gamma"))]
     loop = "_symmetry_space_group_name_H-M 'P1'\nloop_\n_symmetry_equiv_pos_as_xyz\nx,y,z\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z"
-    return sites.join(cell_parameters(lattices), "struct_id").select("struct_id", F.concat_ws("\n", F.concat(F.lit("data_"), F.col("struct_id")), *head, F.lit(loop), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("cif"))
+    return sites.join(cell_parameters(lattices), "struct_id").select("struct_id", F.concat_ws("\n", *([] if comment is None else [F.concat(F.lit("# "), comment)]), F.concat(F.lit("data_"), F.col("struct_id")), *head, F.lit(loop), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("cif"))
 
 
 def is_isolated(pairs: Column, periodicity: Column, cell_volume: Column, radius: Column, most: float = 100.0) -> Column:

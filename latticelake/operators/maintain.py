@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
-def ancestors(calcsets: DataFrame, deepest: int = 100) -> DataFrame:
-    """(node, ancestor, distance): all datasets above each node with the least distance; level by level, each level distinct.
+def ancestors(calcsets: DataFrame, deepest: int = 1000) -> DataFrame:
+    """(node, ancestor, distance): all datasets above each node with the least distance; level by level, each level distinct and written.
 
     The edges form no cycle; more than `deepest` levels raise an error.
     """
-    step = calcsets.select(F.col("children_checksum").alias("node"), F.col("parent_checksum").alias("ancestor"))
+    step = calcsets.select(F.col("children_checksum").alias("node"), F.col("parent_checksum").alias("ancestor")).distinct()
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    level, found = step.withColumn("distance", F.lit(1)), step.withColumn("distance", F.lit(1))
-    for d in range(2, deepest + 2):
-        level = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(d).alias("distance")).distinct()
-        if level.isEmpty():
-            return found.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-        found = found.unionByName(level)
-    raise ValueError("the datasets are nested too deep or form a cycle")
+    levels = [written(step, "level")]
+    while levels[-1].take(1):
+        if len(levels) > deepest:
+            raise ValueError("the datasets are nested too deep or form a cycle")
+        levels.append(written(levels[-1].join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct(), "level"))
+    found = reduce(DataFrame.unionByName, [level.withColumn("distance", F.lit(d)) for d, level in enumerate(levels, 1)])
+    return found.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 def dataset_sizes(calcsets: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def merge_summary(members: DataFrame, values: DataFrame, sizes: DataFrame) -> tu
 
 
 def purge(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the given runs: keyed by checksum or through their structures, and both ends of the datasets' edges."""
+    """All tables without the given runs: keyed by checksum or through their structures, and both ends of the datasets' edges; references that no run has any more go too."""
     out = {}
     gone = tables["structures"].join(keys, "checksum", "left_semi").select("struct_id") if "structures" in tables else None
     for name, t in tables.items():
@@ -48,27 +52,60 @@ def purge(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]
             out[name] = t.join(gone, "struct_id", "left_anti").select(*t.columns)
         else:
             out[name] = t
+    if "references" in out and "metadata_references" in out:
+        out["references"] = out["references"].join(out["metadata_references"].select("reference_id"), "reference_id", "left_semi")
     return out
 
 
 def purge_dataset(sizes: DataFrame, calcsets: DataFrame, keys: DataFrame) -> DataFrame:
-    """(checksum, download_size) of the datasets above removed runs, less those runs' sizes; each run counts once for an ancestor."""
+    """(checksum, download_size, siblings_count, refused) after the given runs or datasets are removed: each counts once for a dataset above it.
+
+    refused marks the datasets that would be empty; as long as there is one, the removal should not be carried out.
+    """
     above = ancestors(calcsets).join(keys.withColumnRenamed("checksum", "node"), "node", "left_semi").select("node", "ancestor").distinct()
     delta = above.join(sizes.select(F.col("checksum").alias("node"), "download_size"), "node").groupBy("ancestor").agg(F.sum("download_size").alias("gone"))
-    return sizes.join(delta.withColumnRenamed("ancestor", "checksum"), "checksum", "left").select("checksum", (F.col("download_size") - F.coalesce("gone", F.lit(0))).alias("download_size"))
+    gone = calcsets.join(keys.withColumnRenamed("checksum", "children_checksum"), "children_checksum", "left_semi").groupBy("parent_checksum").agg(F.count("*").alias("fewer"))
+    now = sizes.join(keys, "checksum", "left_anti").join(delta.withColumnRenamed("ancestor", "checksum"), "checksum", "left").join(dataset_sizes(calcsets).withColumnRenamed("parent_checksum", "checksum"), "checksum", "left").join(gone.withColumnRenamed("parent_checksum", "checksum"), "checksum", "left")
+    left = F.col("siblings_count") - F.coalesce("fewer", F.lit(0))
+    return now.select("checksum", (F.col("download_size") - F.coalesce("gone", F.lit(0))).alias("download_size"), F.coalesce(left, F.lit(0)).alias("siblings_count"), F.coalesce((left == 0) & F.col("fewer").isNotNull(), F.lit(False)).alias("refused"))
+
 
+def merge(members: DataFrame, values: DataFrame, sizes: DataFrame) -> dict[str, DataFrame]:
+    """The rows that new datasets add to a repository: runs (checksum, title, size, depth, siblings), calcsets and raw_tags.
 
-def augment(sizes: DataFrame, calcsets: DataFrame, parent: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and sizes after new members join a dataset; members it has already are skipped, itself and its ancestors are refused."""
-    above = ancestors(calcsets).where(F.col("node") == parent)
-    refused = above.select(F.col("ancestor").alias("checksum")).unionByName(keys.sparkSession.createDataFrame([(parent,)], "checksum string"))
-    if not keys.join(refused, "checksum", "left_semi").isEmpty():
+    members has (dataset, checksum), the dataset's title and its runs; the key of a dataset is a
+    hash of its members' keys. The title is the dataset's formula (cid 1). A dataset without size is left out.
+    """
+    topics, total = merge_summary(members, values, sizes)
+    runs = total.join(members.distinct().groupBy("dataset").agg(F.count("*").alias("siblings_count")), "dataset").select("checksum", F.col("dataset").alias("title"), "download_size", "nested_depth", "siblings_count")
+    keys = total.select("dataset", F.col("checksum").alias("parent_checksum"))
+    edges = members.distinct().join(keys, "dataset").select("parent_checksum", F.col("checksum").alias("children_checksum"))
+    tags = topics.where("cid <> 1").join(keys, "dataset").select(F.col("parent_checksum").alias("checksum"), "cid", "topic").unionByName(keys.select(F.col("parent_checksum").alias("checksum"), F.lit(1).alias("cid"), F.col("dataset").alias("topic")))
+    return {"runs": runs, "calcsets": edges, "raw_tags": tags}
+
+
+def augment(runs: DataFrame, calcsets: DataFrame, tags: DataFrame, parent: str, keys: DataFrame, title_cid: int = 1) -> dict[str, DataFrame]:
+    """runs (checksum, download_size, nested_depth), calcsets and raw_tags after further members join a dataset.
+
+    Members it has already are skipped. Only a dataset can grow, nothing new is an error, and so
+    is itself or a dataset above it. The members' topics join the dataset's (its title stays), its
+    size and depth grow, and those of the datasets above by the same sizes.
+    """
+    spark = keys.sparkSession
+    if calcsets.where(F.col("parent_checksum") == parent).isEmpty():
+        raise ValueError("this is no dataset")
+    above = ancestors(calcsets).where(F.col("node") == parent).select(F.col("ancestor").alias("checksum"), "distance").unionByName(spark.createDataFrame([(parent, 0)], "checksum string, distance int"))
+    if not keys.join(above, "checksum", "left_semi").isEmpty():
         raise ValueError("a dataset can't contain itself or a dataset above it")
-    new = keys.distinct().join(calcsets.where(F.col("parent_checksum") == parent).select(F.col("children_checksum").alias("checksum")), "checksum", "left_anti")
+    new = keys.select("checksum").distinct().join(calcsets.where(F.col("parent_checksum") == parent).select(F.col("children_checksum").alias("checksum")), "checksum", "left_anti")
     if new.isEmpty():
         raise ValueError("nothing new to add")
     edges = calcsets.unionByName(new.select(F.lit(parent).alias("parent_checksum"), F.col("checksum").alias("children_checksum")))
-    delta = new.join(sizes, "checksum").agg(F.coalesce(F.sum("download_size"), F.lit(0)).alias("delta"))
-    grown = above.select(F.col("ancestor").alias("checksum")).unionByName(keys.sparkSession.createDataFrame([(parent,)], "checksum string")).distinct().withColumn("grows", F.lit(True))
-    changed = sizes.join(grown, "checksum", "left").crossJoin(F.broadcast(delta))  # one row
-    return edges, changed.select("checksum", (F.col("download_size") + F.when(F.col("grows"), F.col("delta")).otherwise(F.lit(0))).alias("download_size"))
+    added = new.join(runs, "checksum").agg(F.coalesce(F.sum("download_size"), F.lit(0)).alias("more"), F.coalesce(F.max("nested_depth"), F.lit(0)).alias("depth"))
+    own = runs.where(F.col("checksum") == parent).select(F.col("nested_depth").alias("own_depth"))
+    changed = runs.join(above, "checksum", "left").crossJoin(F.broadcast(added)).crossJoin(F.broadcast(own))  # one row each
+    deep = F.greatest("nested_depth", F.greatest("own_depth", F.col("depth") + 1) + F.col("distance"))
+    grown = F.col("distance").isNotNull()
+    runs = changed.select("checksum", (F.col("download_size") + F.when(grown, F.col("more")).otherwise(0)).alias("download_size"), F.when(grown, deep).otherwise(F.col("nested_depth")).alias("nested_depth"))
+    topics = tags.join(new, "checksum", "left_semi").where(F.col("cid") != title_cid).select(F.lit(parent).alias("checksum"), "cid", "topic")
+    return {"runs": runs, "calcsets": edges, "raw_tags": tags.select("checksum", "cid", "topic").unionByName(topics).distinct()}

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import decode_enum, decode_enums
+from ..reference_data import ENUMS, FACETS
+from .facets import all_tags
+
 
 def quality_filter(runs: DataFrame, skip_unfinished: bool = True, skip_no_energy: bool = True) -> DataFrame:
     """Without runs that aren't finished (code 1) or have no energy (null or 0)."""
@@ -30,15 +34,20 @@ def key_page(runs: DataFrame, keys: DataFrame, page: int, size: int) -> DataFram
     return runs.join(keys.orderBy("checksum").offset(page * size).limit(size), "checksum", "left_semi")
 
 
-def app_scope(target: dict[str, tuple[Column, str]]) -> Column:
-    """Whether an app is permitted: every present value contains its target (or, with a leading !, doesn't), and one is present."""
+def app_scope(runs: DataFrame, target: dict[str, str]) -> Column:
+    """Whether an app is permitted for a run: every present value contains its target (or, with a leading !, doesn't), and one is present.
+
+    Of an array an entry has to equal the target. Columns that runs don't have are not present.
+    """
     if not target:
         return F.lit(True)
-    ok, some = F.lit(True), F.lit(False)
-    for value, want in target.values():
-        hit = value.contains(want.lstrip("!"))
-        ok = ok & F.coalesce(~hit if want.startswith("!") else hit, F.lit(True))
-        some = some | value.isNotNull()
+    kinds, ok, some = dict(runs.dtypes), F.lit(True), F.lit(False)
+    for key, want in target.items():
+        if key in kinds:
+            value, text = F.col(key), want.removeprefix("!")
+            hit = F.array_contains(value.cast("array<string>"), text) if kinds[key].startswith("array") else value.cast("string").contains(text)
+            ok = ok & F.coalesce(~hit if want.startswith("!") else hit, F.lit(True))
+            some = some | value.isNotNull()
     return ok & some
 
 
@@ -67,12 +76,38 @@ def band_gap_listing(energies: DataFrame, ratios: DataFrame, electrons: DataFram
     return ground.join(gaps, "checksum").join(metadata.select("checksum", "location"), "checksum").select("checksum", "chemical_formula", "formula_units", "total", "gap", "location").orderBy("gap", "checksum")
 
 
-def grid_rows(runs: DataFrame) -> DataFrame:
-    """Formatted table view; missing values as a dash."""
-    dash = lambda c: F.coalesce(c, F.lit("—"))
-    return runs.select(
-        "checksum", dash(F.regexp_replace("chemical_formula", r"[0-9.\-][0-9.\-d]*", "<sub>$0</sub>")).alias("formula"), dash(F.when(F.col("total").isNotNull(), F.format_string("%6.5f", "total"))).alias("energy"),
-        dash(F.element_at(F.split("location", "/"), -1)).alias("file"), dash(F.col("gap").cast("string")).alias("gap"))
+#: Formatted columns of the table view, by name.
+GRID = {
+    "formula": lambda k: F.regexp_replace("chemical_formula", r"[0-9.\-][0-9.\-d]*", "<sub>$0</sub>"), "energy": lambda k: F.when(F.col("total").isNotNull(), F.format_string("%6.5f", "total")),
+    "volume": lambda k: F.when(F.col("periodicity").isin(2, 3), F.format_string("%4.2f", "dims")), "file": lambda k: F.element_at(F.split("location", "/"), -1), "gap": lambda k: F.col("gap").cast("string")}
+
+
+def grid_rows(runs: DataFrame, columns: list[str] = ("formula", "energy", "file", "gap")) -> DataFrame:
+    """Formatted table view of the named columns (those of GRID, or codes of enumerated facets by their source); missing values as a dash."""
+    cids = {f[2]: f[0] for f in FACETS}
+    kinds = dict(runs.dtypes)
+    out = []
+    for c in columns:
+        if c in GRID:
+            value = GRID[c](c)
+        elif cids.get(c) in ENUMS:
+            value = decode_enums(F.col(c), cids[c]) if kinds[c].startswith("array") else decode_enum(F.col(c), cids[c])
+        else:
+            value = F.col(c).cast("string")
+        out.append(F.coalesce(value, F.lit("—")).alias(c))
+    return runs.select("checksum", *out)
+
+
+def summary_long(runs: DataFrame, facets: list[tuple] = FACETS) -> DataFrame:
+    """(checksum, sort, name, content): one row for each run and facet with a place in the summary, codes as their names; facets that runs have no column for are left out."""
+    kinds = dict(runs.dtypes)
+    rows = []
+    for cid, name, source, sort, _, _, summary, *_ in facets:
+        if summary and source in kinds:
+            many = kinds[source].startswith("array")
+            value = (decode_enums if many else decode_enum)(F.col(source), cid) if cid in ENUMS else F.array_join(F.col(source).cast("array<string>"), ", ") if many else F.col(source).cast("string")
+            rows.append(F.struct(F.lit(sort).alias("sort"), F.lit(name).alias("name"), value.alias("content")))
+    return runs.select("checksum", F.explode(F.array(*rows)).alias("x")).select("checksum", "x.*")
 
 
 def convergence_order(series: DataFrame) -> DataFrame:
@@ -95,9 +130,17 @@ def optimisation_log(runs: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at("ncycles", F.col("step") + 1).cast("string"), F.lit("^")).alias("cycles"))
 
 
-def browse(selected: DataFrame, sort: str, page: int, size: int) -> DataFrame:
-    """One page of the selected runs in order of sort, then key."""
-    return selected.orderBy(sort, "checksum").offset(page * size).limit(size)
+#: Page sizes and sort keys of browse().
+PAGE_SIZES, SORTS = (50, 100, 250), ("chemical_formula", "location")
+
+
+def browse(runs: DataFrame, tags: DataFrame, tids: list[int], tables: dict[str, DataFrame] | None = None, ranges: list[tuple[str, str, float, float]] = (), sort: int = 0, page: int = 0, size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """One page of the runs that carry all tags and lie in all ranges, in order of formula (sort 0) or location (1) and then key; and (count) of all of them."""
+    if size not in PAGE_SIZES or sort not in range(len(SORTS)):
+        raise ValueError("unknown page size or sort key")
+    selected = runs.join(all_tags(tags, tids), "checksum", "left_semi") if tids else runs
+    selected = range_filter(selected, tables or {}, list(ranges))
+    return selected.orderBy(SORTS[sort], "checksum").offset(page * size).limit(size), selected.agg(F.count("*").alias("count"))
 
 
 def validate_parsed(runs: DataFrame) -> DataFrame:

@@ -45,6 +45,10 @@ VIEWS = {
     "b_topics": "select cast(row_number() over (order by cid, topic) as int) as tid, cid, topic from (select distinct cid, topic from b_raw_tags) t",
     "b_tags": "select r.checksum, t.tid from (select distinct checksum, cid, topic from b_raw_tags) r join b_topics t on r.cid = t.cid and r.topic = t.topic",
     "b_points": "select vec_id, cast({0} as double) as p1, cast({1} as double) as p2, cast({2} as double) as p3, label from embeddings",
+    "b_logs": """select concat('runs/C', cast(o_orderkey as string), '.out') as path, concat('     Program PWSCF v.', cast(o_orderkey % 6 as string), '.1 starts on 1Jan2014', chr(10),
+        '     Exchange-correlation      =  ', case o_custkey % 3 when 0 then 'PBE ( 1 4 3 4 0 0)' when 1 then 'SLA PW PBX PBC (1 4 3 4)' else 'MINE' end, chr(10),
+        '!    total energy              =     -', cast(cast(floor(o_totalprice) as bigint) as string), '.5 Ry', chr(10),
+        case when o_orderstatus = 'F' then concat('     PWSCF        :   ', cast(o_orderkey % 50 as string), 'm 1.00s CPU     ', cast(o_orderkey % 60 as string), 'm WALL', chr(10)) else '' end) as text from orders""",
     "b_files": """select concat('f', cast(cast(floor(doc_id / 5) as bigint) as string), '/r', cast(cast(floor(doc_id / 2) as bigint) as string),
         case doc_id % 7 when 0 then '.out' when 1 then '.d12' when 2 then '.in' when 3 then '.out' when 4 then '.gui' when 5 then '.inp' else '.bak' end) as path, text, n_chars from documents""",
 }

@@ -14,7 +14,7 @@ from ..operators import maintain as MT
 from ..operators import mining as MI
 from ..operators import runs as R
 from ..operators import spectra as SP
-from ..reference_data import CRYSTAL_SYSTEMS, ENUMS, FACETS, FORMULA_ORDER, LAYER_GROUPS, MASSES, POINT_GROUPS, RADII, SYMBOLS, elements, facets
+from ..reference_data import CRYSTAL_SYSTEMS, ENUMS, FACETS, FORMULA_ORDER, LAYER_GROUPS, MASSES, POINT_GROUPS, RADII, SYMBOLS, elements, enum_values, facets
 from ..sources import files as SF
 from .bindings import table, with_views
 
@@ -75,10 +75,10 @@ def _(t):
     return t.b_electrons.agg((F.floor(F.min("gap") * 100) / 100).alias("low"), (F.ceil(F.max("gap") * 100) / 100).alias("high"))
 
 
-@query("a4_facet_topics", "select t.cid, f.name, string_agg(t.topic || ':' || t.tid || ':' || coalesce(c.n, 0), ',' order by t.topic) as content from b_topics t join " + _values([(f[0], f[1]) for f in FACETS]) +
-       " f(cid, name) on f.cid = t.cid left join (select tid, count(*) as n from b_tags group by 1) c on c.tid = t.tid group by 1, 2")
+@query("a4_facet_topics", "select t.cid, f.name, f.sort, f.kind, t.topic, coalesce(v.value, t.topic) as value, t.tid, coalesce(c.n, 0) as n from b_topics t join " + _values([(f[0], f[1], f[3], "mendeleev" if f[2] == "elements" else "tag") for f in FACETS]) + " f(cid, name, sort, kind) on f.cid = t.cid left join "
+       + _values([(c, str(i), v) for c, n in ENUMS.items() for i, v in enumerate(n) if v]) + " v(cid, num, value) on v.cid = t.cid and v.num = t.topic left join (select tid, count(*) as n from b_tags group by 1) c on c.tid = t.tid")
 def _(t):
-    return FA.facet_topics(t.b_tags, t.b_topics, facets(t.spark))
+    return FA.facet_topics(t.b_tags, t.b_topics, facets(t.spark), enum_values(t.spark))
 
 
 @query("a5_searchables", "select t.tid, coalesce(v.value, t.topic) as value from b_topics t left join " + _values([(c, str(i), v) for c, n in ENUMS.items() for i, v in enumerate(n) if v]) + " v(cid, num, value) on v.cid = t.cid and v.num = t.topic")
@@ -126,18 +126,23 @@ def _(t):
     return SP.smeared_dos(t.embeddings.select(F.col("vec_id").alias("run_id"), F.col("embedding").cast("array<double>").alias("eigenvalues")))
 
 
-NEAR = """select a.struct_id, a.atom_idx as center, b.atom_idx as ligand, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 4) as distance from b_atoms a join b_atoms b on a.struct_id = b.struct_id and a.atom_idx <> b.atom_idx
-  where a.number in (22, 26) and b.number = 8 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 6.25"""
+NEAR = f"""select a.struct_id, a.atom_idx as center, b.atom_idx as ligand, cast(s.i as int) as image, a.x - (b.x + s.u * l.a11 + s.v * l.a21 + s.w * l.a31) as dx, a.y - (b.y + s.u * l.a12 + s.v * l.a22 + s.w * l.a32) as dy, a.z - (b.z + s.u * l.a13 + s.v * l.a23 + s.w * l.a33) as dz
+  from b_atoms a join b_atoms b on a.struct_id = b.struct_id join b_lattices l on l.struct_id = a.struct_id, {_values([(i, *x) for i, x in enumerate([(0, 0, 0), *G.IMAGES])])} s(i, u, v, w) where a.number in (22, 26) and b.number = 8"""
+WITHIN = "dx * dx + dy * dy + dz * dz <= 6.25"
 
 
-@query("j7_neighbours", NEAR)
+@query("j7_neighbours", f"select struct_id, center, ligand, image, round(sqrt(dx * dx + dy * dy + dz * dz), 4) as distance from ({NEAR}) n where {WITHIN}")
 def _(t):
-    return G.neighbours(t.b_atoms, [22, 26], [8])
+    return G.neighbours(t.b_atoms, [22, 26], [8], t.b_lattices)
 
 
-@query("a13_octahedra", f"select struct_id, center, string_agg(cast(ligand as varchar), ',' order by ligand) as ligands from ({NEAR}) n group by 1, 2 having count(*) = 2")
+PERIODS = "select struct_id, case when struct_id % 2 = 0 then 2 else 3 end as periodicity from b_lattices"
+
+
+@query("a13_octahedra", f"""with p as ({PERIODS}), o as (select n.struct_id, center, string_agg('{{' || ligand || ', ' || image || '}}', ';' order by ligand, image) as ligands from ({NEAR}) n join p using (struct_id) where {WITHIN} group by 1, 2, periodicity having count(*) = 6 or (count(*) = 5 and periodicity = 2))
+  select p.struct_id, center, ligands, case when center is null then 'Cannot extract valid octahedra: not enough corner atoms found!' end as error from p left join o using (struct_id)""")
 def _(t):
-    return G.octahedra(G.neighbours(t.b_atoms, [22, 26], [8]), 2)
+    return G.octahedra(G.neighbours(t.b_atoms, [22, 26], [8], t.b_lattices), t.b_lattices.select("struct_id", F.when(F.col("struct_id") % 2 == 0, 2).otherwise(3).alias("periodicity")))
 
 
 CENTERS = [(0.0, 0.0, 0.0), (0.1, 0.1, 0.1), (-0.1, 0.05, -0.1)]
@@ -149,9 +154,19 @@ def _(t):
     return MI.lloyd_step(t.b_points, CENTERS, ["p1", "p2", "p3"])
 
 
-@query("a14_kmeans")
+def _lloyd_sql(rounds: int) -> str:
+    """CENTERS after so many steps, as a chain of common table expressions; the last one is c."""
+    text = "with c0 as (select * from " + _values([(i, *c) for i, c in enumerate(CENTERS)]) + " v(i, p1, p2, p3))"
+    for k in range(rounds + 1):
+        text += f", n{k} as (select p.vec_id, arg_min(c.i, {{'d': pow(p.p1 - c.p1, 2) + pow(p.p2 - c.p2, 2) + pow(p.p3 - c.p3, 2), 'i': c.i}}) as i from b_points p, c{k} c group by 1)"
+        if k < rounds:
+            text += f", c{k + 1} as (select c.i, coalesce(avg(p.p1), any_value(c.p1)) as p1, coalesce(avg(p.p2), any_value(c.p2)) as p2, coalesce(avg(p.p3), any_value(c.p3)) as p3 from c{k} c left join n{k} n on n.i = c.i left join b_points p on p.vec_id = n.vec_id group by 1)"
+    return text + f" select cast(i as int) as cluster, count(*) as n from n{rounds} group by 1"
+
+
+@query("a14_kmeans", _lloyd_sql(3))
 def _(t):
-    return MI.kmeans(t.b_points, ["p1", "p2", "p3"], 8).groupBy("cluster").agg(F.count("*").alias("n"))
+    return MI.kmeans(t.b_points, ["p1", "p2", "p3"], CENTERS, cutoff=0.0, most=3)[0].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("a15_k_for", "select nelem, case when count(*) > 200 then 8 when count(*) > 100 then 6 when count(*) > 50 then 5 when count(*) > 30 then 4 else 3 end as k from b_struct_ratios group by 1")
@@ -159,7 +174,10 @@ def _(t):
     return t.b_struct_ratios.groupBy("nelem").agg(S.k_for(F.count("*")).alias("k"))
 
 
-@query("a16_binary_features")
+@query("a16_binary_features", """with g as (select e.checksum, s.chemical_formula as label, l.gap from b_energies e join b_struct_ratios s using (checksum) join b_electrons l using (checksum) join (select chemical_formula, formula_units, min(total) as least from b_energies join b_struct_ratios using (checksum) group by 1, 2) m
+    on m.chemical_formula = s.chemical_formula and m.formula_units = s.formula_units and m.least = e.total where l.gap > 0),
+  k as (select distinct s.checksum, a.number, case a.number when 1 then 1 when 6 then 14 when 8 then 16 when 12 then 2 when 22 then 4 when 26 then 8 when 38 then 2 when 57 then 3 end as grp from b_structures s join b_atoms a using (struct_id) where s.final)
+  select g.checksum, g.label, cast(min(k.grp) as int) as group_a, cast(max(k.grp) as int) as group_b, g.gap from g join k using (checksum) group by 1, 2, 5 having count(*) = 2""")
 def _(t):
     ground = R.ground_state(t.b_energies.join(t.b_struct_ratios, "checksum")).join(t.b_electrons.where("gap > 0"), "checksum")
     return MI.binary_features(ground, t.b_atoms, t.b_structures)
@@ -196,11 +214,11 @@ def _(t):
     return R.grid_rows(t.b_metadata.join(t.b_struct_ratios, "checksum").join(t.b_energies, "checksum").join(t.b_electrons, "checksum", "left"))
 
 
-@query("f6_summary_long", "select checksum, 370 as sort, 'finished' as name, case finished when 0 then 'unknown finalization' when 1 then 'not finalized' else 'finalized' end as content from b_metadata union all select checksum, 20, 'formula', chemical_formula from b_struct_ratios")
+@query("f6_summary_long", "select checksum, 20 as sort, 'formula' as name, chemical_formula as content from b_struct_ratios union all select checksum, 40, 'number of elements', case nelem when 1 then 'unary' when 2 then 'binary' else 'ternary' end from b_struct_ratios"
+       " union all select checksum, 370, 'finished', case finished when 0 then 'unknown finalization' when 1 then 'not finalized' else 'finalized' end from b_metadata union all select checksum, 310, 'total energy', cast(cast(round(total) as bigint) as varchar) from b_energies")
 def _(t):
-    runs = t.b_metadata.join(t.b_struct_ratios, "checksum")
-    rows = F.array(F.struct(F.lit(370).alias("sort"), F.lit("finished").alias("name"), S.decode_enum(F.col("finished"), 1006).alias("content")), F.struct(F.lit(20).alias("sort"), F.lit("formula").alias("name"), F.col("chemical_formula").alias("content")))
-    return runs.select("checksum", F.explode(rows).alias("x")).select("checksum", "x.*")
+    runs = t.b_metadata.join(t.b_struct_ratios, "checksum").join(t.b_energies, "checksum")
+    return R.summary_long(runs.select("checksum", F.col("chemical_formula").alias("standard"), "nelem", "finished", F.round("total").cast("long").alias("energy")))
 
 
 @query("f7_select_json_field", "select checksum, json_extract_string(info, '$.framework') as framework from b_grid where json_extract_string(info, '$.framework') is not null")
@@ -208,10 +226,9 @@ def _(t):
     return t.b_grid.select("checksum", F.get_json_object("info", "$.framework").alias("framework")).where("framework is not null")
 
 
-@query("f8_app_scope", "select checksum from b_struct_ratios where chemical_formula like '%O3%' and chemical_formula not like '%Ti%'")
+@query("f8_app_scope", "select checksum from b_struct_ratios where chemical_formula like '%O3%' and not cast(formula_units as varchar) like '%2%'")
 def _(t):
-    f = F.col("chemical_formula")
-    return t.b_struct_ratios.where(R.app_scope({"a": (f, "O3"), "b": (f, "!Ti")})).select("checksum")
+    return t.b_struct_ratios.where(R.app_scope(t.b_struct_ratios, {"chemical_formula": "O3", "formula_units": "!2", "absent": "x"})).select("checksum")
 
 
 @query("f9_fill_defaults", "select checksum, coalesce(json_extract_string(info, '$.framework'), '0') as framework from b_grid")
@@ -261,7 +278,7 @@ def _(t):
 
 
 @query("j8_interval_lookup", "select checksum, (select name from " + _values(CRYSTAL_SYSTEMS) + " v(lo, hi, name) where n between lo and hi) as system, (select name from "
-       + _values([(a, b, x[0] + (f"<sub>{x[1:]}</sub>" if len(x) > 1 else "")) for a, b, x in POINT_GROUPS]) + " v(lo, hi, name) where n between lo and hi) as point_group from b_spacegroups")
+       + _values(POINT_GROUPS) + " v(lo, hi, name) where n between lo and hi) as point_group from b_spacegroups")
 def _(t):
     return t.b_spacegroups.select("checksum", S.crystal_system(F.col("n")).alias("system"), S.point_group(F.col("n")).alias("point_group"))
 
@@ -273,13 +290,18 @@ def _(t):
     return t.b_spacegroups.select("checksum", g.alias("layer_group"), S.layer_system(g).alias("system"))
 
 
-STEPS = """select a.checksum, p.atom_idx, round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)), 2) as shift from b_structures a join b_structures b on a.checksum = b.checksum and a.step = 0 and b.final
-  join b_atoms p on p.struct_id = a.struct_id join b_atoms q on q.struct_id = b.struct_id and q.atom_idx = p.atom_idx"""
+@query("g3_relaxation", """with p as materialized (select s.checksum, s.final, a.atom_idx, a.x, a.y, a.z from b_structures s join b_atoms a using (struct_id)),
+  w as (select checksum, atom_idx, count(*) as n, round(sqrt(pow(max(x) filter (where final) - max(x) filter (where not final), 2) + pow(max(y) filter (where final) - max(y) filter (where not final), 2) + pow(max(z) filter (where final) - max(z) filter (where not final), 2)), 2) as shift from p group by 1, 2),
+  odd as (select distinct checksum from w where n <> 2)
+  select checksum, atom_idx, shift, cast(null as varchar) as error from w where checksum not in (select checksum from odd) union all select checksum, null, null, 'different numbers of atoms' from odd""")
+def _(t):
+    return G.relaxation(t.b_structures, t.b_atoms)
 
 
-@query("g3_relaxation", STEPS)
+@query("j10_step_pairs", """with p as materialized (select s.checksum, s.final, a.atom_idx, a.x from b_structures s join b_atoms a using (struct_id))
+  select checksum, atom_idx, max(x) filter (where not final) as px, max(x) filter (where final) as qx from p group by 1, 2""")
 def _(t):
-    return G.relaxation(t.b_structures, t.b_atoms)
+    return G.step_pairs(t.b_structures, t.b_atoms).select("checksum", "atom_idx", F.col("p.x").alias("px"), F.col("q.x").alias("qx"))
 
 
 @query("j12_functional_family", "select p_partkey, case p_partkey % 5 when 0 then 'LDA' when 1 then 'GGA' when 2 then 'MGGA' when 3 then 'HYB_GGA' else 'HYB_MGGA' end as name, case p_partkey % 5 when 0 then '1' when 1 then '2' when 2 then '3' when 3 then '2,4' else '3,4' end as family from part")
@@ -308,37 +330,49 @@ def _(t):
     return t.b_series.select("run_id", "step", F.round("value", 5).alias("value"))
 
 
-LAYERS = """select struct_id, layer, number, count(*) as n from (select *, cast(sum(fresh) over (partition by struct_id order by z, atom_idx rows unbounded preceding) as bigint) as layer from
-  (select *, case when z - lag(z) over (partition by struct_id order by z, atom_idx) > 0.7 then 1 else 0 end as fresh from b_atoms) f) l group by 1, 2, 3"""
+LENGTHS = ", ".join(f"sqrt(a{i}1 * a{i}1 + a{i}2 * a{i}2 + a{i}3 * a{i}3)" for i in (1, 2, 3))
+ORDERED = f"""select a.struct_id, cast(row_number() over (partition by a.struct_id order by h, a.atom_idx) as int) as place, a.atom_idx, a.number, h as height from (select b.*, case when l.axis = 1 then b.x when l.axis = 2 then b.y else b.z end as h from b_atoms b
+  join (select struct_id, list_last(list_filter([1, 2, 3], lambda i: ls[i] = list_max(ls))) as axis from (select struct_id, [{LENGTHS}] as ls from b_lattices) q) l on l.struct_id = b.struct_id) a"""
+LAYERS = f"""select struct_id, layer, number, count(*) as n from (select *, cast(sum(fresh) over (partition by struct_id order by place rows unbounded preceding) as bigint) as layer from
+  (select *, case when height - lag(height) over (partition by struct_id order by place) > 0.7 then 1 else 0 end as fresh from ({ORDERED}) o) f) l group by 1, 2, 3"""
 
 
-@query("w4_slab_layers", LAYERS)
+@query("o3_atoms_by_axis", ORDERED)
 def _(t):
-    return G.slab_layers(t.b_atoms)
+    return G.atoms_by_axis(t.b_atoms, t.b_lattices)
 
 
-@query("c8_surface_termination", f"""with c as (select struct_id, layer, string_agg(number || 'x' || n, '-' order by number, n) as content from ({LAYERS}) y group by 1, 2),
-  d as (select struct_id, min_by(content, layer) as a, max_by(content, layer) as b, count(*) as k from c group by 1) select struct_id, a as termination from d where k > 1 and a = b""")
+@query("w4_slab_layers", LAYERS)
 def _(t):
-    return G.surface_termination(G.slab_layers(t.b_atoms))
+    return G.slab_layers(t.b_atoms, t.b_lattices)
 
 
-DET = "abs(a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31))"
+@query("c8_surface_termination", f"""with c as (select struct_id, layer, list_reduce(list(n), lambda a, b: gcd(a, b)) as g, list({{'p': e.place, 's': e.symbol, 'n': n}} order by e.place, e.symbol) as content from ({LAYERS}) y join {ELEMENT_ROWS} on e.number = y.number group by 1, 2),
+  d as (select struct_id, min_by(content, layer) as a, max_by(content, layer) as b, min_by(g, layer) as g, count(*) as k from c group by 1)
+  select struct_id, array_to_string(list_transform(a, lambda x: x.s || case when x.n = g then '' else cast(x.n // g as varchar) end), '') as termination from d where k > 1 and a = b""")
+def _(t):
+    return G.surface_termination(G.slab_layers(t.b_atoms, t.b_lattices), elements(t.spark))
 
 
-@query("w5_cell_drift", f"select checksum, round(max_by(v, step) - min_by(v, step), 6) as dv from (select s.checksum, s.step, {DET} as v from b_structures s join b_lattices l using (struct_id)) x group by 1")
-def _(t):
-    return G.cell_drift(t.b_structures, t.b_lattices)
+DET = "abs(a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31))"
 
 
-@query("g1_cell_parameters", f"""select struct_id, round(sqrt(a11 * a11 + a12 * a12 + a13 * a13), 3) as a, round(sqrt(a21 * a21 + a22 * a22 + a23 * a23), 3) as b, round(sqrt(a31 * a31 + a32 * a32 + a33 * a33), 3) as c,
+CELLS = f"""select struct_id, round(sqrt(a11 * a11 + a12 * a12 + a13 * a13), 3) as a, round(sqrt(a21 * a21 + a22 * a22 + a23 * a23), 3) as b, round(sqrt(a31 * a31 + a32 * a32 + a33 * a33), 3) as c,
   round(degrees(acos((a21 * a31 + a22 * a32 + a23 * a33) / (sqrt(a21 * a21 + a22 * a22 + a23 * a23) * sqrt(a31 * a31 + a32 * a32 + a33 * a33)))), 2) as alpha,
   round(degrees(acos((a11 * a31 + a12 * a32 + a13 * a33) / (sqrt(a11 * a11 + a12 * a12 + a13 * a13) * sqrt(a31 * a31 + a32 * a32 + a33 * a33)))), 2) as beta,
-  round(degrees(acos((a11 * a21 + a12 * a22 + a13 * a23) / (sqrt(a11 * a11 + a12 * a12 + a13 * a13) * sqrt(a21 * a21 + a22 * a22 + a23 * a23)))), 2) as gamma, round({DET}, 3) as volume from b_lattices""")
+  round(degrees(acos((a11 * a21 + a12 * a22 + a13 * a23) / (sqrt(a11 * a11 + a12 * a12 + a13 * a13) * sqrt(a21 * a21 + a22 * a22 + a23 * a23)))), 2) as gamma, round({DET}, 3) as volume from b_lattices"""
+
+
+@query("g1_cell_parameters", CELLS)
 def _(t):
     return G.cell_parameters(t.b_lattices)
 
 
+@query("w5_cell_drift", "select checksum, " + ", ".join(f"round(max_by(c.{n}, s.step) - min_by(c.{n}, s.step), 3) as {'dv' if n == 'volume' else 'd' + n}" for n in ("a", "b", "c", "alpha", "beta", "gamma", "volume")) + f" from b_structures s join ({CELLS}) c using (struct_id) group by 1")
+def _(t):
+    return G.cell_drift(t.b_structures, t.b_lattices)
+
+
 @query("g2_fractional", """with f as (select a.struct_id, a.atom_idx, a.number, x, y, z, l.*, a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31) as det from b_atoms a join b_lattices l on a.struct_id = l.struct_id)
   select struct_id, atom_idx, number, round((x * (a22 * a33 - a23 * a32) + y * (a23 * a31 - a21 * a33) + z * (a21 * a32 - a22 * a31)) / det + 1e-9, 5) + 0.0 as fx, round((x * (a13 * a32 - a12 * a33) + y * (a11 * a33 - a13 * a31) + z * (a12 * a31 - a11 * a32)) / det + 1e-9, 5) + 0.0 as fy,
   round((x * (a12 * a23 - a13 * a22) + y * (a13 * a21 - a11 * a23) + z * (a11 * a22 - a12 * a21)) / det + 1e-9, 5) + 0.0 as fz from f""")
@@ -346,22 +380,27 @@ def _(t):
     return G.fractional(t.b_atoms, t.b_lattices).select("struct_id", "atom_idx", "number", *((F.round(F.col(c) + 1e-9, 5) + 0.0).alias(c) for c in ("fx", "fy", "fz")))
 
 
-BANDS_SQL = "select vec_id as run_id, list_transform(generate_series(0, 3), lambda b: list_transform(generate_series(1, 16), lambda k: cast(embedding[b * 16 + k] as double) + [-0.6, -0.2, 0.25, 0.6][b + 1])) as s from embeddings"
+BANDS_SQL = "select vec_id as run_id, list_transform(generate_series(0, 3), lambda b: list_transform(generate_series(1, 16), lambda k: cast(embedding[b * 16 + k] as double) + [-0.6, -0.2, 0.25, 0.6][b + 1])) as s, list_transform(generate_series(0, 15), lambda k: k // 2) as x from embeddings"
 
 
 def _bands(t) -> DataFrame:
     move = F.array(*(F.lit(x) for x in (-0.6, -0.2, 0.25, 0.6)))
     e = F.col("embedding").cast("array<double>")
-    return t.embeddings.select(F.col("vec_id").alias("run_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.transform(F.slice(e, b * 16 + 1, F.lit(16)), lambda x: x + move[b])).alias("stripes"))
+    stripes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.transform(F.slice(e, b * 16 + 1, F.lit(16)), lambda x: x + move[b]))
+    return t.embeddings.select(F.col("vec_id").alias("run_id"), stripes.alias("stripes"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.floor(k / 2).cast("double")).alias("abscissa"))
 
 
-@query("g5_is_conductor", f"select run_id, len(list_filter(s, lambda x: list_min(x) < 0 and list_max(x) > 0)) > 0 as conductor from ({BANDS_SQL}) b")
+CONDUCTS = f"select run_id, len(list_filter(generate_series(1, 4), lambda i: list_min(s[i]) < 0 and list_max(s[i]) > 0 and len(list_filter(generate_series(1, i), lambda j: list_min(s[j]) > 0)) = 0)) > 0 as conductor from ({BANDS_SQL}) b"
+
+
+@query("g5_is_conductor", CONDUCTS)
 def _(t):
     return _bands(t).select("run_id", SP.is_conductor(F.col("stripes")).alias("conductor"))
 
 
-GAPS = f"""select run_id, case when n is null or gap > 50 then null else round(greatest(gap, 0.0), 4) end as gap, case when n is null or gap > 50 then null else list_position(s[n + 1], list_min(s[n + 1])) = list_position(s[n], list_max(s[n])) end as direct, n is null or gap > 50 as error
-  from (select run_id, s, n, list_min(s[n + 1]) - list_max(s[n]) as gap from (select run_id, s, list_filter([1, 2, 3], lambda i: list_min(s[i + 1]) > 0)[1] as n from ({BANDS_SQL}) b) c) d"""
+GAPS = f"""select run_id, case when n is null or gap > 50 then null else round(greatest(gap, 0.0), 4) end as gap, case when n is null or gap > 50 or gap <= 0 then null else x[list_position(s[n + 1], list_min(s[n + 1]))] = x[list_position(s[n], list_max(s[n]))] end as direct,
+  case when n is null then 'no bands above zero found' when gap > 50 then 'unphysical band gap' end as error
+  from (select run_id, s, x, n, list_min(s[n + 1]) - list_max(s[n]) as gap from (select run_id, s, x, list_filter([1, 2, 3], lambda i: list_min(s[i + 1]) > 0)[1] as n from ({BANDS_SQL}) b) c) d"""
 
 
 @query("g6_band_gap", GAPS)
@@ -369,8 +408,8 @@ def _(t):
     return SP.band_gap(_bands(t))
 
 
-@query("g8_electronic_type", f"""select g.run_id, case when c then 2 when g.gap is not null then 1 else 0 end as etype, case when c then 0.0 else round(g.gap, 2) end as gap, case when c then 1 when g.gap is null then 0 when g.gap = 0 then 1 when g.direct then 2 else 3 end as bandgaptype
-  from ({GAPS}) g join (select run_id, len(list_filter(s, lambda x: list_min(x) < 0 and list_max(x) > 0)) > 0 as c from ({BANDS_SQL}) b) h on g.run_id = h.run_id""")
+@query("g8_electronic_type", f"""select g.run_id, case when conductor then 2 when g.gap is not null then 1 else 0 end as etype, case when conductor then 0.0 else round(g.gap, 2) end as gap, case when conductor then 1 when g.gap is null then 0 when g.gap = 0 then 1 when g.direct then 2 else 3 end as bandgaptype
+  from ({GAPS}) g join ({CONDUCTS}) h on g.run_id = h.run_id""")
 def _(t):
     bands = _bands(t)
     both = SP.band_gap(bands).join(bands.select("run_id", SP.is_conductor(F.col("stripes")).alias("c")), "run_id")
@@ -383,9 +422,22 @@ def _(t):
     return SP.band_path(t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("k_idx"), F.col("value").alias("kx"), F.lit(0.0).alias("ky"), F.lit(0.0).alias("kz")))
 
 
-@query("o1_browse", "select checksum, chemical_formula from b_struct_ratios where checksum in (select checksum from b_tags where tid in (3, 5) group by 1 having count(distinct tid) = 2) order by chemical_formula, checksum limit 100 offset 100")
+BROWSE = "select checksum, chemical_formula, location from b_struct_ratios join b_metadata using (checksum) where checksum in (select checksum from b_tags where tid in (3, 5) group by 1 having count(distinct tid) = 2) and checksum in (select checksum from b_electrons where gap between 0 and 6)"
+
+
+def _browse(t):
+    runs = t.b_struct_ratios.join(t.b_metadata, "checksum").select("checksum", "chemical_formula", "location")
+    return R.browse(runs, t.b_tags, [3, 5], {"electrons": t.b_electrons}, [("electrons", "gap", 0, 6)], sort=0, page=1, size=50)
+
+
+@query("o1_browse", BROWSE + " order by chemical_formula, checksum limit 50 offset 50")
+def _(t):
+    return _browse(t)[0]
+
+
+@query("o1_browse_count", f"select count(*) as count from ({BROWSE}) b")
 def _(t):
-    return R.browse(t.b_struct_ratios.join(FA.all_tags(t.b_tags, [3, 5]), "checksum", "left_semi").select("checksum", "chemical_formula"), "chemical_formula", 1, 100)
+    return _browse(t)[1]
 
 
 @query("s1_make_tags", "select distinct checksum, 1 as cid, chemical_formula as topic from b_struct_ratios union select checksum, 3, cast(nelem as varchar) from b_struct_ratios union select checksum, 1006, cast(finished as varchar) from b_metadata")
@@ -433,8 +485,10 @@ def _(t):
     return MT.ancestors(t.b_calcsets)
 
 
-@query("s7_purge_dataset", CLOSURE + """, z as (select distinct children_checksum as checksum, cast(10 as bigint) as size from b_calcsets), s as (select checksum, size from z union select distinct parent_checksum, cast(10 as bigint) from b_calcsets)
-  select s.checksum, cast(s.size - coalesce((select sum(10) from (select distinct node from up where ancestor = s.checksum and node in (select checksum from s where length(checksum) = 4)) d), 0) as bigint) as download_size from s""")
+@query("s7_purge_dataset", CLOSURE + """, s as (select distinct checksum from (select children_checksum as checksum from b_calcsets union select parent_checksum from b_calcsets) a), k as (select checksum from s where length(checksum) = 4),
+  g as (select parent_checksum as checksum, count(*) as n, count(*) filter (where length(children_checksum) = 4) as fewer from b_calcsets group by 1)
+  select s.checksum, cast(10 - coalesce((select count(*) * 10 from (select distinct node from up where ancestor = s.checksum and node in (select checksum from k)) d), 0) as bigint) as download_size, coalesce(g.n - g.fewer, 0) as siblings_count, coalesce(g.n = g.fewer and g.fewer > 0, false) as refused
+  from s left join g using (checksum) where s.checksum not in (select checksum from k)""")
 def _(t):
     sizes = t.b_calcsets.select(F.col("children_checksum").alias("checksum")).union(t.b_calcsets.select("parent_checksum")).distinct().withColumn("download_size", F.lit(10).cast("long"))
     return MT.purge_dataset(sizes, t.b_calcsets, sizes.where("length(checksum) = 4").select("checksum"))
@@ -464,9 +518,11 @@ def _(t):
     return SF.attach_inputs(t.b_files)
 
 
-@query("src6_parse_runs")
+@query("src6_parse_runs", """select 'runs/C' || o_orderkey || '.out' as path, (o_orderkey % 6) || '.1' as version, round(-(floor(o_totalprice) + 0.5) * 13.605693, 2) as energy, case o_custkey % 3 when 2 then 'mine' else 'PBE' end as h, case o_custkey % 3 when 2 then '' else '2' end as types,
+  case when o_orderstatus = 'F' then 2 else 1 end as finished, case when o_orderstatus = 'F' then round((o_orderkey % 60) / 60.0, 2) end as hours, cast(null as varchar) as error from orders""")
 def _(t):
-    return SF.parse_runs(t.b_files.select("path", "text"))
+    runs = SF.parse_runs(t.b_logs)
+    return runs.select("path", "version", F.round("energy", 2).alias("energy"), F.col("H").alias("h"), F.array_join("xc_types", ",").alias("types"), "finished", "hours", "error")
 
 
 @query("h1_html_formula", r"select checksum, regexp_replace(chemical_formula, '([0-9.\-][0-9.\-d]*)', '<sub>\1</sub>', 'g') as html from b_struct_ratios")
@@ -490,9 +546,10 @@ def _(t):
     return named.select("struct_id", S.standard_formula(F.col("symbols")).alias("formula"))
 
 
-@query("h5_reduced_formula", "select distinct chemical_formula, chemical_formula as reduced from b_struct_ratios")
+@query("h5_reduced_formula", f"""with c as (select a.struct_id, e.symbol, e.place, count(*) as n from b_atoms a join {ELEMENT_ROWS} on e.number = a.number group by 1, 2, 3), g as (select struct_id, case when count(*) = 1 then 1 else list_reduce(list(n), lambda a, b: gcd(a, b)) end as g from c group by 1)
+  select struct_id, string_agg(symbol || case when n = g then '' else cast(n // g as varchar) end, '' order by place, symbol) as reduced from c join g using (struct_id) group by 1""")
 def _(t):
-    return t.b_struct_ratios.select("chemical_formula").distinct().select("chemical_formula", S.reduced_formula(S.parse_formula(F.col("chemical_formula"))).alias("reduced"))
+    return G.composition(t.b_atoms, elements(t.spark)).select("struct_id", S.reduced_formula(S.parse_formula(F.col("formula"))).alias("reduced"))
 
 
 @query("h6_nelem", "select struct_id, least(cast(count(distinct number) as int), 13) as nelem, count(*) as natom from b_atoms group by 1")
@@ -607,7 +664,10 @@ def _(t):
     return t.b_struct_ratios.select("checksum", G.is_organic(S.parse_formula(F.col("chemical_formula")), F.lit(0)).alias("organic"))
 
 
-@query("c4_vacancy_defect")
+@query("c4_vacancy_defect", f"""with c as (select a.struct_id, e.symbol, e.place, count(*) as n from b_atoms a join {ELEMENT_ROWS} on e.number = a.number group by 1, 2, 3), l as (select struct_id, list(n order by place, symbol) as ns, list(symbol order by place, symbol) as es from c group by 1),
+  t as (select struct_id, es[i] as element, k, i, list_reduce(list_transform(ns, lambda x, j: x + case when j = i then k else 0 end), lambda a, b: gcd(a, b)) as g, list_reduce(ns, lambda a, b: gcd(a, b)) as plain from (select *, unnest(generate_series(1, len(ns))) as i from l where len(ns) > 1) q, (values (1), (2)) v(k)),
+  b as (select struct_id, any_value(plain) as plain, arg_max({{'gcd': g, 'element': element, 'added': k}}, g * 10000 - k * 1000 - i) as x from t group by 1)
+  select f.struct_id, f.formula, case when x.gcd > plain then cast(x.gcd as int) end as gcd, case when x.gcd > plain then x.element end as element, case when x.gcd > plain then x.added end as added from ({COMPOSED}) f left join b on b.struct_id = f.struct_id""")
 def _(t):
     return G.composition(t.b_atoms, elements(t.spark)).select("struct_id", "formula", G.vacancy_defect(S.parse_formula(F.col("formula"))).alias("x")).select("struct_id", "formula", "x.*")
 
@@ -637,6 +697,11 @@ def _(t):
     return K.run_keys(runs, t.b_structures, t.b_lattices, t.b_atoms)
 
 
+@query("g11_tick_labels", "select name, case name when 'GAMMA' then '&#915;' else name end as label from (select case p_partkey % 3 when 0 then 'GAMMA' when 1 then 'X' else 'M' end as name from part) p")
+def _(t):
+    return t.part.select(F.element_at(F.array(F.lit("GAMMA"), F.lit("X"), F.lit("M")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("name")).select("name", SP.tick_label(F.col("name")).alias("label"))
+
+
 @query("g11_spectra_points", "select vec_id as run_id, s.k as series, cast(i - 1 as int) as i, cast(i - 1 as double) as x, cast(embedding[i + s.o] as double) as y from embeddings, (values ('total', 0), ('part', 32)) s(k, o), generate_series(1, 32) as g(i)")
 def _(t):
     e = F.col("embedding").cast("array<double>")

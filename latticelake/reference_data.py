@@ -34,10 +34,12 @@ SITE_C = "H O F Cl Br I".split()
 # Space-group ranges (first, last, name).
 CRYSTAL_SYSTEMS = [(1, 2, "triclinic"), (3, 15, "monoclinic"), (16, 74, "orthorhombic"), (75, 142, "tetragonal"), (143, 167, "trigonal"), (168, 194, "hexagonal"), (195, 230, "cubic")]
 POINT_GROUPS = [
-    (1, 1, "C1"), (2, 2, "Ci"), (3, 5, "C2"), (6, 9, "Cs"), (10, 15, "C2h"), (16, 24, "D2"), (25, 46, "C2v"), (47, 74, "D2h"), (75, 80, "C4"), (81, 82, "S4"), (83, 88, "C4h"),
-    (89, 98, "D4"), (99, 110, "C4v"), (111, 122, "D2d"), (123, 142, "D4h"), (143, 146, "C3"), (147, 148, "C3i"), (149, 155, "D3"), (156, 161, "C3v"), (162, 167, "D3d"),
-    (168, 173, "C6"), (174, 174, "C3h"), (175, 176, "C6h"), (177, 182, "D6"), (183, 186, "C6v"), (187, 190, "D3h"), (191, 194, "D6h"), (195, 199, "T"), (200, 206, "Th"),
-    (207, 214, "O"), (215, 220, "Td"), (221, 230, "Oh"),
+    (1, 1, "C<sub>1</sub>"), (2, 2, "C<sub>i</sub>"), (3, 5, "C<sub>2</sub>"), (6, 9, "C<sub>s</sub>"), (10, 15, "C<sub>2h</sub>"), (16, 24, "D<sub>2</sub>"),
+    (25, 46, "C<sub>2v</sub>"), (47, 74, "D<sub>2h</sub>"), (75, 80, "C<sub>4</sub>"), (81, 82, "S<sub>4</sub>"), (83, 88, "C<sub>4h</sub>"), (89, 98, "D<sub>4</sub>"),
+    (99, 110, "C<sub>4v</sub>"), (111, 122, "D<sub>2d</sub>"), (123, 142, "D<sub>4h</sub>"), (143, 146, "C<sub>3</sub>"), (147, 148, "C<sub>3i</sub>"), (149, 155, "D<sub>3</sub>"),
+    (156, 161, "C<sub>3v</sub>"), (162, 167, "D<sub>3d</sub>"), (168, 173, "C<sub>6</sub>"), (174, 174, "C<sub>3h</sub>"), (175, 176, "C<sub>6h</sub>"), (177, 182, "D<sub>6</sub>"),
+    (183, 186, "C<sub>6v</sub>"), (187, 190, "D<sub>3h</sub>"), (191, 194, "D<sub>6h</sub>"), (195, 199, "T"), (200, 206, "T<sub>h</sub>"), (207, 214, "O"),
+    (215, 220, "T<sub>d</sub>"), (221, 230, "O<sub>h</sub>"),
 ]
 # Space group to layer group, right angles; and what other angles change.
 LAYER_GROUPS = {
@@ -65,7 +67,7 @@ ENUMS = {
     1006: ["unknown finalization", "not finalized", "finalized"],
 }
 
-# Facets: id, name, source, sort, multiple, optional, summary, column, facet, topic.
+# Facets (those that the operators here fill): id, name, source, sort, multiple, optional, summary, column, facet, topic.
 FACETS = [
     (1, "formula", "standard", 20, False, False, True, True, True, True), (2, "host elements", "elements", 30, True, False, False, False, True, True),
     (3, "number of elements", "nelem", 40, False, False, True, False, True, True), (5, "periodicity", "periodicity", 50, False, False, True, True, True, True),

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.functionals import xc_lookup
 from ..functions.scalars import RYDBERG_EV, duration_hours
+from ..reference_data import SYMBOLS
 
-#: Formats by what a line of their logs holds; a line must match all patterns of a rule.
-RULES = {"vasp-xml": [r'<i name="program" type="string">vasp'], "pwscf": [r"(pwscf|PWSCF)"], "pwscf-old": [r"     Current dimensions of program "]}
-PARSED = "path string, format string, version string, energy double, natom int, xc string, finished int, hours double, error string"
+# Formats by what a line of their logs holds; a line must match all patterns of a rule.
+RULES = {"vasp-xml": [r'<i name="program" type="string">vasp'], "pwscf": [r"pwscf|PWSCF", r"     Current dimensions of program "]}
 
 
 def _has(affix: str):
@@ -35,17 +37,25 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = False, skip_aff
 
 
 def scan_stem(files: DataFrame, stem: str, skip_affixes: list[str] = ()) -> DataFrame:
+    """Files whose path contains stem, without skipped ones."""
     return files.where(F.col("path").contains(stem) & unskipped(F.col("path"), list(skip_affixes)))
 
 
 def scan_targets(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """Files below one of the listed paths (column value)."""
-    return files.join(targets.select(F.trim("value").alias("target")).where("target <> ''").distinct(), F.expr("startswith(path, target)"), "left_semi")
+    """Files that a listed path (column value) names, or that lie in a listed folder at any level.
 
+    Every file is joined through the folders above it, so the join has a key.
+    """
+    wanted = targets.select(F.regexp_replace(F.trim("value"), "/+$", "").alias("target")).where("target <> ''").distinct()
+    parts = F.split("path", "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("target"))
+    found = above.join(wanted, "target", "left_semi").select("path").distinct()
+    return files.join(found, "path", "left_semi")
 
-def is_binary(text: Column) -> Column:
-    """Whether the first 2,048 characters hold other than ASCII."""
-    return F.substring(text, 1, 2048).rlike("[^\\x00-\\x7F]")
+
+def is_binary(content: Column) -> Column:
+    """Whether the first 2,048 bytes hold other than ASCII."""
+    return F.decode(F.substring(content.cast("binary"), 1, 2048), "ISO-8859-1").rlike("[^\\x00-\\x7F]")
 
 
 def detect_format(text: Column, rules: dict[str, list[str]] = RULES) -> Column:
@@ -62,16 +72,122 @@ def detect_format(text: Column, rules: dict[str, list[str]] = RULES) -> Column:
     return F.get(F.filter(F.transform(lines, of), lambda x: x.isNotNull()), F.lit(0))
 
 
+#: What the plane-wave parser makes of a log.
+LOG = ("path string, version string, energy double, xc string, finished int, wall string, spin boolean, cell array<array<double>>, atoms array<struct<symbol:string,x:double,y:double,z:double>>, kpoints array<array<double>>,"
+       " bands struct<abscissa:array<double>,stripes:array<array<double>>>, k string, warns array<string>, error string")
+BOHR = 0.5291772083
+
+
+def _numbers(line: str) -> list[float]:
+    return [float(x) for x in re.findall(r"-?\d+\.?\d*(?:[eEdD][+-]?\d+)?", line)]
+
+
+def _block(lines: list[str], start: int, most: int | None = None) -> list[str]:
+    """Lines from start to the first empty one, or so many."""
+    end = start
+    while end < len(lines) and lines[end].strip() and (most is None or end < start + most):
+        end += 1
+    return lines[start:end]
+
+
+def structure_of(lines: list[str]) -> tuple[np.ndarray, list[str], np.ndarray] | None:
+    """(cell, symbols, positions) in angstrom as the last step of a log leaves them; None without sites.
+
+    Printed cells and positions follow each other in the log; a new cell keeps the fractional positions.
+    """
+    alat, cell, names, place = 1.0, None, [], None
+    seen = False
+    for n, line in enumerate(lines):
+        if line.startswith("     celldm") and not seen:
+            seen, alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
+        elif line.startswith("     crystal axes:"):
+            cell = np.array([_numbers(x.split("=", 1)[1])[:3] for x in lines[n + 1:n + 4]]) * alat
+        elif line.startswith("     site n.") and not names:
+            rows = _block(lines, n + 1)
+            names = [x.split()[1].strip("0123456789").split("_")[0] for x in rows]
+            names = [x if x in SYMBOLS or len(x) == 1 else x[:-1] for x in names]
+            place = np.array([_numbers(x.rsplit("(", 1)[1])[:3] for x in rows]) * alat
+        elif line.startswith("CELL_PARAMETERS") and place is not None:
+            rows = _block(lines, n + 1, 3)
+            if len(rows) == 3:
+                unit = BOHR if "bohr" in line else alat if "alat" in line else 1.0
+                fractions = place @ np.linalg.inv(cell)
+                cell = np.array([_numbers(x)[:3] for x in rows]) * unit
+                place = fractions @ cell
+        elif line.startswith("ATOMIC_POSITIONS") and place is not None:
+            rows = np.array([[float(v) for v in x.split()[1:4]] for x in lines[n + 1:n + 1 + len(names)]])
+            place = rows * alat if "alat" in line else rows * BOHR if "bohr" in line else rows if "angstrom" in line else rows @ cell
+    return None if place is None or cell is None else (cell, names, place)
+
+
+def bands_of_log(lines: list[str], cell: np.ndarray) -> tuple[dict, list[str]]:
+    """kpoints, bands, k and spin by the last set of eigenvalues, and what to warn of; bands count from the highest occupied level."""
+    ends = [n for n, x in enumerate(lines) if "End of self-consistent calculation" in x or "End of band structure calculation" in x]
+    out, warns = {"kpoints": None, "bands": None, "k": None, "spin": False}, []
+    if not ends:
+        return out, warns
+    points, values, level, failed, open_ = [], [], None, False, False
+    for line in lines[ends[-1] + 1:]:
+        if "    k =" in line:
+            points.append([float(x) for x in re.findall(r"-?\d*\.\d{4}", line.split("k =")[1])[:3]])
+            values.append([])
+            open_ = True
+        elif "highest occupied level" in line or "highest occupied, lowest unoccupied" in line or "Fermi energy" in line:
+            found = _numbers(line.split("is" if "Fermi" in line else ":")[-1])
+            level = found[0] if found else None
+            break
+        elif "SPIN UP" in line or "SPIN DOWN" in line:
+            out["spin"] = True
+        elif "Ry" in line or "CPU" in line:
+            failed = True
+            break
+        elif open_ and line.strip():
+            try:
+                values[-1] += [float(x) for x in line.split()]
+            except ValueError:
+                failed = True
+                break
+        elif values and values[-1]:
+            open_ = False
+    if not points or not any(values):
+        return out, warns
+    if out["spin"]:
+        warns.append("Spin states are not supported: only the spin down projection is considered.")
+    out |= {"kpoints": points, "k": f"{len(points) // (2 if out['spin'] else 1)} pts/BZ"}
+    if level is None and not failed:
+        warns.append("The highest occupied state was not found.")
+    elif failed or len({len(v) for v in values}) > 1:
+        warns.append("The band data are incorrect.")
+    else:
+        at = np.array(points) @ np.linalg.inv(cell).T
+        before = np.vstack([np.zeros(3), at[:-1]])
+        out["bands"] = {"abscissa": np.cumsum(np.linalg.norm(at + before, axis=1)).tolist(), "stripes": (np.array(values).T - level).tolist()}
+    return out, warns
+
+
 def parse_log(path: str, text: str) -> dict:
-    """Version, last total energy, number of atoms, functional, end mark and wall time of one plane-wave log."""
-    find = lambda p: re.findall(p, text)
-    energy, version, natom, xc, wall = find(r"!\s+total energy\s+=\s+(-?[\d.]+)"), find(r"Program PWSCF v\.?\s*(\S+)"), find(r"number of atoms/cell\s+=\s+(\d+)"), find(r"Exchange-correlation\s+=\s+([^(\n]+)"), find(r"PWSCF\s+:.*CPU\s+(.*?)\s*WALL")
-    return {"path": path, "format": "pwscf", "version": version[0] if version else None, "energy": float(energy[-1]) * RYDBERG_EV if energy else None, "natom": int(natom[0]) if natom else None,
-            "xc": xc[0].strip() if xc else None, "finished": 2 if "JOB DONE" in text else 1, "wall": wall[-1] if wall else None, "error": None if version else "no version found"}
+    """One plane-wave log as a row of LOG: what its last step says."""
+    lines = text.split("\n")
+    find = lambda p: re.findall(p, text, re.MULTILINE)
+    version, energy, xc = find(r"^     Program PWSCF\s*(?:v\.)?\s*(.*?) starts "), find(r"^!\s+total energy\s+=\s+(-?[\d.]+)"), find(r"^     Exchange-correlation\s*=\s*(.+)$")
+    wall = find(r"PWSCF\s+:.*CPU(?:\s+time)?,?\s*(.*?)\s*(?:WALL|wall)")
+    row = {"path": path, "version": version[0].strip() if version else None, "energy": float(energy[-1]) * RYDBERG_EV if energy else None, "xc": xc[0].strip() if xc else None, "wall": wall[-1].replace(" ", "") if wall else None,
+           "finished": 2 if wall or "This run was terminated on" in text else 1, "spin": False, "warns": [], "error": None if version else "no version found"}
+    found = structure_of(lines)
+    if found:
+        cell, names, place = found
+        row |= {"cell": cell.tolist(), "atoms": [dict(zip(("symbol", "x", "y", "z"), (s, *map(float, p)), strict=True)) for s, p in zip(names, place, strict=True)]}
+        bands, warns = bands_of_log(lines, cell)
+        row |= bands | {"warns": warns}
+    return row
 
 
 def parse_runs(files: DataFrame) -> DataFrame:
-    """Run rows of (path, text); a log that can't be read gives a row with an error, never a failed job."""
+    """Run rows of (path, text): LOG with the functional's name and types and the wall time in hours.
+
+    A log that can't be read gives a row with an error, never a failed job.
+    """
+    names = [x.split()[0] for x in re.split(r", (?=\w+ (?:string|double|int|boolean|array|struct))", LOG)]
 
     def run(batches):
         for pdf in batches:
@@ -80,11 +196,12 @@ def parse_runs(files: DataFrame) -> DataFrame:
                 try:
                     rows.append(parse_log(path, text or ""))
                 except Exception as e:  # a bad log is a result
-                    rows.append({"path": path, "format": "pwscf", "error": str(e)[:200]})
-            yield pd.DataFrame(rows, columns=["path", "format", "version", "energy", "natom", "xc", "finished", "wall", "error"]).astype({"natom": "Int32", "finished": "Int32"})
+                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:200]})
+            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
-    raw = files.select("path", "text").mapInPandas(run, PARSED.replace("hours double", "wall string"))
-    return raw.withColumn("hours", F.when(F.col("wall").isNotNull(), duration_hours(F.col("wall")))).select(*(c.split()[0] for c in PARSED.split(", ")))
+    raw = files.select("path", "text").mapInPandas(run, LOG)
+    xc = xc_lookup(F.col("xc"))
+    return raw.select("*", xc["name"].alias("H"), xc["types"].alias("xc_types"), F.when(F.col("wall").isNotNull(), duration_hours(F.col("wall"))).alias("hours"), F.size("atoms").alias("natom"), F.lit("pwscf").alias("format")).drop("wall")
 
 
 def folder_and_stem(path: Column) -> tuple[Column, Column, Column]:
@@ -104,10 +221,20 @@ def attach_inputs(files: DataFrame) -> DataFrame:
     return found.select("path", chosen.alias("input"), F.when(chosen.isNull(), F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("no input file")).otherwise(F.lit("several input files"))).alias("warning"))
 
 
-def load_articles(els: DataFrame, meta: DataFrame) -> DataFrame:
-    """(paper, elements, standard, authors, title) from (element, papers) and (paper, authors, title): sorted elements, authors once in order."""
+def load_articles(els: DataFrame, meta: DataFrame, biblio: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """(paper, elements, standard, authors, title, dtype) of articles: sorted elements, authors once in order.
+
+    els has (element, papers), overrides (paper, elements) replaces a paper's elements, meta has
+    (paper, authors, title); papers that it lacks take theirs from biblio, which has the same columns.
+    """
     papers = els.select("element", F.explode("papers").alias("paper")).groupBy("paper").agg(F.array_sort(F.collect_set("element")).alias("elements"))
-    return papers.join(meta, "paper", "left").select("paper", "elements", F.array_join("elements", " / ").alias("standard"), F.array_distinct(F.split(F.replace("authors", F.lit(" and "), F.lit(", ")), ", ")).alias("authors"), "title")
+    if overrides is not None:
+        own = overrides.select("paper", F.array_sort(F.array_distinct("elements")).alias("own"))
+        papers = papers.join(own, "paper", "full").select("paper", F.coalesce("own", "elements").alias("elements"))
+    found = papers.join(meta.select("paper", "authors", "title"), "paper", "left")
+    if biblio is not None:
+        found = found.join(biblio.select("paper", F.replace("authors", F.lit(" and "), F.lit(", ")).alias("raw_authors"), F.col("title").alias("raw_title")), "paper", "left").withColumns({"authors": F.coalesce("authors", "raw_authors"), "title": F.coalesce("title", "raw_title")})
+    return found.select("paper", "elements", F.array_join("elements", " / ").alias("standard"), F.array_distinct(F.split("authors", ", ")).alias("authors"), "title", F.lit(1).alias("dtype"))
 
 
 def article_key(content: Column) -> Column:

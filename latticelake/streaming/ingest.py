@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.facets import dedupe_new
+from ..tables import written
 
+EXISTS = "This calculation already exists!"
 
-def append_new(batch: DataFrame, path: str) -> int:
-    """Appends the runs of a batch whose checksum isn't there yet; returns how many."""
-    spark = batch.sparkSession
+
+def known_keys(spark, path: str) -> DataFrame:
+    """(checksum) of the repository at path; empty where there is none yet."""
     try:
-        known = spark.read.parquet(path).select("checksum")
+        return spark.read.parquet(path).select("checksum")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        known = spark.createDataFrame([], "checksum string")
-    new = dedupe_new(batch, known)
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+        return spark.createDataFrame([], "checksum string")
+
+
+def split_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """batch with the column error: null for the first row of each unknown key, else EXISTS."""
+    first = F.row_number().over(Window.partitionBy("checksum").orderBy(F.lit(1))) == 1
+    marked = batch.withColumn("first", first).join(known.distinct().withColumn("known", F.lit(True)), "checksum", "left")
+    return marked.withColumn("error", F.when(F.col("known").isNotNull() | ~F.col("first"), F.lit(EXISTS))).select(*batch.columns, "error")
+
 
+def append_new(batch: DataFrame, path: str, rejected: str | None = None) -> tuple[int, int]:
+    """Appends the runs of a batch whose checksum isn't there yet, and the keys of the others with their error to `rejected`; returns how many of either.
 
-def ingest(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    The batch is read once: both parts come from one checked table in the shared folder.
+    """
+    checked = written(split_batch(batch, known_keys(batch.sparkSession, path)), "batch")
+    count = {r.ok: r.n for r in checked.groupBy(F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n")).collect()}
+    if count.get(True):
+        checked.where("error is null").drop("error").write.mode("append").parquet(path)
+    if count.get(False) and rejected:
+        checked.where("error is not null").select("checksum", "error").write.mode("append").parquet(rejected)
+    return count.get(True, 0), count.get(False, 0)
+
+
+def ingest(runs: DataFrame, path: str, checkpoint: str, rejected: str | None = None) -> StreamingQuery:
     """Starts a query that handles what is available of a streaming DataFrame of run rows, then ends."""
-    return runs.writeStream.foreachBatch(lambda batch, _: append_new(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def handle(batch: DataFrame, _: int) -> None:
+        append_new(batch, path, rejected)
+
+    return runs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

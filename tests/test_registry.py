@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from latticelake.plans import registry
+from latticelake.plans import registry, repository  # noqa: F401  the second one registers further queries
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
