@@ -58,7 +58,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], most_bytes: int = 1_000_000):
+def chunks(texts: list[bytes], most_bytes: int = 300_000):
     """(from, to) ranges of texts of about most_bytes together; a longer text is alone."""
     start = total = 0
     for i, t in enumerate(texts):

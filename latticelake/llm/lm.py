@@ -16,7 +16,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ CLASSES = HEADS + TAILS
 COARSE = 32
 ROUNDS, RATE = 14, 0.6
 #: Numbers of a block in which expected counts travel, and bytes of texts that are worked on at once.
-BLOCK, CHUNK = 16384, 1_000_000
+BLOCK, CHUNK = 16384, 500_000
 
 
 def held_out(doc_id) -> bool:
@@ -257,9 +256,9 @@ def trained(spark, z: Sizes, sums: DataFrame, head: np.ndarray, rounds: int = RO
         columns = [[np.asarray(b.column(k)) for k in range(3)] for b in batches]
         return [np.concatenate(x) for x in zip(*columns, strict=True)] if columns else None
 
-    def added(block: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in block["sums"])
-        return pd.DataFrame({"block": block["block"][:1], "sums": [total.astype("<f4").tobytes()]})
+    def added(block: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in block.column("sums").to_pylist())
+        return pa.table({"block": block.column("block").slice(0, 1), "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
@@ -272,7 +271,7 @@ def trained(spark, z: Sizes, sums: DataFrame, head: np.ndarray, rounds: int = RO
                     if out[k:k + BLOCK].any():
                         yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([out[k:k + BLOCK].astype("<f4").tobytes()], pa.binary())], names=["block", "sums"])
 
-        blocks = table.coalesce(parts).mapInArrow(run, "block int, sums binary").groupBy("block").applyInPandas(added, "block int, sums binary").toArrow()
+        blocks = table.coalesce(parts).mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(added, "block int, sums binary").toArrow()
         expected = np.zeros_like(seen)
         for k, x in zip(blocks.column("block").to_pylist(), blocks.column("sums").to_pylist(), strict=True):
             own = np.frombuffer(x, "<f4")

@@ -8,7 +8,6 @@ distance. Counts that need no reference (dup lines, repeated words, symbols) com
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,10 +135,10 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(kl.sum(axis=1) / 2, 0, 1)), 0.0)
 
 
-def distances(kinds: np.ndarray, words: np.ndarray, sums: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """class_js and word_js of texts against their references' sums (null: no reference, distance 0)."""
-    known = np.asarray(sums.is_valid())
-    rows = np.array(sums.drop_null().flatten()).reshape(-1, 1 + N_CLASSES + N_WORDS)[:, 1:]
+def distances(kinds: np.ndarray, words: np.ndarray, sums: list) -> tuple[np.ndarray, np.ndarray]:
+    """class_js and word_js of texts against their references' sums (None: no reference, distance 0)."""
+    known = np.array([x is not None for x in sums], dtype=bool)
+    rows = np.array([x for x in sums if x is not None]).reshape(-1, 1 + N_CLASSES + N_WORDS)[:, 1:]
     out = np.zeros(len(known)), np.zeros(len(known))
     for value, counts, ref in zip(out, (kinds, words), (rows[:, :N_CLASSES], rows[:, N_CLASSES:]), strict=True):
         value[known] = js_distance(counts[known], ref / np.maximum(ref.sum(axis=1, keepdims=True), 1))
@@ -170,7 +169,7 @@ def judge(docs: DataFrame, most_class: float = 0.30, most_sum: float = 0.50, lea
             n = b.num_rows
             kinds = np.array(b.column(1).flatten()).reshape(n, N_CLASSES)
             words = np.array(b.column(2).flatten()).reshape(n, N_WORDS)
-            class_js, word_js = distances(kinds, words, b.column(3))
+            class_js, word_js = distances(kinds, words, b.column(3).to_numpy(zero_copy_only=False).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(class_js), pa.array(word_js)], names=["doc_id", *COUNTS, "class_js", "word_js"])
 
     scored = profiled.join(refs, "lang", "left").select("doc_id", "kinds", "words", "sums", *COUNTS).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", class_js double, word_js double")
@@ -197,17 +196,16 @@ def keep_good(docs: DataFrame) -> DataFrame:
         lang, sums = lang + "_", sums + "_"
     refs = written(references(profiles(rows)), "references").toDF(lang, sums)
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, sums: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array, sums: pa.Array) -> pa.Array:
         out = np.zeros(len(text), bool)
-        whole = texts_of(pa.array([t if isinstance(t, str) else None for t in text], pa.string()))
-        for i, j in chunks(whole, 1_000_000):
+        whole, own = texts_of(text), sums.to_numpy(zero_copy_only=False).tolist()
+        for i, j in chunks(whole):
             m = measured(whole[i:j])
-            ref = pa.array([None if x is None else [int(v) for v in x] for x in sums[i:j]], pa.list_(pa.int64()))
-            class_js, word_js = distances(m["kinds"], m["words"], ref)
+            class_js, word_js = distances(m["kinds"], m["words"], own[i:j])
             failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
             out[i:j] = ~failed & ~too_far(m["word_chars"], m["n_words"], class_js, word_js)
-        return pd.Series(out)
+        return pa.array(out)
 
     told = docs.join(refs, F.coalesce(docs["lang"].cast("string"), F.lit("")) == refs[lang], "left")
     return told.where(good(F.col("text").cast("string"), F.col(sums))).select(*(docs[f"`{c}`"] for c in docs.columns))

@@ -71,7 +71,7 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             texts = texts_of(b.column(1))
             ids, versions = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for i, j in chunks(texts, 500_000):
+            for i, j in chunks(texts, 200_000):
                 at, start, g, c = sampled(texts[i:j], length)
                 # many contexts of one gram: it is repeated for certain, so its rows needn't meet; one of them still goes with the rest
                 doc, version = ids[i:j][at].astype(np.int64), versions[i:j][at].astype(np.int32)
@@ -267,7 +267,7 @@ def _versions(docs: DataFrame) -> DataFrame:
     return docs.withColumn("h", h).join(numbered, ["doc_id", "h"], "left").withColumn("version", F.coalesce("version", F.lit(0))).drop("h")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, others: list[str] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, others: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the remaining bytes.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of
@@ -275,8 +275,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text has no bytes. Repeated rows count as one document and give repeated rows; different texts
     of one id count as documents that follow each other by a hash. Rows with a null id keep all
     their bytes. The columns named in others come along as struct `others`; the rest is ignored.
+    With as_text, kept is a string, in which characters that lost some of their bytes are left out.
     """
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession, 512)
     carried = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []
     source = _versions(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *carried))
     marks = written(judged(positions(source.where("doc_id is not null").select("doc_id", "text", "version"), length)), "positions")
@@ -298,9 +299,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n.append(len(text))
                 gone.append(len(text) - len(left))
                 runs.append(k)
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.binary()), *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *extra])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.string() if as_text else pa.binary()), *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *extra])
 
     extra = ["others"] if others else []
-    out = T.StructType([*T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), *(squeezed.schema[c] for c in extra)])
+    out = T.StructType([*T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")), *(squeezed.schema[c] for c in extra)])
     return squeezed.join(lists, ["doc_id", "version"], "left").select("doc_id", "z", "spans", *extra).mapInArrow(run, out)
