@@ -51,16 +51,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     while missing in docs.columns:
         missing += "_"
     others = [c for c in docs.columns if c != "text"]
-    left = repeats.without_repeats(docs.withColumn(missing, F.col("text").isNull()), length=100, others=[*others, missing])
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    whole = F.expr("try_validate_utf8(cast(kept as string))")
-    cut = left.withColumn("whole", whole).withColumn("repaired", F.when(F.col("whole").isNull(), decoded("kept")))
-    text = F.when(~F.col(f"others.`{missing}`"), F.coalesce("whole", "repaired"))
-    out = cut.withColumn("text", text).where("n_removed = 0 or length(trim(text)) > 0")
+    left = repeats.without_repeats(docs.withColumn(missing, F.col("text").isNull()), length=100, others=[*others, missing], as_text=True)
+    out = left.withColumn("text", F.when(~F.col(f"others.`{missing}`"), F.col("kept"))).where("n_removed = 0 or length(trim(text)) > 0")
     column = {c: F.col(f"others.`{c}`").alias(c) for c in others} | {"text": F.col("text")}
     if "n_chars" in others:
         column["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars")).alias("n_chars")
