@@ -7,8 +7,34 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide
 
-#: SQL twins, where DuckDB can express the result on whole tables.
-ORACLES: dict[str, str] = {}
+#: SQL twins, where DuckDB can express the whole result on whole tables.
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+  s as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(generate_series(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) end) as s from w),
+  g as materialized (select min(doc_id) as doc_id, s, len(s) as n from (select doc_id, list_sort(s) as s from s) x where len(s) > 0 group by s),
+  x as materialized (select doc_id, n, unnest(s) as v from g), k as (select v from x group by 1 having count(*) > 1),
+  p as materialized (select a.doc_id as a, b.doc_id as b from x a join x b on a.v = b.v and a.doc_id <> b.doc_id where a.v in (select v from k) and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 group by 1, 2, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  r(a, b) as (select a, b from p union select r.a, p.b from r join p on p.a = r.b), m as (select a, min(b) as m from r group by 1),
+  c as (select list_sort(s.s) as s, coalesce(least(m.m, g.doc_id), g.doc_id) as c from g join s using (doc_id) left join m on m.a = g.doc_id)
+  select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(c.c, d.doc_id) as component_id, coalesce(c.c, d.doc_id) = d.doc_id as kept from s d left join c on c.s = list_sort(d.s)""",
+    "op3_embedding_near_dedup": r"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+  u as materialized (select vec_id, label, e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+  p as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+  r(a, b) as (select a, b from p union select r.a, p.b from r join p on p.a = r.b),
+  n as (select a, count(*) as n from p group by 1), m as (select a, min(b) as m from r group by 1)
+  select vec_id, coalesce(n.n, 0) as n_links, coalesce(least(m.m, vec_id), vec_id) as component_id, coalesce(least(m.m, vec_id), vec_id) = vec_id as kept from embeddings left join n on n.a = vec_id left join m on m.a = vec_id""",
+    "op8_suffix_array_dedup": r"""with h as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+  w as materialized (select doc_id, i, hash(substr(piece, 2 * (i - lo) + 1, 200)) as v from (select doc_id, lo, piece, unnest(generate_series(lo, least(lo + 399, n - 100))) as i from (select doc_id, lo, n, substr(h, 2 * lo + 1, 1000) as piece from (select doc_id, h, len(h) // 2 as n, unnest(generate_series(0, len(h) // 2 - 100, 400)) as lo from h where len(h) >= 200)))),
+  f as (select *, row_number() over (partition by v order by doc_id, i) as k from w),
+  g as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as z, lag(i) over (partition by doc_id order by i) as before from f where k > 1),
+  t as (select doc_id, i, sum(case when before is null or i - before > 100 then 1 else 0 end) over (partition by doc_id order by i) as run from g),
+  s as (select doc_id, run, min(i) as a, max(i) + 100 as b from t group by 1, 2), o as (select doc_id, count(*) as n, sum(b - a) as gone, list({'a': a, 'b': b} order by a) as s from s group by 1)
+  select h.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans,
+  sha256(unhex(case when s is null then h else substr(h, 1, 2 * s[1].a) || array_to_string(list_transform(generate_series(1, len(s)), lambda j: substr(h, 2 * s[j].b + 1, 2 * (coalesce(s[j + 1].a, len(h) // 2) - s[j].b))), '') end)) as kept_sha256 from h left join o using (doc_id)""",
+    "op9_chat_formatting": r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, role, text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]') x)
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256, cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + 20) as bigint) as formatted_chars from t group by 1""",
+}
 
 
 def vocabulary(name: str) -> str:

@@ -387,6 +387,25 @@ def test_bpe(docs, texts):
     assert bpe.round_trip(empty(docs), path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_twins(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = c.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_long_candidates():
+    text = "x " + "A1" * 70 + " plainwordhere"
+    pieces = [w for s, e, w, _ in secrets.candidates(text, []) if (s, e) == (2, 142)]
+    assert len(pieces) == 4 and "".join(w[secrets.BEFORE:secrets.BEFORE + secrets.INSIDE].strip("\0") for w in pieces) == "A1" * 70 and pieces[-1].rstrip("\0").endswith(" plainwo")
+
+
 def test_pipeline(docs):
     import corpus_pipeline
 
