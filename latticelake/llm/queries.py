@@ -7,6 +7,32 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide
 
+
+
+def _quality_sql() -> str:
+    """The rules of quality.judge over whole tables. Bins that a text lacks add up to what is left of the reference."""
+    words = ", ".join(f"('{w}', {i})" for i, w in enumerate(sorted(set(quality.COMMON_WORDS))))
+    count = lambda chars: f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
+    bins = {1: r"\x20", 2: r"\x09-\x0D", 3: "a-z", 4: "A-Z", 5: "0-9", 6: r"^\x00-\x7F", 7: ".,", 8: "!?", 9: "|", 10: "#*$%&<>"}
+    rest = r"\x00-\x08\x0E-\x1F\x7F" + r"\-\"'()+/:;=@\[\\\]^_`{}~".replace("'", "''")
+    classes = ", ".join(f"({k}, {count(c)})" for k, c in (bins | {11: rest}).items())
+    return rf"""with d as materialized (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+  k as materialized (select doc_id, lang, v.bin, v.c from d, lateral (values {classes}) v(bin, c) where v.c > 0),
+  x as (select doc_id, lang, unnest(w) as word from d), wb as materialized (select doc_id, lang, coalesce(l.bin, -1) as bin, count(*) as c from x left join (values {words}) l(word, bin) on l.word = x.word group by 1, 2, 3),
+  e as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as v from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) as i from d where len(w) >= 8)),
+  r as (select doc_id, count(distinct j) as n from (select doc_id, unnest(generate_series(i, i + 7)) as j from (select *, count(*) over (partition by doc_id, v) as n from e) q where n > 1) y group by 1),
+  c as materialized (select d.doc_id, d.lang, cast(len(d.w) as bigint) as n_words, cast(coalesce((select sum(c) from k where k.doc_id = d.doc_id and bin >= 3), 0) as bigint) as word_chars, cast(coalesce((select sum(c) from k where k.doc_id = d.doc_id and bin in (9, 10)), 0) as bigint) as n_symbols,
+    cast(len(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))) as bigint) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from d left join r using (doc_id)),
+  f as materialized (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
+  rw as (select lang, bin, sum(c) as c from wb where doc_id in (select doc_id from f where not base_failed) group by 1, 2), rk as (select lang, bin, sum(c) as c from k where doc_id in (select doc_id from f where not base_failed) group by 1, 2),
+  known as (select lang, sum(c) as n from rw group by 1 having sum(c) >= {quality.LEAST_REFERENCE}),
+  q as (select 'w' as h, lang, bin, c * 1.0 / sum(c) over (partition by lang) as q from rw union all select 'k', lang, bin, c * 1.0 / sum(c) over (partition by lang) from rk),
+  p as (select 'w' as h, doc_id, lang, bin, c * 1.0 / sum(c) over (partition by doc_id) as p from wb union all select 'k', doc_id, lang, bin, c * 1.0 / sum(c) over (partition by doc_id) from k),
+  s as (select p.h, p.doc_id, sum(p * log2(p / ((p + coalesce(q, 0)) / 2)) + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) + 1 - sum(coalesce(q, 0)) as s from p join known using (lang) left join q on q.h = p.h and q.lang = p.lang and q.bin = p.bin group by 1, 2),
+  j as (select f.*, coalesce((select sqrt(greatest(0, least(1, s / 2))) from s where s.h = 'k' and s.doc_id = f.doc_id), 0.0) as class_js, coalesce((select sqrt(greatest(0, least(1, s / 2))) from s where s.h = 'w' and s.doc_id = f.doc_id), 0.0) as word_js from f)
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ((word_chars >= 200 and class_js > 0.30) or (n_words >= 50 and class_js + word_js > 0.50)) as kept, round(class_js, 6) as class_js, round(word_js, 6) as word_js from j"""
+
+
 #: SQL twins, where DuckDB can express the whole result on whole tables.
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -34,6 +60,7 @@ ORACLES: dict[str, str] = {
     "op9_chat_formatting": r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, role, text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]') x)
   select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256, cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + 20) as bigint) as formatted_chars from t group by 1""",
+    "op7_quality_rules": _quality_sql(),
 }
 
 
@@ -76,7 +103,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "class_js", "word_js")
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("class_js", 6).alias("class_js"), F.round("word_js", 6).alias("word_js"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
