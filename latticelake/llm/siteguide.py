@@ -1,15 +1,18 @@
 """Main text of web pages by site style trees.
 
 The element trees of one host's pages are merged: a style node is a path of elements with their
-classes. Its importance falls with the entropy of its contents over the pages: what stands in
-many pages is presentation, what stands in one is content. Branches of low importance are removed
-from every page, besides those that their elements or classes mark as no article. Hosts with few
-pages use the merged tree of all hosts.
+classes. The importance of a content node falls with the entropy of its contents over the pages:
+what stands in many pages is presentation, what stands in one is content. A branch also has the
+importance of its presentation, by the entropy of the kinds of children that it has over the pages;
+half of it and half of what its content nodes have is the branch's own. Branches and nodes of low
+importance are removed from every page, besides those that their elements or classes mark as no
+article. Hosts with few pages use the merged tree of all hosts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,7 +28,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 NOT_ARTICLE = re.compile(
-    r"(^|[\s_-])(ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|footer|comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|pager|pagination|login|signup|search)([\s_-]|$)")
+    r"(^|[\s_-])(ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumb\w*|footer|comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|pager|pagination|login|signup|search)([\s_-]|$)")
+#: Names of a page's head; inside an article they are its own.
+HEAD_NAME = re.compile(r"(^|[\s_-])(header|masthead)([\s_-]|$)")
 #: A path needs this many different pages of a host for a judgement of its own.
 ENOUGH = 8
 
@@ -64,7 +69,7 @@ class _Blocks(HTMLParser):
         name = " ".join(own.get(k) or "" for k in ("class", "id", "role")).strip().lower()
         dropped, inside = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, False)
         marked = bool(name and NOT_ARTICLE.search(name)) and tag not in ("html", "body")
-        dropped = dropped or tag in NO_TEXT or marked or (tag == "header" and not inside) or "hidden" in own
+        dropped = dropped or tag in NO_TEXT or marked or (not inside and (tag == "header" or bool(name and tag not in ("html", "body") and HEAD_NAME.search(name)))) or "hidden" in own
         inside = inside or (tag in ("article", "main") and not dropped)
         label = f"{tag}.{'.'.join((own.get('class') or '').split())}" if own.get("class") else tag
         self.stack.append((tag, label, dropped, inside))
@@ -104,57 +109,78 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
     return inside or p.blocks
 
 
+def styles(paths) -> list[dict]:
+    """Path and style of each branch above the given content nodes."""
+    children: dict[str, dict[str, None]] = {}
+    for path in dict.fromkeys(paths):
+        labels = path.split(">")
+        for k in range(1, len(labels)):
+            children.setdefault(">".join(labels[:k]), {})[labels[k]] = None
+    return [{"path": p, "style": zlib.crc32(">".join(c).encode())} for p, c in children.items()]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks) of every page."""
+    """(page_id, url, host, blocks, styles) of every page; a style is a branch's path and a checksum of its different children in order."""
 
     def run(batches):
         kind = pa.list_(pa.struct([("path", pa.string()), ("inside", pa.bool_()), ("text", pa.string())]))
         for b in batches:
             found = [[{"path": p, "inside": i, "text": t} for p, i, t in blocks(h.decode())] for h in texts_of(b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, kind)], names=["page_id", "url", "host", "blocks"])
+            kinds = pa.list_(pa.struct([("path", pa.string()), ("style", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, kind), pa.array([styles(x["path"] for x in own) for own in found], kinds)], names=["page_id", "url", "host", "blocks", "styles"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<path:string,inside:boolean,text:string>>")
+    return rows.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<path:string,inside:boolean,text:string>>, styles array<struct<path:string,style:long>>")
 
 
-def importance(page_blocks: DataFrame) -> DataFrame:
-    """(host, path, pages, importance, everywhere): importance within the host's tree and in the tree of all hosts.
+def _measured(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pages, importance) of (page, path, content ..., distinct in a page): 1 minus the mean, over a node's contents, of log(pages with it) / log(pages)."""
+    n = rows.select(*keys, "page").distinct().groupBy(*keys).agg(F.count("*").alias("pages"))
+    c = rows.groupBy(*keys, "content").agg(F.count("*").alias("c")).groupBy(*keys).agg((F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias("mean"))
+    return n.join(c, keys).withColumn("importance", F.when(F.col("pages") > 1, 1 - F.col("mean") / F.log("pages")).otherwise(F.lit(1.0))).drop("mean")
 
-    1 minus the mean, over a node's contents, of their entropy log(pages with it) / log(pages).
-    """
-    seen = page_blocks.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))))).alias("x")).select("host", "x.path", "x.content")
-    paths = page_blocks.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path"))
 
-    def measure(keys):
-        n = paths.groupBy(*keys).agg(F.count("*").alias("pages"))
-        c = seen.groupBy(*keys, "content").agg(F.count("*").alias("c")).groupBy(*keys).agg((F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias("mean"))
-        return n.join(c, keys).withColumn("importance", F.when(F.col("pages") > 1, 1 - F.col("mean") / F.log("pages")).otherwise(F.lit(1.0))).drop("mean")
+def _both(rows: DataFrame) -> DataFrame:
+    """(host, path, value): importance within the host's tree, or in the tree of all hosts where the host has too few pages."""
+    own = _measured(rows, ["host", "path"])
+    every = _measured(rows, ["path"]).select("path", F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.lit(1.0)).alias("everywhere"))
+    return own.join(every, "path").select("host", "path", "pages", F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.col("everywhere")).alias("value"))
+
 
-    own = measure(["host", "path"])
-    every = measure(["path"]).select("path", F.col("pages").alias("all_pages"), F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.lit(1.0)).alias("everywhere"))
-    return own.join(every, "path")
+def importance(pages: DataFrame) -> DataFrame:
+    """(host, path, value) of the content nodes of pages (host, page, blocks, styles): the least of their own importance and that of the branches above them."""
+    entry = lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))
+    contents = pages.select("host", "page", F.explode(F.array_distinct(F.transform("blocks", entry))).alias("x")).select("host", "page", "x.*")
+    nodes = written(_both(contents), "nodes")
+    shown = pages.select("host", "page", F.explode("styles").alias("x")).select("host", "page", "x.path", F.col("x.style").alias("content"))
+    parts = F.split("path", ">")
+    above = nodes.select("host", "pages", "value", F.col("path").alias("node"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))).alias("path"))
+    content = above.groupBy("host", "path").agg((F.sum(F.col("value") * F.col("pages")) / F.sum("pages")).alias("content"))
+    branches = _both(shown).join(content, ["host", "path"]).select("host", "path", ((F.col("value") + F.col("content")) / 2).alias("branch"))
+    least = above.select("host", "node", "path").join(branches, ["host", "path"]).groupBy("host", F.col("node").alias("path")).agg(F.min("branch").alias("branch"))
+    return nodes.select("host", "path", "value").join(least, ["host", "path"], "left")
 
 
 def different(found: DataFrame) -> DataFrame:
     """One row of each different page of a host: copies count once in its tree."""
     first = found.groupBy("host", "same").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("host", "same", "first")
-    return found.join(written(first, "copies"), ["host", "same"], "left").where("first is null or row = first").select("host", "blocks")
+    return found.join(written(first, "copies"), ["host", "same"], "left").where("first is null or row = first").select("host", F.col("row").alias("page"), "blocks", "styles")
 
 
-def main_text(pages: DataFrame, least: float = 0.3, least_inside: float = 0.05) -> DataFrame:
+def main_text(pages: DataFrame, least: float = 0.3, least_inside: float = 0.05, least_branch: float = 0.1) -> DataFrame:
     """(page_id, url, text) of every row; text is empty if nothing remains.
 
-    Branches of the style tree below `least` importance are removed, inside an article element
-    only those below least_inside, which stand in nearly every page. Copies of a page count once. A null or empty page has an
-    empty text; pages without a host share one tree. Repeated rows give repeated rows. Other
-    columns are ignored.
+    Content nodes below `least` importance are removed, and branches below least_branch; inside an
+    article element only those below least_inside, which stand in nearly every page. Copies of a
+    page count once. A null or empty page has an empty text; pages without a host share one tree.
+    Repeated rows give repeated rows. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     found = written(parsed(pages).withColumn("same", F.xxhash64("blocks")).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    value = F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.col("everywhere"))
-    low = importance(different(found)).withColumn("value", value).where(F.col("value") < least).groupBy("host").agg(
-        F.collect_list("path").alias("low"), F.collect_list(F.when(F.col("value") < least_inside, F.col("path"))).alias("lowest"))
+    lowest = F.least("value", "branch") < least_inside
+    low = importance(different(found)).where((F.col("value") < least) | (F.col("branch") < least_branch)).groupBy("host").agg(
+        F.collect_list("path").alias("low"), F.collect_list(F.when(lowest, F.col("path"))).alias("lowest"))
     # Written, so that Spark knows its size: a small table is broadcast, a large one is shuffled with the pages.
     low = written(low, "low")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.when(b["inside"], F.array_contains("lowest", b["path"])).otherwise(F.array_contains("low", b["path"])), F.lit(False)))

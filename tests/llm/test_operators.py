@@ -266,6 +266,16 @@ def test_siteguide(spark):
     assert {r.text for r in siteguide.main_text(spark.createDataFrame(repeated, "page_id long, url string, html string")).collect()} == {f"Own text {i}" for i in range(20)}
 
 
+def test_siteguide_branches(spark):
+    """A branch whose children are alike everywhere and whose nodes say almost the same goes as a whole; heads inside an article stay."""
+    page = "<body><div class='box'>{}</div><div class='entry'><p>Own text {}</p></div></body>"
+    rows = [(i, "http://f.example.com/", page.format("<h4>Same</h4>" + f"<p>Often {i if i == 5 else 'x'}</p>", i)) for i in range(40)]
+    rows += [(100, "http://g.example.com/", "<article><div class='entry-header'><h1>Real title</h1></div><p>Text</p></article>")]
+    got = {r.page_id: r.text for r in siteguide.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own text {i}" for i in range(40)) and got[100] == "Real title\nText"
+    assert siteguide.styles(["a>b>c", "a>b>d", "a>e"]) == siteguide.styles(["a>b>c", "a>b>d", "a>e", "a>e"]) and siteguide.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_siteguide_copies(spark):
     page = "<body><article><h1>Title {0}</h1><p>Text {0}</p>{1}</article></body>"
     rows = [(i, "http://d.example.com/", page.format(0, "")) for i in range(10)]
