@@ -217,7 +217,8 @@ def to_cif(atoms: DataFrame, lattices: DataFrame, elements: DataFrame, comment:
 
     For one step only, atoms and lattices are those of step_of()'s structures.
     """
-    line = F.format_string("%s %s % 1.8f % 1.8f % 1.8f", "symbol", "symbol", "fx", "fy", "fz")
+    # so little more, for the last digit of a tie not to depend on the platform
+    line = F.format_string("%s %s % 1.8f % 1.8f % 1.8f", "symbol", "symbol", *(F.col(c) + 1e-10 for c in ("fx", "fy", "fz")))
     sites = fractional(atoms, lattices).join(F.broadcast(elements.select("number", "symbol")), "number").groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", line.alias("line")))).alias("lines"))
     head = [F.concat(F.lit(k + " "), F.format_string("%2.6f", v)) for k, v in (("_cell_length_a", "a"), ("_cell_length_b", "b"), ("_cell_length_c", "c"), ("_cell_angle_alpha", "alpha"), ("_cell_angle_beta", "beta"), ("_cell_angle_gamma", "gamma"))]
     loop = "_symmetry_space_group_name_H-M 'P1'\nloop_\n_symmetry_equiv_pos_as_xyz\nx,y,z\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z"

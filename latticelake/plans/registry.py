@@ -373,9 +373,12 @@ def _(t):
     return G.cell_drift(t.b_structures, t.b_lattices)
 
 
-@query("g2_fractional", """with f as (select a.struct_id, a.atom_idx, a.number, x, y, z, l.*, a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31) as det from b_atoms a join b_lattices l on a.struct_id = l.struct_id)
-  select struct_id, atom_idx, number, round((x * (a22 * a33 - a23 * a32) + y * (a23 * a31 - a21 * a33) + z * (a21 * a32 - a22 * a31)) / det + 1e-9, 5) + 0.0 as fx, round((x * (a13 * a32 - a12 * a33) + y * (a11 * a33 - a13 * a31) + z * (a12 * a31 - a11 * a32)) / det + 1e-9, 5) + 0.0 as fy,
-  round((x * (a12 * a23 - a13 * a22) + y * (a13 * a21 - a11 * a23) + z * (a11 * a22 - a12 * a21)) / det + 1e-9, 5) + 0.0 as fz from f""")
+FRACTIONS = """with f as (select a.struct_id, a.atom_idx, a.number, x, y, z, l.*, a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31) as det from b_atoms a join b_lattices l on a.struct_id = l.struct_id),
+  r as (select struct_id, atom_idx, number, (x * (a22 * a33 - a23 * a32) + y * (a23 * a31 - a21 * a33) + z * (a21 * a32 - a22 * a31)) / det as fx, (x * (a13 * a32 - a12 * a33) + y * (a11 * a33 - a13 * a31) + z * (a12 * a31 - a11 * a32)) / det as fy,
+  (x * (a12 * a23 - a13 * a22) + y * (a13 * a21 - a11 * a23) + z * (a11 * a22 - a12 * a21)) / det as fz from f)"""
+
+
+@query("g2_fractional", FRACTIONS + " select struct_id, atom_idx, number, round(fx + 1e-9, 5) + 0.0 as fx, round(fy + 1e-9, 5) + 0.0 as fy, round(fz + 1e-9, 5) + 0.0 as fz from r")
 def _(t):
     return G.fractional(t.b_atoms, t.b_lattices).select("struct_id", "atom_idx", "number", *((F.round(F.col(c) + 1e-9, 5) + 0.0).alias(c) for c in ("fx", "fy", "fz")))
 
@@ -677,7 +680,12 @@ def _(t):
     return G.to_xyz(t.b_atoms, elements(t.spark))
 
 
-@query("snk2_to_cif")
+CIF_LOOP = "_symmetry_space_group_name_H-M 'P1'\nloop_\n_symmetry_equiv_pos_as_xyz\nx,y,z\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n".replace("'", "''")
+
+
+@query("snk2_to_cif", FRACTIONS + f""", s as (select struct_id, string_agg(e.symbol || ' ' || e.symbol || printf(' % 1.8f % 1.8f % 1.8f', fx + 1e-10, fy + 1e-10, fz + 1e-10), chr(10) order by atom_idx) as sites from r join {ELEMENT_ROWS} on e.number = r.number group by 1)
+  select s.struct_id, 'data_' || s.struct_id || printf(concat(chr(10), '_cell_length_a %.6f', chr(10), '_cell_length_b %.6f', chr(10), '_cell_length_c %.6f', chr(10), '_cell_angle_alpha %.6f', chr(10), '_cell_angle_beta %.6f', chr(10), '_cell_angle_gamma %.6f', chr(10)), c.a, c.b, c.c, c.alpha, c.beta, c.gamma)
+  || '{CIF_LOOP}' || sites as cif from s join ({CELLS}) c on c.struct_id = s.struct_id""")
 def _(t):
     return G.to_cif(t.b_atoms, t.b_lattices, elements(t.spark))
 

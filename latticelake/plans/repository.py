@@ -259,7 +259,7 @@ def _(t):
     return SP.spline_bands(t.embeddings.select(F.col("vec_id").alias("run_id"), x.alias("abscissa"), F.array(F.slice(e, 1, 16), F.slice(e, 17, 16)).alias("stripes")))
 
 
-@query("a12_partial_dos", """with b as (select vec_id as run_id, list_min(embedding)::double as lo, list_max(embedding)::double as hi from embeddings), g as (select run_id, lo, hi, lo - 2.0 as start, case when hi > lo then (hi - lo) / 200 else 1.0 end as pitch from b),
+@query("a12_partial_dos", """with b as (select vec_id as run_id, list_min(embedding)::double as lo, list_max(embedding)::double as hi from embeddings), g as (select run_id, lo, hi, lo - 2.0 as start, 0.05::double as pitch from b),
   w as (select run_id, lo, hi, cast(u.i as int) as i, start + u.i * pitch as om from g, unnest(generate_series(0, cast(floor((hi - lo + 4.0) / pitch) as int))) as u(i)),
   k as (select *, (exp(-pow((lo - om) / 0.2, 2) / 2) + exp(-pow((hi - om) / 0.2, 2) / 2)) / (0.2 * sqrt(2 * pi())) as total, case when om < lo then 0.0 when om > hi then 1.0 else (om - lo) / (hi - lo) end as t from w)
   select run_id, 'A' as kind, i, round(om, 3) + 0.0 as energy, round(case when om < lo then 0.0 else 2 * (1 - t) * total end, 3) as dos from k union all select run_id, 'B', i, round(om, 3) + 0.0, round(t * total, 3) from k""")
@@ -267,4 +267,4 @@ def _(t):
     e = F.col("embedding").cast("array<double>")
     impacts = F.array(*(F.array(*map(F.lit, row)) for row in ([1.0, 0.0, 1.0], [0.0, 1.0, 0.0])))
     runs = t.embeddings.select(F.col("vec_id").alias("run_id"), F.array(F.array_min(e), F.array_max(e)).alias("eigenvalues"), impacts.alias("impacts"), F.array(F.lit("A"), F.lit("B"), F.lit("A")).alias("kinds"))
-    return SP.partial_dos(runs)
+    return SP.partial_dos(runs, pitch=0.05)
