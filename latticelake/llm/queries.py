@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, infill, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide
+from . import bpe, chat, infill, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide, variants
 
 
 
@@ -61,6 +61,16 @@ ORACLES: dict[str, str] = {
   select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256, cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + 20) as bigint) as formatted_chars from t group by 1""",
     "op7_quality_rules": _quality_sql(),
+    "op13_spelling_variants": r"""with recursive tab as materialized (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+  r as materialized (select coalesce(cast(doc_id as varchar), '') || ':' || w as s, w, count(*) as c from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) as w from documents) x group by all),
+  k as (select w, c, xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(s))), lambda i: cast('0x' || substr(hex(encode(s)), 2 * i + 1, 2) as bigint))), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) as h from r, tab),
+  v as materialized (select word, cast(sum(c) as bigint) as n from (select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, c from k) y where length(word) >= 7 group by 1 having sum(c) >= 2),
+  d as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as short from v, lateral (select unnest(range(length(word))) as i) z),
+  p as materialized (select distinct a.word as a, b.word as b, b.n from d a join d b on a.short = b.short and a.i = b.i and a.word <> b.word union select d.word, v.word, v.n from d join v on v.word = d.short union select v.word, d.word, d.n from d join v on v.word = d.short),
+  c as (select a, count(*) as n_near from p group by 1), g as (select p.a, p.b, p.n from p join v on v.word = p.a where p.n >= 10 * v.n qualify row_number() over (partition by p.a order by p.n desc, p.b) = 1),
+  top as (select p.a, max(n) as m from p group by 1), f as materialized (select g.* from g join top on top.a = g.a and g.n = top.m),
+  s(word, here) as (select word, word from v union all select s.word, f.b from s join f on f.a = s.here), e as (select word, here from s where here not in (select a from f))
+  select v.word, f.b as form, e.here as root, v.n, coalesce(c.n_near, 0) as n_near, f.n as form_n from v join e using (word) left join c on c.a = v.word left join f on f.a = v.word""",
     "op12_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
   e as (select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as y, cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
   f as (select *, least(x, y) as a, greatest(x, y) as b, case when n = 0 or h3 % 100 >= 90 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from e),
@@ -134,4 +144,8 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe, op12_fill_in_middle)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe, op12_fill_in_middle, op13_spelling_variants)}
