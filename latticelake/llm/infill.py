@@ -21,6 +21,8 @@ PREFIX, SUFFIX, MIDDLE = MARKS = "<P>", "<S>", "<M>"
 #: The sections of an output, and the order in which a text has them.
 FORMS = {"psm": "PSM", "spm": "SPM"}
 IN_TEXT = {"T": 0, "P": 0, "M": 1, "S": 2}
+#: Bytes of text that one partition is meant to get.
+PART = 64_000_000
 SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
 
 
@@ -103,14 +105,17 @@ def _assembled(rows):
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16_384, salt: str = "1:", plain_from: int = 90, spm_below: int = 20) -> DataFrame:
     """Per row: its form, the lengths of its prefix and middle (null where plain), and the digests of its output and of the text rebuilt from that output.
 
-    A task holds one document's compressed chunks at most, however long; equal rows of a
-    partition travel once, so repeated rows burden no task. Null and empty texts are plain and
+    The number of partitions follows the size of the texts. A task holds one document's compressed
+    chunks at most, however long; equal rows of a partition travel once, so repeated rows burden no task. Null and empty texts are plain and
     have the digest of nothing. Rows with null or repeated ids are rows of their own. An empty
     table gives an empty one; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col).rdd.mapPartitions(_pieces(chunk, salt, plain_from, spm_below))
-    dealt = rows.repartitionAndSortWithinPartitions(int(spark.conf.get("spark.sql.shuffle.partitions")), lambda k: int.from_bytes(k[0][:8]))
+    source = id_and_text(docs, id_col, text_col)
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    rows = source.rdd.mapPartitions(_pieces(chunk, salt, plain_from, spm_below))
+    dealt = rows.repartitionAndSortWithinPartitions(parts, lambda k: int.from_bytes(k[0][:8]))
     return spark.createDataFrame(dealt.mapPartitions(_assembled), SCHEMA, verifySchema=False)
 
 
