@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, infill, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide, variants
+from . import bpe, chat, disclosure, infill, lattice, lm, minhash, packing, quality, repeats, secrets, siteguide, variants
 
 
 
@@ -140,6 +140,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = disclosure.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    text = lambda spans: F.array_join(F.transform(disclosure.ordered(spans), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    both = F.concat("base", F.transform("added", lambda x: F.struct(x["kind"], x["start"], x["end"])))
+    return seen.select("doc_id", *(count(k) for k in disclosure.PATTERNS), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(both).alias("spans"), F.size("added").cast("long").alias("n_term"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -148,4 +156,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe, op12_fill_in_middle, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_byte_bpe, op11_pii, op12_fill_in_middle, op13_spelling_variants)}
