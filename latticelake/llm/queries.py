@@ -33,6 +33,36 @@ def _quality_sql() -> str:
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ((word_chars >= 200 and class_js > 0.30) or (n_words >= 50 and class_js + word_js > 0.50)) as kept, round(class_js, 6) as class_js, round(word_js, 6) as word_js from j"""
 
 
+def _pii_sql() -> str:
+    """The rules of disclosure.scan over whole tables: base spans, then terms that disclose an entity of the same text."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    split = lambda p: f"unnest(string_split_regex(t, '{p}')) as piece, unnest(regexp_extract_all(t, '{p}')) as match, unnest(range(len(string_split_regex(t, '{p}')))) as i"
+    parts = " union all ".join(f"select own, '{k}' as kind, {j} as place, {split(p)} from u" for j, (k, p) in enumerate(patterns.items()))
+    words = lambda x: f"regexp_extract_all(lower({x}), '{disclosure.WORD}')"
+    form = lambda w: f"case when regexp_full_match({w}, '[0-9]+') then substr({w}, 1, 1) || repeat('#', length({w}) - 1) else substr({w}, 1, 1) || '*' end"
+    long = lambda x: f"list_filter({x}, lambda w: length(w) >= 3)"
+    terms = lambda x: f"list_distinct(list_concat({long(x)}, list_transform({long(x)}, lambda w: {form('w')})))"
+    return rf"""with d as materialized (select doc_id, coalesce(text, '') as t, md5(coalesce(text, '')) as own from documents), u as materialized (select own, any_value(t) as t, count(*) as n from d group by own),
+  m as (select *, coalesce(length(match), 0) as l, sum(length(piece) + coalesce(length(match), 0)) over (partition by own, kind order by i) as e, lead(piece) over (partition by own, kind order by i) as after, regexp_replace(match, '[^0-9]', '', 'g') as g from ({parts}) x),
+  b as materialized (select own, kind, place, cast(e - l as bigint) as s, cast(e as bigint) as e, kind || ':' || case kind when 'email' then lower(match) when 'ip' then match else g end as entity,
+    list_concat(list_reverse({words('piece')})[1:8], {words('after')}[1:8]) as near from m where match is not null and case kind when 'email' then true when 'ip' then len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3 or cast(right(x, 3) as int) > 255)) = 0
+    when 'phone' then length(g) between 9 and 15 else length(g) between 12 and 19 and list_sum(list_transform(range(length(g)), lambda j: case when j % 2 = 0 then cast(substr(g, length(g) - j, 1) as int) else (2 * cast(substr(g, length(g) - j, 1) as int)) // 10 + (2 * cast(substr(g, length(g) - j, 1) as int)) % 10 end)) % 10 = 0 end),
+  near as materialized (select distinct own, entity, near as context, unnest({terms('near')}) as term from b),
+  c as materialized (select entity, term, (select count(*) from documents) as total from near group by 1, 2 having count(distinct context) >= 3),
+  both_ as (select entity, term, sum(n) as n_both from (select distinct entity, term, own from near) x join u using (own) group by 1, 2),
+  said as (select term, count(*) as n_term from (select unnest({terms(words('t'))}) as term from d) x where term in (select term from c) group by 1),
+  ent as (select entity, sum(n) as n_entity from (select distinct entity, own from b) x join u using (own) group by 1),
+  told as materialized (select distinct entity, term from c join both_ using (entity, term) join said using (term) join ent using (entity)
+    where n_entity < total and not regexp_matches(term, '[*#]$') and log2(n_both * cast(total as double) / (n_entity * n_term)) >= 0.95 * log2(total / n_entity)),
+  held as materialized (select distinct own, entity from b where entity in (select entity from told)),
+  tok as (select own, match, coalesce(length(match), 0) as l, sum(length(piece) + coalesce(length(match), 0)) over (partition by own order by i) as e from (select own, {split(disclosure.WORD)} from u where own in (select own from held)) x),
+  hit as (select distinct tok.own, cast(e - l as bigint) as s, cast(e as bigint) as e from tok join told on told.term = lower(match) join held on held.own = tok.own and held.entity = told.entity where length(match) >= 3),
+  free as materialized (select * from hit where not exists (select 1 from b where b.own = hit.own and b.s < hit.e and hit.s < b.e)),
+  z as (select own, string_agg(kind || ':' || s || ':' || e, ',' order by s, place, e) filter (where place < 4) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, place, e) as spans, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip,
+    count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone, count(*) filter (where kind = 'term') as n_term from (select own, kind, place, s, e from b union all select own, 'term', 4, s, e from free) x group by 1)
+  select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_term, 0) as n_term from d left join z using (own)"""
+
+
 #: SQL twins, where DuckDB can express the whole result on whole tables.
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -71,6 +101,7 @@ ORACLES: dict[str, str] = {
   top as (select p.a, max(n) as m from p group by 1), f as materialized (select g.* from g join top on top.a = g.a and g.n = top.m),
   s(word, here) as (select word, word from v union all select s.word, f.b from s join f on f.a = s.here), e as (select word, here from s where here not in (select a from f))
   select v.word, f.b as form, e.here as root, v.n, coalesce(c.n_near, 0) as n_near, f.n as form_n from v join e using (word) left join c on c.a = v.word left join f on f.a = v.word""",
+    "op11_pii": _pii_sql(),
     "op12_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
   e as (select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as y, cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
   f as (select *, least(x, y) as a, greatest(x, y) as b, case when n = 0 or h3 % 100 >= 90 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from e),
