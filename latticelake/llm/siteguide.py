@@ -6,14 +6,14 @@ what stands in many pages is presentation, what stands in one is content. A bran
 importance of its presentation, by the entropy of the kinds of children that it has over the pages;
 half of it and half of what its content nodes have is the branch's own. Branches and nodes of low
 importance are removed from every page, besides those that their elements or classes mark as no
-article. Hosts with few pages use the merged tree of all hosts.
+article. The tree of all hosts weighs in where a host has few pages.
 """
 
 from __future__ import annotations
 
+import html as entities
 import re
 import zlib
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,99 +24,236 @@ from .common import small_batches, texts_of, written
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("head title script style noscript template iframe svg math canvas object audio video select button textarea form nav footer aside menu dialog".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-NOT_ARTICLE = re.compile(
-    r"(^|[\s_-])(ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumb\w*|footer|comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|pager|pagination|login|signup|search)([\s_-]|$)")
-#: Names of a page's head; inside an article they are its own.
-HEAD_NAME = re.compile(r"(^|[\s_-])(header|masthead)([\s_-]|$)")
-#: A path needs this many different pages of a host for a judgement of its own.
-ENOUGH = 8
+KNOWN = NO_TEXT | ENDS_P | frozenset("html body li dt dd tr td th tbody thead tfoot caption figure figcaption details summary".split())
+# Names (of classes, ids, roles) of what is no article anywhere, of what is none outside an article, and parts of names that say nothing.
+NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus pager pagination login signup form".split())
+OUTSIDE = frozenset("banner promo promotion notice alert overlay side widget replies respond share sharing social related recommended recommendation recommendations recommends search header masthead".split())
+FILLING = frozenset("site page main top bottom left right global list area section box wrap wrapper container block bar inner content item items thread link links button buttons slot unit text primary secondary posts post articles entry mobile desktop sticky fixed".split())
+#: Weight of the tree of all hosts beside a host's own pages, and of no judgement beside all hosts' pages.
+PRIOR = 2
+#: Labels of a path with their classes; deeper ones are merged by their element.
+DEPTH = 24
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)?(?:\s*+(=)\s*+)?")
+_BARE = re.compile(r"[^\s>]*+")
+_LONG_NUMBER = re.compile(r"&#0*+[0-9]{8,};?")
+
+
+def tokens(page: str):
+    """("text", text), ("start", (name, attributes)) and ("end", name) of a page, in one pass over it.
+
+    What the end of the page cuts off (a tag, a comment, a script) is dropped; a quote that is
+    never closed is a plain character. Searches that find nothing end the page or are not
+    repeated, so no page takes more than linear time.
+    """
+    at, n, unclosed = 0, len(page), set()
+    last_tag = page.rfind(">")
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            i = n
+        if i > at:
+            yield "text", page[at:i]
+        if i >= n:
+            return
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 2)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        close = page.startswith("/", i + 1)
+        name = _NAME.match(page, i + 1 + close)
+        if not name:
+            if page[i + 1:i + 2] not in ("!", "?", "/"):
+                yield "text", "<"
+                at = i + 1
+                continue
+            at = page.find(">", i) + 1
+            if not at:
+                return
+            continue
+        if i > last_tag:
+            return
+        at, own = name.end(), {}
+        while at < n and page[at] != ">":
+            m = _ATTRIBUTE.match(page, at)
+            at = max(m.end(), at + (m.end() == at))
+            if m[2] is None:
+                if m[1]:
+                    own.setdefault(m[1].lower(), "")
+                continue
+            quote, value = page[at:at + 1], None
+            if quote in ("'", '"') and quote not in unclosed:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    unclosed.add(quote)
+                else:
+                    value, at = page[at + 1:end], end + 1
+            if value is None:
+                m2 = _BARE.match(page, at)
+                value, at = m2.group(), m2.end()
+            if m[1]:
+                own.setdefault(m[1].lower(), value)
+        if at >= n:
+            return
+        at += 1
+        tag = name.group().lower()
+        if close:
+            yield "end", tag
+            continue
+        yield "start", (tag, own)
+        if page[at - 2] == "/" and tag not in VOID and tag not in RAW:
+            yield "end", tag
+        elif tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            if not end:
+                return
+            at = end.start()
+
+
+def decoded(text: str) -> str:
+    """text with its character references decoded; a number that no character has is the replacement character."""
+    return entities.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
+
+
+def _named(own: dict[str, str], names: frozenset) -> bool:
+    """Whether a class, id or role says one of names: as a whole, or beside parts that say nothing."""
+    for token in " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split():
+        if token in names:
+            return True
+        parts = re.split("[-_]+", token)
+        if len(parts) > 1 and any(p in names for p in parts) and all(p in names or p in FILLING or p.isdigit() for p in parts):
+            return True
+    return False
 
 
-class _Blocks(HTMLParser):
+class _Blocks:
     """Blocks of text with the path of their elements."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # element, label, dropped, inside an article
+        #: Element, path, labels below DEPTH, dropped (2 by its element, 1 by its name), inside an article, open elements of the same name within.
+        self.stack: list[list] = []
+        self.open: dict[str, int] = {}
         self.blocks: list[tuple[str, bool, str]] = []
+        self.set_aside: list[tuple[str, bool, str]] = []
         self.text: list[str] = []
 
+    def state(self) -> tuple[str, tuple, int, bool]:
+        return tuple(self.stack[-1][1:5]) if self.stack else ("", (), 0, False)
+
     def flush(self):
         words = " ".join("".join(self.text).split())
         self.text = []
         if words:
-            block = [label for tag, label, _, _ in self.stack if tag not in INLINE]
-            self.blocks.append((">".join(block), bool(self.stack and self.stack[-1][3]), words))
-
-    def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
-            self.flush()
+            path, tail, dropped, inside = self.state()
+            (self.set_aside if dropped else self.blocks).append((">".join([path, *tail] if path else tail), inside, words))
+
+    def pop(self, k: int):
+        for x in self.stack[k:]:
+            self.open[x[0]] -= 1
+        del self.stack[k:]
+
+    def start(self, tag: str, own: dict[str, str]):
+        """Inline elements are open only where they drop their text; it doesn't break the block around it."""
+        if tag in INLINE:
+            if tag == "br":
+                self.text.append(" ")
+            if self.stack and self.stack[-1][0] == tag:
+                self.stack[-1][5] += 1
+            elif tag not in VOID and not self.state()[2] and ("hidden" in own or _named(own, NEVER if self.state()[3] else NEVER | OUTSIDE)):
+                self.push(tag, *self.state()[:2], 2, self.state()[3])
+            return
+        self.flush()
         if tag in VOID:
-            if tag in ("br", "wbr"):
-                self.text.append(" " if tag == "br" else "")
             return
         shut = CLOSES.get(tag, frozenset()) | ({"p"} if tag in ENDS_P else set())
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in shut:
-                del self.stack[k:]
-                break
-            if self.stack[k][0] in ENDS_P and self.stack[k][0] != "p":
-                break
-        own = dict(attrs)
-        name = " ".join(own.get(k) or "" for k in ("class", "id", "role")).strip().lower()
-        dropped, inside = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, False)
-        marked = bool(name and NOT_ARTICLE.search(name)) and tag not in ("html", "body")
-        dropped = dropped or tag in NO_TEXT or marked or (not inside and (tag == "header" or bool(name and tag not in ("html", "body") and HEAD_NAME.search(name)))) or "hidden" in own
-        inside = inside or (tag in ("article", "main") and not dropped)
-        label = f"{tag}.{'.'.join((own.get('class') or '').split())}" if own.get("class") else tag
-        self.stack.append((tag, label, dropped, inside))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+        if any(self.open.get(x) for x in shut):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in shut:
+                    self.pop(k)
+                    break
+                if self.stack[k][0] not in INLINE and self.stack[k][0] != "p":
+                    break
+        path, tail, dropped, inside = self.state()
+        if dropped < 2:
+            if tag in NO_TEXT or "hidden" in own or tag == "header" and not inside:
+                dropped = 2
+            elif tag not in ("html", "body") and _named(own, NEVER if inside else NEVER | OUTSIDE):
+                dropped = 1
+        inside = inside or (tag in ("article", "main") and dropped < 2)
+        names = ".".join(own.get("class", "").split())
+        label = f"{tag}.{names if len(names) <= 24 else format(zlib.crc32(names.encode()), 'x')}" if names else tag
+        if not tail and path.count(">") < DEPTH:
+            path = f"{path}>{label}" if path else label
+        else:
+            label = tag if tag in KNOWN else "other"
+            tail = tail[:tail.index(label) + 1] if label in tail else (*tail, label)
+        self.push(tag, path, tail, dropped, inside)
+
+    def push(self, tag: str, *state):
+        self.stack.append([tag, *state, 0])
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def end(self, tag: str):
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if not self.open.get(tag):
+            return
+        if tag in INLINE:
+            if self.stack[-1][0] == tag:
+                self.stack[-1][5] -= 1
+                if self.stack[-1][5] < 0:
+                    self.pop(len(self.stack) - 1)
+            return
+        k = len(self.stack) - 1
+        while self.stack[k][0] != tag:
+            k -= 1
+        self.pop(k)
 
-    def handle_data(self, data):
-        if not (self.stack and self.stack[-1][2]):
-            self.text.append(data)
+    def data(self, text: str):
+        if self.state()[2] < 2:
+            self.text.append(decoded(text))
 
 
 def blocks(html: str) -> list[tuple[str, bool, str]]:
     """(path, inside an article, text) of each block that isn't marked as no article, in page order.
 
-    Where a page has an article or main element, blocks outside it don't belong to the article. A
-    tag that the end of the page cuts off is dropped.
+    Where a page has an article or main element, blocks outside it don't belong to the article. An
+    article within an element whose name alone speaks against it counts if the page has no other.
     """
-    last = html.rfind("<")
-    if last > html.rfind(">") and re.match(r"<[a-zA-Z/!]", html[last:] + "!"):
-        html = html[:last]
     p = _Blocks()
-    p.feed(html)
-    p.close()
+    for kind, x in tokens(html):
+        if kind == "text":
+            p.data(x)
+        elif kind == "start":
+            p.start(*x)
+        else:
+            p.end(x)
     p.flush()
-    inside = [b for b in p.blocks if b[1]]
-    return inside or p.blocks
+    return [b for b in p.blocks if b[1]] or [b for b in p.set_aside if b[1]] or p.blocks
 
 
 def styles(paths) -> list[dict]:
     """Path and style of each branch above the given content nodes."""
     children: dict[str, dict[str, None]] = {}
+    order: dict[str, None] = {}
     for path in dict.fromkeys(paths):
-        labels = path.split(">")
-        for k in range(1, len(labels)):
-            children.setdefault(">".join(labels[:k]), {})[labels[k]] = None
-    return [{"path": p, "style": zlib.crc32(">".join(c).encode())} for p, c in children.items()]
+        chain = []
+        while ">" in path:
+            above, _, label = path.rpartition(">")
+            if label in children.get(above, ()):
+                break
+            children.setdefault(above, {})[label] = None
+            chain.append(above)
+            path = above
+        order.update(dict.fromkeys(reversed(chain)))
+    return [{"path": p, "style": zlib.crc32(">".join(children[p]).encode())} for p in order]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -142,10 +279,11 @@ def _measured(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _both(rows: DataFrame) -> DataFrame:
-    """(host, path, value): importance within the host's tree, or in the tree of all hosts where the host has too few pages."""
+    """(host, path, value): importance within the host's tree; the fewer pages a host has, the more the tree of all hosts counts."""
     own = _measured(rows, ["host", "path"])
-    every = _measured(rows, ["path"]).select("path", F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.lit(1.0)).alias("everywhere"))
-    return own.join(every, "path").select("host", "path", "pages", F.when(F.col("pages") >= ENOUGH, F.col("importance")).otherwise(F.col("everywhere")).alias("value"))
+    mixed = lambda other: (F.col("pages") * F.col("importance") + PRIOR * other) / (F.col("pages") + PRIOR)
+    every = _measured(rows, ["path"]).select("path", mixed(F.lit(1.0)).alias("everywhere"))
+    return own.join(every, "path").select("host", "path", "pages", mixed(F.col("everywhere")).alias("value"))
 
 
 def importance(pages: DataFrame) -> DataFrame:
