@@ -55,15 +55,24 @@ def leaves(nodes: DataFrame, branches: int | None) -> tuple[list[DataFrame], Dat
         at = rest.join(above, ["tree_id", "up"], "left").select(
             "tree_id", "node_id", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("k", F.lit(0))).alias("n"), "m")
         at = written(at, "jump")
-    done = reduce(DataFrame.unionByName, ends)
-    if done.where("up is not null").take(1):
-        raise ValueError("parent links form a cycle")
+    done = reduce(DataFrame.unionByName, ends).where("up is null")  # the rest lies on or below a cycle
     parents = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
     tips = done.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), F.col("n").alias("length"), F.col("sum").alias("score"))
     ranked = tips.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")))
     return jumps, ranked if branches is None else ranked.where(F.col("rank") <= branches)
 
 
+def cyclic(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id) of the messages on or below a cycle of parent links, which belong to no path; nodes as for format_trees."""
+    rows = written(_linked(nodes), "links")
+    jumps, _ = leaves(rows.select(F.col("key").alias("tree_id"), "node_id", "parent_id", "score"), 0)
+    roots = rows.where("parent_id is null and node_id is not null").select("key", "node_id")
+    for jump in reversed(jumps):  # whatever reaches a root, in jumps from the longest to the shortest, is sound
+        step = jump.select(F.col("tree_id").alias("key"), F.col("node_id").alias("below"), F.col("up").alias("node_id"))
+        roots = written(roots.unionByName(roots.join(step, ["key", "node_id"]).select("key", F.col("below").alias("node_id"))), "sound")
+    return rows.where("node_id is not null").join(roots, ["key", "node_id"], "left_anti").select("tree_id", "node_id")
+
+
 def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     """(tree_id, leaf_id, rank, score, node_id, place) of every message on the chosen root-to-leaf paths; place counts from the root.
 
@@ -78,25 +87,40 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _key() -> Column:
+    """Joins drop null keys: trees go by a text that null has too."""
+    return F.coalesce(F.concat(F.lit("="), F.col("tree_id").cast("string")), F.lit(""))
+
+
+def _linked(nodes: DataFrame, keyed: bool = False) -> DataFrame:
+    """(tree_id, key, node_id, parent_id, score) of each different node; a parent that isn't there is null."""
+    links = nodes.where("node_id is not null").select("tree_id", (F.col("tree_id") if keyed else _key()).alias("key"), "node_id", "parent_id", "score")
+    links = written(links if keyed else links.dropDuplicates(["key", "node_id"]), "links")
+    present = links.select("key", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
+    return links.join(present, ["key", "parent_id"], "left").select("tree_id", "key", "node_id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id"), "score")
+
+
 def format_trees(nodes: DataFrame, branches: int | None = None, learn_role: str = "assistant") -> DataFrame:
     """(tree_id, leaf_id, rank, score, formatted, loss_spans) of each chosen path.
 
     nodes has tree_id, node_id, parent_id (null: a root), role, text and score; node_id is unique
-    within its tree, and a parent that isn't there ends a path. The best `branches` paths of each
+    within its tree, and a parent that isn't there ends a path. Of rows that repeat a node_id, the
+    first by parent, score, role and text counts, once; messages on or below a cycle belong to no
+    path (`cyclic` lists them), whatever else their tree holds. The best `branches` paths of each
     tree are chosen (None: all), by score and then by the smallest leaf. Null roles, texts and
     scores count as empty and 0; rows with a null tree_id form one tree, rows with a null node_id
     belong to no path. loss_spans are the character ranges [start, end) of formatted that hold the
     texts of learn_role. Other columns are ignored.
     """
     kind = nodes.schema["tree_id"].dataType
-    # Joins drop null keys: trees go by a text that null has too.
-    nodes = nodes.withColumn("tree_id", F.coalesce(F.concat(F.lit("="), F.col("tree_id").cast("string")), F.lit("")))
+    nodes = nodes.select(_key().alias("tree_id"), "node_id", "parent_id", "role", "text", "score")
     # Texts are dealt by tree once: the join below and the grouping after it keep that partitioning.
     nodes.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    links = written(nodes.select("tree_id", "node_id", "parent_id", "score"), "links")
-    present = links.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
-    linked = links.join(present, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).select("tree_id", "node_id", "parent_id", "score")
-    linked = written(linked, "links")
+    ids = nodes.where("node_id is not null").groupBy("tree_id", "node_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not ids.isEmpty():
+        order = Window.partitionBy("tree_id", "node_id").orderBy("parent_id", "score", "role", "text")
+        nodes = nodes.withColumn("nth", F.row_number().over(order)).where("nth = 1 or node_id is null").drop("nth")
+    linked = written(_linked(nodes, keyed=True), "links").select(F.col("key").alias("tree_id"), "node_id", "parent_id", "score")
     says = nodes.select("tree_id", "node_id", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("role") == learn_role, F.lit(False)).alias("learn"))
     turns = (paths(linked, branches).join(says, ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id", "rank", "score")
              .agg(F.array_sort(F.collect_list(F.struct("place", "role", "text", "learn"))).alias("turns")))
@@ -109,7 +133,7 @@ def format_trees(nodes: DataFrame, branches: int | None = None, learn_role: str
         end = begin + F.length(t["text"])
         return F.struct((end + len(CLOSE)).alias("at"), F.when(t["learn"], F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
 
-    tree = F.when(F.col("tree_id") != "", F.substring("tree_id", 2, 1_000_000).cast(kind)).alias("tree_id")
+    tree = F.when(F.col("tree_id") != "", F.substr(F.col("tree_id"), F.lit(2)).cast(kind)).alias("tree_id")
     return turns.select(tree, "leaf_id", "rank", "score", F.array_join(F.transform("turns", one), "").alias("formatted"), F.aggregate("turns", start, step)["spans"].alias("loss_spans"))
 
 

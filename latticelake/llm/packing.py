@@ -33,7 +33,7 @@ class WordTokenizer:
 
     Each distinct word is encoded once by tokenizers; a text's ids are those of its words. To
     meet fewer distinct words, A-Z are lower-cased beforehand (unless combining marks follow
-    somewhere, which could compose with a letter) and a full stop or comma after a letter counts
+    somewhere, which could compose with a letter, or an added token would come into being) and a full stop or comma after a letter counts
     as a word of its own, as the tokenizer separates it anyway.
     """
 
@@ -42,13 +42,15 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that are found in the text as it stands, before it is lower-cased.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _words(self, texts: list[bytes]) -> pa.Array:
-        raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        if not ((raw == 0xCC) | (raw == 0xCD)).any():
+        joined = b"\n".join(texts) + b"\n"
+        raw, small = np.frombuffer(joined, dtype=np.uint8), joined.lower()
+        if not ((raw == 0xCC) | (raw == 0xCD)).any() and all(small.count(t.lower()) == joined.count(t) for t in self.added):
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         stop = (raw == 44) | (raw == 46)
         at = np.flatnonzero(stop[1:] & (raw[:-1] >= 97) & (raw[:-1] <= 122)) + 1

@@ -190,6 +190,7 @@ def pairs(around: DataFrame, width: int, narrow: int, length: int) -> DataFrame:
             h, at = Hasher(joined), np.concatenate([[0], np.cumsum(size)])[:-1] + left
             from_o, to_o = np.maximum(0, length - (size - left)), np.minimum(most, left)
             outer = np.minimum(low + width - 1, most)
+            step = np.arange(width, dtype=U) * PLACES[2]
             for x in range(0, width, narrow):
                 lo = low + x
                 hi = np.minimum(np.minimum(lo + narrow - 1, outer), most)
@@ -198,7 +199,7 @@ def pairs(around: DataFrame, width: int, narrow: int, length: int) -> DataFrame:
                 if not len(own):
                     continue
                 p, a, z, f, t = at[own], lo[own], hi[own], first[own], last[own]
-                added = h.ranges(p - a, p - low[own]) * PLACES[0] + h.ranges(p + length - outer[own], p + length - z) * PLACES[1] + U(x) * PLACES[2]
+                added = h.ranges(p - a, p - low[own]) * PLACES[0] + h.ranges(p + length - outer[own], p + length - z) * PLACES[1] + step[x]
                 full = h.ranges(p - t, p + length - f) * PLACES[3] + f.astype(U) * PLACES[4] + t.astype(U) * PLACES[5]
                 rows = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
