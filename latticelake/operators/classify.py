@@ -180,9 +180,10 @@ def _counted(counts: dict[str, int], elements: list[str]) -> tuple[str, int]:
 def slab(elements: list[str], contents: list[int], symbols: list[str], heights: list[float], gap: float = 0.7) -> dict:
     """layers, adsorbent, termination and standard of a slab.
 
-    From either face to the middle, what a layer has of elements rare in the whole run is adsorbed,
-    and so is all of a layer that resembles none further in; the search of a face ends at the
-    first layer that resembles one.
+    Elements rare in the whole run are adsorbed wherever they stand in an outer layer. What is left
+    of a layer is matched with the layers that lie further in: seen from either face, all layers
+    before the first match are adsorbed. Each face is matched for itself. Nothing is adsorbed in
+    slabs of three layers and less, or if everything were.
     """
     layers: list[Counter] = []
     before = None
@@ -191,38 +192,30 @@ def slab(elements: list[str], contents: list[int], symbols: list[str], heights:
             layers.append(Counter())
         layers[-1][s] += 1
         before = z
-    n, total, share = len(layers), sum(contents), dict(zip(elements, contents, strict=True))
-    gone: Counter = Counter()
+    n, total = len(layers), sum(contents)
+    share = {e: c / total for e, c in zip(elements, contents, strict=True)}
+    cores = [Counter({s: k for s, k in x.items() if share.get(s, 0) > (0.15 if s == "H" else 0.1)}) for x in layers]
+    # depth: layers between a layer and its face, the same from both sides
+    matched = {i for i in range(n) for j in range(n) if min(i, n - 1 - i) < min(j, n - 1 - j) and cores[i] and _alike(cores[i], layers[j])}
+    gone, left = Counter(), list(layers)
     if n > 3:
-        cleared = [Counter(x) for x in layers]
-        matched = False
         for face in (range(n // 2), range(n - 1, n // 2 - 1, -1)):
-            for i in face:
-                rare = {s for s in layers[i] if share.get(s, 0) <= (0.15 if s == "H" else 0.1) * total}
-                kept = {s: k for s, k in layers[i].items() if s not in rare}
-                for s in rare:
-                    gone[s] += cleared[i].pop(s)
-                if not kept:
-                    continue
-                # without a match at the first face, the second one is compared with nothing
-                inner = range(i + 1, n - i - 1) if not matched else range(n - i, i) if n - i < i else [i - 1]
-                if any(_alike(kept, layers[j]) for j in inner):
-                    matched = True
-                    break
-                for s in kept:
-                    gone[s] += cleared[i].pop(s)
-        if gone and sorted(gone) == sorted(elements) and sorted(gone.values()) == sorted(contents):
-            gone = Counter()
+            first = next((k for k, i in enumerate(face) if i in matched), len(face) - 1)
+            for i in face[:first + 1]:
+                left[i] = cores[i] if i in matched else Counter()
+                gone += layers[i] - left[i]
+        if not (gone and sorted(gone) == sorted(elements) and sorted(gone.values()) == sorted(contents)):
+            layers = [x for x in left if x]
         else:
-            layers = [x for x in cleared if x]
+            gone = Counter()
     out = {"layers": len(layers), "adsorbent": None, "termination": None, "standard": None}
     if gone:
         text, g = _counted(gone, elements)
         out["adsorbent"] = (str(g) if g > 1 else "") + text
     if len(layers) > 1 and layers[0] == layers[-1]:
         out["termination"] = _counted(layers[0], elements)[0]
-    left = list(dict.fromkeys(s for x in layers for s in x))
-    out["standard"] = "".join([e for e in elements if e in left] + [s for s in left if s not in elements]) + " slab"
+    names = list(dict.fromkeys(s for x in layers for s in x))
+    out["standard"] = "".join([e for e in elements if e in names] + [s for s in names if s not in elements]) + " slab"
     return out
 
 

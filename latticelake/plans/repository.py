@@ -173,7 +173,8 @@ def _(t):
 
 @query("g10_tilting_angles")
 def _(t):
-    return TI.tilting_angles(G.corners(t.b_atoms, t.b_lattices, t.b_lattices.select("struct_id", F.lit(2).alias("periodicity")), [22, 26], [8]))
+    atoms, lattices = TI.upright(t.b_atoms, t.b_lattices)
+    return TI.tilting_angles(G.corners(atoms, lattices, t.b_lattices.select("struct_id", F.lit(2).alias("periodicity")), [22, 26], [8]))
 
 
 @query("u1_parser_plugins", "select path, case when instr(text, 'license') > 0 then 'words' when instr(text, 'the') > 0 then 'signs' end as format, case when instr(text, 'license') > 0 then len(string_split(text, ' ')) when instr(text, 'the') > 0 then length(text) end as n, case when instr(text, 'license') = 0 and instr(text, 'the') = 0 then 'was read' end as error"
