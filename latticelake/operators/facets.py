@@ -65,6 +65,22 @@ def facet_topics(tags: DataFrame, topics: DataFrame, facets: DataFrame, values:
     return shown.select("cid", "name", "sort", kind.alias("kind"), "topic", F.coalesce("value", "topic").alias("value"), "tid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def topic_counts(tags: DataFrame) -> DataFrame:
+    """(tid, n): the number of runs of each topic, to be kept as a table."""
+    return tags.groupBy("tid").agg(F.count("*").alias("n"))
+
+
+def changed_counts(counts: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """Kept counts after tags went and came: only the changes are counted, and topics without runs leave.
+
+    gone and new are tags before and after a change (both may hold what stays), such as the
+    buckets that a rewrite touched, the tags of purged runs, or those of a batch that was taken in.
+    """
+    signed = lambda rows, k: rows.groupBy("tid").agg((F.count("*") * k).alias("n"))
+    every = counts.select("tid", "n").unionByName(signed(gone, -1)).unionByName(signed(new, 1))
+    return every.groupBy("tid").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 def replace_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:
     """Tags after those of one facet on the given runs are exchanged; the values must be topics already."""
     own = topics.where(F.col("cid") == cid)

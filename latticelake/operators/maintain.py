@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import discard, written
 
 
-def ancestors(calcsets: DataFrame, deepest: int = 1000) -> DataFrame:
-    """(node, ancestor, distance): all datasets above each node with the least distance; level by level, each level distinct and written.
+def ancestors(calcsets: DataFrame) -> DataFrame:
+    """(node, ancestor, distance): all datasets above each node with the least distance.
 
-    The edges form no cycle; more than `deepest` levels raise an error.
+    Round k knows all pairs up to a distance of 2**k. A pair further apart, up to twice that, has
+    a dataset at just that distance from the node on its way, so pairs at exactly 2**k are joined
+    with all: a nesting of n levels takes about log2(n) rounds. A dataset within itself is an error.
     """
-    step = calcsets.select(F.col("children_checksum").alias("node"), F.col("parent_checksum").alias("ancestor")).distinct()
-    up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    levels = [written(step, "level")]
-    while levels[-1].take(1):
-        if len(levels) > deepest:
-            raise ValueError("the datasets are nested too deep or form a cycle")
-        levels.append(written(levels[-1].join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct(), "level"))
-    found = reduce(DataFrame.unionByName, [level.withColumn("distance", F.lit(d)) for d, level in enumerate(levels, 1)])
-    return found.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    step = calcsets.select(F.col("children_checksum").alias("node"), F.col("parent_checksum").alias("ancestor")).where("node is not null and ancestor is not null").distinct()
+    known, far = written(step.withColumn("distance", F.lit(1)), "closure"), 1
+    while True:
+        ends = known.where(F.col("distance") == far).select("node", F.col("ancestor").alias("between"))
+        if ends.isEmpty():
+            break
+        above = known.select(F.col("node").alias("between"), "ancestor", (F.col("distance") + far).alias("distance"))
+        more = known.unionByName(ends.join(above, "between").select("node", "ancestor", "distance"))
+        longer = written(more.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "closure")
+        discard(known)
+        known, far = longer, 2 * far
+    if not known.where("node = ancestor").isEmpty():
+        raise ValueError("a dataset contains itself")
+    return known
 
 
 def dataset_sizes(calcsets: DataFrame) -> DataFrame:

@@ -134,13 +134,17 @@ def optimisation_log(runs: DataFrame) -> DataFrame:
 PAGE_SIZES, SORTS = (50, 100, 250), ("chemical_formula", "location")
 
 
+def selected(runs: DataFrame, tags: DataFrame, tids: list[int], tables: dict[str, DataFrame] | None = None, ranges: list[tuple[str, str, float, float]] = ()) -> DataFrame:
+    """The runs that carry all tags and lie in all ranges."""
+    return range_filter(runs.join(all_tags(tags, tids), "checksum", "left_semi") if tids else runs, tables or {}, list(ranges))
+
+
 def browse(runs: DataFrame, tags: DataFrame, tids: list[int], tables: dict[str, DataFrame] | None = None, ranges: list[tuple[str, str, float, float]] = (), sort: int = 0, page: int = 0, size: int = 100) -> tuple[DataFrame, DataFrame]:
     """One page of the runs that carry all tags and lie in all ranges, in order of formula (sort 0) or location (1) and then key; and (count) of all of them."""
     if size not in PAGE_SIZES or sort not in range(len(SORTS)):
         raise ValueError("unknown page size or sort key")
-    selected = runs.join(all_tags(tags, tids), "checksum", "left_semi") if tids else runs
-    selected = range_filter(selected, tables or {}, list(ranges))
-    return selected.orderBy(SORTS[sort], "checksum").offset(page * size).limit(size), selected.agg(F.count("*").alias("count"))
+    rows = selected(runs, tags, tids, tables, ranges)
+    return rows.orderBy(SORTS[sort], "checksum").offset(page * size).limit(size), rows.agg(F.count("*").alias("count"))
 
 
 def validate_parsed(runs: DataFrame) -> DataFrame:

@@ -19,7 +19,9 @@ from ..sources import files as SF
 from .bindings import table, with_views
 
 QUERIES: dict = {}
+#: The twins with their views in front, and as they were written.
 ORACLES: dict[str, str] = {}
+TWINS: dict[str, str] = {}
 
 
 class Tables:
@@ -38,7 +40,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name], TWINS[name] = with_views(sql), sql
         return f
 
     return add

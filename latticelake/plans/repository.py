@@ -11,15 +11,19 @@ from ..operators import classify as C
 from ..operators import facets as FA
 from ..operators import geometry as G
 from ..operators import maintain as MT
+from ..operators import paging as PG
+from ..operators import ranges as RG
 from ..operators import runs as R
 from ..operators import spectra as SP
 from ..operators import star as ST
 from ..operators import tilting as TI
-from ..reference_data import FACET_SCHEMA, FACETS, RADII, SYMBOLS, elements, facets
+from ..reference_data import CRYSTAL_SYSTEMS, FACET_SCHEMA, FACETS, POINT_GROUPS, RADII, SYMBOLS, elements, facets
 from ..sources import files as SF
+from ..sources import store as SB
+from ..streaming import ingest as IN
 from ..streaming.ingest import append_new
 from ..tables import new_path
-from .registry import CELLS, COMPOSED, DET, ELEMENT_ROWS, LENGTHS, ORACLES, QUERIES, _values, query
+from .registry import CELLS, COMPOSED, DET, ELEMENT_ROWS, LENGTHS, ORACLES, QUERIES, TWINS, _values, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -79,6 +83,136 @@ def _(t):
     return kept.select("checksum", F.lit("kept").alias("what")).unionByName(lost.select("checksum", F.lit("rejected").alias("what")))
 
 
+@query("src9_articles_json", """with p as (select checksum as paper, list_sort(list(distinct topic)) as els from b_raw_tags where cid = 2 group by 1)
+  select p.paper, array_to_string(els, ' / ') as standard, case when finished = 2 then 'B A,C' else 'A,B' end as authors, location as title, case when finished = 2 then '2015' else '2014' end as year,
+  case when finished = 2 and checksum like '%7' then '10.1/' || checksum end as doi, case when finished = 2 then 'J. 1' else 'J. 2' end as pubdata, case when finished = 2 then checksum || '.pdf' else 'data/NONCE' end as location, 1 as dtype from p join b_metadata on checksum = paper""")
+def _(t):
+    text = lambda c: F.to_json(c).alias("text")
+    els = t.b_raw_tags.where("cid = 2").groupBy("topic").agg(F.collect_list("checksum").alias("papers")).select(text(F.struct(F.create_map("topic", "papers").alias("els2paperids"))))
+    bib = t.b_metadata.select(text(F.struct(F.create_map("checksum", F.array(F.lit("A and B and A"), "location", F.lit("2014"), F.lit("J.é 2"))).alias("paperids2bib"))))
+    doi = F.when(F.col("checksum").endswith("7"), F.concat(F.lit("10.1/"), "checksum")).otherwise(F.lit(""))
+    meta = t.b_metadata.where("finished = 2").select(text(F.create_map("checksum", F.array(F.concat("checksum", F.lit(".pdf")), doi, F.lit("B A, C, B A"), "location", F.lit("J. 1"), F.lit("2015")))))
+    return SF.load_articles_json(els.unionByName(bib), meta).drop("elements").withColumn("authors", F.array_join("authors", ","))
+
+
+@query("src8_attach_setups", r"""with f as (select path, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, regexp_extract(path, '([^/]*)$', 1) as file, text from b_files union all select folder || '/fort.87', folder, 'fort.87', min(text) from (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder from b_files) x where path like '%.in' group by folder),
+  s as (select folder, regexp_replace(file, '\.(d12|gui)$', '') as stem, list_sort(list(distinct path)) as own from f where regexp_matches(file, '\.(d12|gui)$') group by 1, 2)
+  select f.path, array_to_string(list_concat([f.path], coalesce(s.own, [])), ' ') as related, nullif(string_split(w.text, chr(10))[1], '') as warning from f left join s on s.folder = f.folder and s.stem = regexp_replace(f.file, '(\.cryst)?\.out$', '')
+  left join f w on w.folder = f.folder and w.file = 'fort.87' where f.file like '%.out'""")
+def _(t):
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    said = t.b_files.where("path like '%.in'").groupBy(folder.alias("folder")).agg(F.min("text").alias("text")).select(F.concat("folder", F.lit("/fort.87")).alias("path"), "text")
+    return SF.attach_setups(t.b_files.select("path", "text").unionByName(said)).withColumn("related", F.array_join("related", " "))
+
+
+def _lake(t, **tables):
+    root = new_path(t.spark, "lake")
+    SB.save(tables, root, buckets=16)
+    return SB.open_store(t.spark, root)
+
+
+@query("src10_bucketed_join", "select checksum, gap, n from b_electrons join b_spacegroups using (checksum)")
+def _(t):
+    back = _lake(t, electrons=t.b_electrons, spacegroups=t.b_spacegroups).tables
+    return R.join_properties(back["electrons"], back["spacegroups"]).select("checksum", "gap", "n")
+
+
+@query("s3_scoped_rewrite", TWINS["s3_replace_topics"])
+def _(t):
+    lake = _lake(t, tags=t.b_tags, topics=t.b_topics)
+    SB.replace_topics(lake, t.b_electrons.where("gap > 7").select("checksum"), 22, ["1"])
+    return lake.tables["tags"]
+
+
+@query("s4_scoped_rewrite", TWINS["s4_append_topics"])
+def _(t):
+    lake = _lake(t, tags=t.b_tags, topics=t.b_topics)
+    SB.append_topics(lake, t.b_electrons.where("gap > 7").select("checksum"), 2, ["Sr", "Ti"])
+    return lake.tables["tags"]
+
+
+@query("s6_scoped_purge", "select 'tags' as what, cast(tid as bigint) as id from b_tags where checksum not in (select checksum from b_electrons where gap > 7) union all select 'lattices', l.struct_id from b_lattices l join b_structures s using (struct_id) where s.checksum not in (select checksum from b_electrons where gap > 7)")
+def _(t):
+    lake = _lake(t, tags=t.b_tags, structures=t.b_structures, lattices=t.b_lattices)
+    SB.purge(lake, t.b_electrons.where("gap > 7").select("checksum"))
+    return lake.tables["tags"].select(F.lit("tags").alias("what"), F.col("tid").cast("long").alias("id")).unionByName(lake.tables["lattices"].select(F.lit("lattices").alias("what"), F.col("struct_id").alias("id")))
+
+
+@query("a4_kept_counts", f"select tid, count(*) as n from (select * from ({TWINS['s3_replace_topics']}) x where checksum not in (select checksum from b_electrons where gap < 1)) y group by 1")
+def _(t):
+    """Counts kept through a change of topics and a removal, from the changes alone."""
+    counts, keys, gone = FA.topic_counts(t.b_tags), t.b_electrons.where("gap > 7").select("checksum"), t.b_electrons.where("gap < 1").select("checksum")
+    old = t.b_tags.join(keys, "checksum", "left_semi")
+    new = FA.replace_topics(old, t.b_topics, keys, 22, ["1"])
+    counts = FA.changed_counts(counts, old, new)
+    return FA.changed_counts(counts, t.b_tags.join(gone, "checksum", "left_semi"), t.b_tags.where("false"))
+
+
+@query("o1_listing_page", TWINS["o1_browse"])
+def _(t):
+    """The page of o1_browse, from a listing that is sorted and written once."""
+    path, by = new_path(t.spark, "listing"), ["chemical_formula", "checksum"]
+    runs = t.b_struct_ratios.join(t.b_metadata, "checksum").select("checksum", "chemical_formula", "location")
+    PG.write_listing(R.selected(runs, t.b_tags, [3, 5], {"electrons": t.b_electrons}, [("electrons", "gap", 0, 6)]), by, path, per_part=40)
+    return PG.read_page(t.spark, path, by, 1, 50)
+
+
+@query("j8_range_join", "select o_orderkey, s_name from orders left join supplier on o_orderkey between s_suppkey * 7 and s_suppkey * 7 + s_suppkey % 12 + case when s_suppkey % 50 = 0 then 3000 else 0 end")
+def _(t):
+    ranges = t.supplier.select((F.col("s_suppkey") * 7).alias("low"), (F.col("s_suppkey") * 7 + F.col("s_suppkey") % 12 + F.when(F.col("s_suppkey") % 50 == 0, 3000).otherwise(0)).alias("high"), "s_name")
+    return RG.interval_join(t.orders.select("o_orderkey"), "o_orderkey", ranges).select("o_orderkey", "s_name")
+
+
+@query("j8_overlaps", "select a.s_name as a, b.s_name as b from supplier a join supplier b on a.s_name < b.s_name and a.s_suppkey * 7 <= b.s_suppkey * 7 + b.s_suppkey % 12 and b.s_suppkey * 7 <= a.s_suppkey * 7 + a.s_suppkey % 12")
+def _(t):
+    ranges = t.supplier.select((F.col("s_suppkey") * 7).alias("low"), (F.col("s_suppkey") * 7 + F.col("s_suppkey") % 12).alias("high"), "s_name")
+    return RG.overlapping(ranges, "s_name")
+
+
+@query("j8_symmetry_ranges", "select checksum, (select name from " + _values(CRYSTAL_SYSTEMS) + " v(lo, hi, name) where n between lo and hi) as system, (select name from " + _values(POINT_GROUPS) + " v(lo, hi, name) where n between lo and hi) as point_group from b_spacegroups")
+def _(t):
+    of = lambda rows, name: t.spark.createDataFrame(rows, f"low int, high int, {name} string")
+    runs = RG.interval_join(t.b_spacegroups, "n", of(CRYSTAL_SYSTEMS, "system")).drop("low", "high")
+    return RG.interval_join(runs, "n", of(POINT_GROUPS, "point_group")).select("checksum", "system", "point_group")
+
+
+@query("s12_unequal_listings", "select checksum, gap, 'a' as side from b_electrons where gap < 1 union all select checksum, gap, 'b' from b_electrons where gap >= 6")
+def _(t):
+    return FA.same_rows(t.b_electrons.where("gap < 6"), t.b_electrons.where("gap >= 1"))
+
+
+@query("u3_isolated_apps", """select checksum, 'ratio' as app, case when gap > 0 then cast(cast(round(100 / gap) as bigint) as varchar) end as data, case when gap = 0 then 'Fatal error in ratio module:' || chr(10) || ' ValueError: no gap' end as error from (select checksum, round(gap * 100) as gap from b_electrons) e
+  union all select checksum, 'seven', case when checksum like '%77' then checksum end, case when checksum not like '%77' then 'No appdata-defined property found for seven module!' end from b_electrons where checksum like '%7%'""")
+def _(t):
+    runs = t.b_electrons.select("checksum", F.round(F.col("gap") * 100).cast("long").alias("gap"))
+
+    def ratio(run: dict) -> int:
+        if not run["gap"]:
+            raise ValueError("no gap")
+        return (200 + run["gap"]) // (2 * run["gap"])
+
+    apps = {"ratio": P.IsolatedApp({}, ratio), "seven": P.IsolatedApp({"checksum": "7"}, lambda r: r["checksum"] if r["checksum"].endswith("77") else None)}
+    return P.run_isolated(runs, apps)
+
+
+SNK4 = "select checksum, 'kept' as what from b_electrons union all select checksum, 'rejected' from b_electrons where gap >= 3 and gap < 4"
+
+
+@query("snk4_exactly_once", SNK4)
+def _(t):
+    """Two batches, the second one of which first dies after its rows are written, and a replay of both."""
+    root = new_path(t.spark, "streamed")
+    runs = t.b_electrons.select("checksum", "gap")
+    first, second = runs.where("gap < 4"), runs.where("gap >= 3")
+    IN.ingest_batch(first, root, 0)
+    left = second.where("gap >= 4").withColumn("part", IN.key_part(F.col("checksum")))
+    IN._write(left, f"{root}/runs", "stream-1", ["part"])
+    for k, batch in ((1, second), (1, second), (0, first)):
+        IN.ingest_batch(batch, root, k)
+    kept, lost = IN.repository(t.spark, root, runs.schema), IN.rejected_runs(t.spark, root)
+    return kept.select("checksum", F.lit("kept").alias("what")).unionByName(lost.select("checksum", F.lit("rejected").alias("what")))
+
+
 @query("w6_optimisation_log", "select run_id, step, round(value, 4) as first, cast(null as double) as second, case when step < 3 then cast(step + 5 as varchar) else '^' end as cycles from b_series")
 def _(t):
     rows = t.b_series.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: F.array(x["value"], F.lit(None).cast("double"))).alias("tresholds"))

@@ -221,6 +221,21 @@ def attach_inputs(files: DataFrame) -> DataFrame:
     return found.select("path", chosen.alias("input"), F.when(chosen.isNull(), F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("no input file")).otherwise(F.lit("several input files"))).alias("warning"))
 
 
+def attach_setups(files: DataFrame) -> DataFrame:
+    """(path, related, warning) of each .out log of a Gaussian-basis code: itself and the .d12 and .gui of its stem, and the first line of its folder's fort.87.
+
+    files has path and text. The stem of `x.cryst.out` is `x`; an empty first line is no warning.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    named = files.select("path", folder.alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "text")
+    logs = named.where(F.col("file").endswith(".out")).select("path", "folder", F.regexp_replace("file", r"(\.cryst)?\.out$", "").alias("stem"))
+    setups = named.where(F.col("file").rlike(r"\.(d12|gui)$")).select("folder", F.regexp_replace("file", r"\.(d12|gui)$", "").alias("stem"), F.col("path").alias("setup"))
+    own = setups.groupBy("folder", "stem").agg(F.array_sort(F.collect_set("setup")).alias("setups"))
+    said = named.where("file = 'fort.87'").groupBy("folder").agg(F.min(F.split("text", "\n")[0]).alias("line"))
+    found = logs.join(own, ["folder", "stem"], "left").join(said, "folder", "left")
+    return found.select("path", F.concat(F.array("path"), F.coalesce("setups", F.array().cast("array<string>"))).alias("related"), F.nullif(F.col("line"), F.lit("")).alias("warning"))
+
+
 def load_articles(els: DataFrame, meta: DataFrame, biblio: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """(paper, elements, standard, authors, title, dtype) of articles: sorted elements, authors once in order.
 
@@ -237,6 +252,37 @@ def load_articles(els: DataFrame, meta: DataFrame, biblio: DataFrame | None = No
     return found.select("paper", "elements", F.array_join("elements", " / ").alias("standard"), F.array_distinct(F.split("authors", ", ")).alias("authors"), "title", F.lit(1).alias("dtype"))
 
 
+def _entries(texts: DataFrame, column: str, path: str, value: str) -> DataFrame:
+    """(key, value) of the JSON object at path in a column of texts; values as the type value."""
+    parsed = texts.select(F.expr(f"variant_get(parse_json(`{column}`), '{path}', 'variant')").alias("v")).where("v is not null")
+    return texts.sparkSession.sql(f"select e.key, cast(e.value as {value}) as value from {{parsed}} p, lateral variant_explode(p.v) e", parsed=parsed)
+
+
+def load_articles_json(els: DataFrame, meta: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(paper, elements, standard, authors, title, year, doi, pubdata, location, dtype) of articles, straight from the texts of their JSON maps.
+
+    els (text) has els2paperids, papers by element, and paperids2bib, [authors, title, year,
+    journal] by paper; meta (text) has [file, doi, authors, title, journal, year] by paper, and
+    papers that it lacks take theirs from paperids2bib. Maps may be spread over any number of
+    texts. overrides (paper, elements) replaces a paper's elements; papers without any are left
+    out. Only ASCII stays of names and titles.
+    """
+    papers = _entries(els, "text", "$.els2paperids", "array<string>").select(F.col("key").alias("element"), F.explode("value").alias("paper"))
+    papers = papers.groupBy("paper").agg(F.array_sort(F.collect_set("element")).alias("elements"))
+    if overrides is not None:
+        own = overrides.select("paper", F.array_sort(F.array_distinct("elements")).alias("own"))
+        papers = papers.join(own, "paper", "full").select("paper", F.coalesce("own", "elements").alias("elements"))
+    ascii_only = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    bib = _entries(els, "text", "$.paperids2bib", "array<string>").select(F.col("key").alias("paper"), F.col("value").alias("b"))
+    told = _entries(meta, "text", "$", "array<string>").select(F.col("key").alias("paper"), F.col("value").alias("m"))
+    rows = bib.join(told, "paper", "left").join(papers, "paper")
+    known, m, b = F.col("m").isNotNull(), (lambda i: F.get("m", F.lit(i))), (lambda i: F.get("b", F.lit(i)))
+    pick = lambda one, other: F.when(known, one).otherwise(other)
+    authors = F.array_distinct(F.split(ascii_only(pick(m(2), F.replace(b(0), F.lit(" and "), F.lit(", ")))), ", "))
+    return rows.select("paper", "elements", F.array_join("elements", " / ").alias("standard"), authors.alias("authors"), ascii_only(pick(m(3), b(1))).alias("title"), pick(m(5), b(2)).alias("year"),
+                       F.nullif(m(1), F.lit("")).alias("doi"), ascii_only(pick(m(4), b(3))).alias("pubdata"), pick(m(0), F.lit("data/NONCE")).alias("location"), F.lit(1).alias("dtype"))
+
+
 def article_key(content: Column) -> Column:
     return F.concat(F.md5(content), F.lit("PDF"))
 

@@ -33,4 +33,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder and read from there: this cuts the lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at)
+
+
+def _paths(spark: SparkSession, pattern: str):
+    """Hadoop's file system of a path, and the paths that a pattern matches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, [x.getPath() for x in system.globStatus(path) or []]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_paths(spark, path)[1])
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    _paths(spark, path)[0].mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Deletes the folders and files that match a pattern, if any."""
+    system, found = _paths(spark, pattern)
+    for x in found:
+        system.delete(x, True)
