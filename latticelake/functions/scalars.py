@@ -10,8 +10,21 @@ from ..reference_data import CRYSTAL_SYSTEMS, ENUMS, FORMULA_ORDER, LAYER_GROUPS
 RYDBERG_EV, HARTREE_EV = 13.605693, 27.211386
 
 
-def _map(pairs) -> Column:
-    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+def _literal(x) -> str:
+    return f"'{x}'".replace("\\", "\\\\") if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
+
+
+def fixed_map(pairs) -> Column:
+    """A map of plain strings and numbers, as one expression instead of one for each entry: columns are made faster."""
+    return F.expr(f"map({', '.join(_literal(x) for pair in pairs for x in pair)})")
+
+
+def fixed_list(values) -> Column:
+    """An array of plain strings or numbers, as one expression."""
+    return F.expr(f"array({', '.join(map(_literal, values))})")
+
+
+_map = fixed_map
 
 
 def html_formula(s: Column) -> Column:
@@ -41,7 +54,7 @@ def formula_text(pairs: Column) -> Column:
 def standard_formula(symbols: Column) -> Column:
     """Formula of a list of labels: digits dropped, capitalised, in standard order, unknown ones last as first seen."""
     clean = F.transform(symbols, lambda s: F.initcap(F.regexp_replace(s, "[0-9]", "")))
-    order = F.array(*(F.lit(x) for x in FORMULA_ORDER))
+    order = fixed_list(FORMULA_ORDER)
     place = lambda s, i: F.struct(F.when(F.array_position(order, s) > 0, F.array_position(order, s)).otherwise(F.lit(1000) + i).alias("place"), s.alias("element"), F.size(F.filter(clean, lambda t: t == s)).alias("count"))
     return formula_text(F.array_sort(F.transform(F.array_distinct(F.filter(clean, lambda s: s != "X")), place)))
 
@@ -191,19 +204,18 @@ def hybrid_label(screening: Column) -> Column:
     return F.when(screening.isNull(), F.lit("PBE")).when(screening == 0, F.lit("PBE0")).when(F.abs(screening - 0.2) < 1e-9, F.lit("HSE06")).otherwise(F.format_string("HSE06 %.2f", screening))
 
 
+def _by_number(ranges: list[tuple[int, int, str]]) -> Column:
+    """Names by every number of ranges of integers."""
+    return fixed_map((k, name) for low, high, name in ranges for k in range(low, high + 1))
+
+
 def crystal_system(n: Column) -> Column:
-    out = None
-    for low, high, name in CRYSTAL_SYSTEMS:
-        out = (F.when if out is None else out.when)(n.between(low, high), F.lit(name))
-    return out
+    return F.try_element_at(_by_number(CRYSTAL_SYSTEMS), n)
 
 
 def point_group(n: Column) -> Column:
     """Schoenflies symbol with the index as a subscript."""
-    out = None
-    for low, high, name in POINT_GROUPS:
-        out = (F.when if out is None else out.when)(n.between(low, high), F.lit(name))
-    return out
+    return F.try_element_at(_by_number(POINT_GROUPS), n)
 
 
 def layer_group(n: Column, oblique: Column) -> Column:

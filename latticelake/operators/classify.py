@@ -48,9 +48,8 @@ def _add_tag(runs: DataFrame, when: Column, tag: int) -> DataFrame:
 
 def prepared(runs: DataFrame) -> DataFrame:
     """runs with all columns of RUN, the formula's elements and contents, the cell's lengths and angles, and empty results."""
-    for f in T.StructType.fromDDL(RUN):
-        if f.name not in runs.columns:
-            runs = runs.withColumn(f.name, F.lit(None).cast(f.dataType))
+    has = set(runs.columns)
+    runs = runs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(RUN) if f.name not in has})
     symbols = F.transform("atoms", lambda a: a["symbol"])
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -68,7 +67,7 @@ def prepared(runs: DataFrame) -> DataFrame:
 
 def dimensions(runs: DataFrame) -> DataFrame:
     """periodicity: with much vacuum an atom, a 3-periodic run is a slab in a long cell, or a molecule."""
-    radius = F.create_map(*(F.lit(x) for pair in zip(SYMBOLS, RADII, strict=True) for x in pair))
+    radius = S.fixed_map(zip(SYMBOLS, RADII, strict=True))
     filled = F.aggregate("atoms", F.lit(0.0), lambda s, a: s + 4 / 3 * math.pi * F.pow(F.coalesce(F.try_element_at(radius, a["symbol"]), F.lit(0.2)), 3))
     vacuum = F.try_divide(F.col("dims") - filled, F.col("natom"))
     longest, shortest = (F.array_position("lengths", f("lengths")) for f in (F.array_max, F.array_min))
@@ -163,7 +162,7 @@ def defects(runs: DataFrame) -> DataFrame:
 
 def isolated_and_organic(runs: DataFrame) -> DataFrame:
     """periodicity -1 of a single atom in much space; tag 1 of molecules with carbon and hydrogen, whose formulas aren't divided."""
-    radius = F.create_map(*(F.lit(x) for pair in zip(SYMBOLS, RADII, strict=True) for x in pair))
+    radius = S.fixed_map(zip(SYMBOLS, RADII, strict=True))
     pairs = F.arrays_zip(F.col("elements").alias("element"), F.col("contents").alias("count"))
     alone = G.is_isolated(pairs, F.col("periodicity"), F.col("dims"), F.try_element_at(radius, F.get("elements", F.lit(0))), ALONE)
     runs = runs.withColumn("periodicity", F.when(alone, -1).otherwise(F.col("periodicity"))).withColumn("organic", G.is_organic(pairs, F.col("periodicity")))

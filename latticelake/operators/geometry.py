@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import counts_gcd
+from ..functions import scalars as S
 from ..reference_data import SITE_A, SITE_B, SITE_C
 
 
@@ -140,7 +140,7 @@ def surface_termination(layers: DataFrame, elements: DataFrame) -> DataFrame:
     ends = per.groupBy("struct_id").agg(F.min_by("content", "layer").alias("first"), F.max_by("content", "layer").alias("last"), F.count("*").alias("layers"))
     counts = F.transform("first", lambda x: x["n"].cast("int"))
     text = F.array_join(F.transform("first", lambda x: F.concat(x["symbol"], F.when(x["n"] == F.col("g"), F.lit("")).otherwise((x["n"] / F.col("g")).cast("int").cast("string")))), "")
-    return ends.where("layers > 1 and first = last").withColumn("g", counts_gcd(counts)).select("struct_id", text.alias("termination"))
+    return ends.where("layers > 1 and first = last").withColumn("g", S.counts_gcd(counts)).select("struct_id", text.alias("termination"))
 
 
 def cell_drift(structures: DataFrame, lattices: DataFrame) -> DataFrame:
@@ -164,11 +164,11 @@ def effective_dimension(atoms: DataFrame, lattices: DataFrame, elements: DataFra
 
 def is_perovskite(pairs: Column, radii: dict[str, float]) -> Column:
     """Whether (element, count) pairs make a perovskite: site membership, proportion and a tolerance factor."""
-    names = lambda xs: F.array(*(F.lit(x) for x in sorted(set(xs))))
+    names = lambda xs: S.fixed_list(sorted(set(xs)))
     el = F.transform(pairs, lambda p: p["element"])
     of = lambda sites: F.array_intersect(el, names(sites))
     total = lambda sites: F.aggregate(F.filter(pairs, lambda p: F.array_contains(names(sites), p["element"])), F.lit(0.0), lambda acc, p: acc + p["count"])
-    r = F.create_map(*(F.lit(v) for kv in radii.items() for v in kv))
+    r = S.fixed_map(radii.items())
     share = F.try_divide(total(SITE_C), total(set(SITE_A) | set(SITE_B)))
     factor = lambda a, b, c: (r[a] + r[c]) / (2**0.5 * (r[b] + r[c]))
     fits = F.exists(of(SITE_A), lambda a: F.exists(of(SITE_B), lambda b: F.exists(of(SITE_C), lambda c: (a != b) & factor(a, b, c).between(0.71, 1.4))))
@@ -188,10 +188,10 @@ def vacancy_defect(pairs: Column, lack: Column | None = None) -> Column:
     """
     lack = F.lit(None).cast("string") if lack is None else lack
     counts = lambda element, k: F.transform(pairs, lambda p: F.when(p["element"] == element, p["count"] + k).otherwise(p["count"]))
-    one = lambda p, i, k: F.struct(counts_gcd(counts(p["element"], k)).alias("gcd"), (-(k * 1000 + i)).alias("late"), p["element"].alias("element"), k.alias("added"))
+    one = lambda p, i, k: F.struct(S.counts_gcd(counts(p["element"], k)).alias("gcd"), (-(k * 1000 + i)).alias("late"), p["element"].alias("element"), k.alias("added"))
     tries = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.transform(pairs, lambda p, i: one(p, i, k))))
     best = F.array_max(F.filter(tries, lambda t: lack.isNull() | (t["element"] == lack)))
-    plain = counts_gcd(F.transform(pairs, lambda p: p["count"]))
+    plain = S.counts_gcd(F.transform(pairs, lambda p: p["count"]))
     return F.when((F.size(pairs) > 1) & (best["gcd"] > plain), F.struct(best["gcd"].alias("gcd"), best["element"].alias("element"), best["added"].alias("added")))
 
 

@@ -155,9 +155,9 @@ def validate_parsed(runs: DataFrame) -> DataFrame:
 
 def fill_defaults(runs: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Nulls, and empty strings and arrays, replaced by the facet's default."""
-    kinds = dict(runs.dtypes)
+    kinds, new = dict(runs.dtypes), {}
     for c, v in defaults.items():
         empty = F.col(c).isNull() | (F.size(c) == 0 if kinds[c].startswith("array") else F.col(c).cast("string") == "")
         value = F.array(*(F.lit(x) for x in v)) if isinstance(v, list) else F.lit(v)
-        runs = runs.withColumn(c, F.when(empty, value).otherwise(F.col(c)))
-    return runs
+        new[c] = F.when(empty, value).otherwise(F.col(c))
+    return runs.withColumns(new)
