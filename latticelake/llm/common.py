@@ -1,51 +1,14 @@
-"""Shared helpers: tables written to the cluster's shared folder, Arrow batches of texts."""
+"""Shared helpers: Arrow batches of texts, and the tables written to the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: spark.checkpoint.dir.
-
-    Where it is unset, a local session (tests) gets a temporary folder of its own; on a
-    cluster that would not be shared, so a missing setting is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="latticelake-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet to the shared folder and read from there.
-
-    Cuts the lineage, so that a lost executor costs no more than the tasks that it ran.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by `written` that nothing reads any more."""
-    for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["chunks", "discard", "id_and_text", "shared_dir", "small_batches", "texts_of", "written"]
 
 
 def small_batches(spark: SparkSession, records: int = 512) -> None:
