@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..reference_data import FACETS
+from ..tables import written
 
 
 def make_tags(runs: DataFrame, facets: list[tuple]) -> DataFrame:
@@ -24,14 +25,15 @@ def make_tags(runs: DataFrame, facets: list[tuple]) -> DataFrame:
 def upsert_dimension(existing: DataFrame, new: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """existing plus the unseen values of new, numbered on by value from the largest id; known ids stay.
 
-    Numbers come from the sizes of range partitions, so no task sees all new values.
+    Numbers come from the sizes of parts of about a million new values, so no task sees all of them.
     """
-    unseen = new.select(*keys).distinct().join(existing, keys, "left_anti")
+    unseen = written(new.select(*keys).distinct().join(existing, keys, "left_anti"), "unseen")
+    parts = unseen.count() // 1_000_000 + 1
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    spread = unseen.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(64)))
+    spread = unseen.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
     sizes = spread.groupBy("_part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    numbered = spread.withColumn("_rank", rank).join(F.broadcast(sizes), "_part").crossJoin(F.broadcast(top))  # 64 rows and one row
+    numbered = spread.withColumn("_rank", rank).join(F.broadcast(sizes), "_part").crossJoin(F.broadcast(top))  # a row for a million values, and one row
     return existing.select(id_col, *keys).unionByName(numbered.select((F.col("top") + F.col("before") + F.col("_rank")).cast(existing.schema[id_col].dataType).alias(id_col), *keys))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.functionals import xc_lookup
 from ..functions.scalars import RYDBERG_EV, duration_hours
@@ -187,7 +188,7 @@ def parse_runs(files: DataFrame) -> DataFrame:
 
     A log that can't be read gives a row with an error, never a failed job.
     """
-    names = [x.split()[0] for x in re.split(r", (?=\w+ (?:string|double|int|boolean|array|struct))", LOG)]
+    names = StructType.fromDDL(LOG).names
 
     def run(batches):
         for pdf in batches:
