@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last keep the columns of documents. SQL can't
 express the stages, so ORACLE_SQL is None and tests compare the result with brute force.
+
+For all stages: an empty table gives an empty one; texts of any length are worked on whole; further
+columns stay, whatever their names (the last stage drops them), and none is confused with one of a
+stage's own.
 """
 
 from __future__ import annotations

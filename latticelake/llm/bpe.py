@@ -148,7 +148,11 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes every text, decodes the ids again, and returns digests of both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes every text, decodes the ids again, and returns digests of both.
+
+    Null and empty texts have no ids; texts of any length are encoded whole; every row stands for
+    itself, whatever its id. An empty table gives an empty one, and other columns are ignored.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):

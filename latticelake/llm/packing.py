@@ -195,7 +195,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_c
     """One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     A null or empty text is its end_id alone. Repeated rows are packed as often as they come;
-    rows with a null id are packed too. Each sequence is filled gaplessly from offset 0.
+    rows with a null id are packed too. Each sequence is filled gaplessly from offset 0. Texts of
+    any length are cut into pieces; an empty table gives an empty one, and other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
