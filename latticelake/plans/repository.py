@@ -105,6 +105,31 @@ def _(t):
     return SF.attach_setups(t.b_files.select("path", "text").unionByName(said)).withColumn("related", F.array_join("related", " "))
 
 
+@query("src6_parse_lines", """with a as (select l_orderkey as k, count(*) as natom, sum(round(l_quantity / 100, 7)) as x, sum(round(l_discount, 7)) as y, sum(round(l_tax, 7)) as z, string_agg(case l_partkey % 3 when 0 then 'Sr' when 1 then 'Ti' else 'O' end, ',' order by l_linenumber, l_partkey, l_suppkey) as symbols from lineitem group by 1),
+  o as (select o_orderkey as k, 5 + o_orderkey % 7 as alat, (5 + o_orderkey % 7) * 0.5291772083 as l, o_orderkey % 9 + 0.75 as top, o_orderkey % 5 = 0 as moved from orders)
+  select 'runs/' || k || '.out' as path, 'v' || (k % 4) as version, cast(natom as int) as natom, round(l * case when moved then 2 else 1 end, 4) as a, round(1.5 * l * case when moved then 2 else 1 end, 4) as c, round(case when moved then 2 else 1 end * x * l, 3) as x, round(case when moved then 2 else 1 end * y * l, 3) as y, round(case when moved then 2 else 1 end * z * l, 3) as z,
+  symbols, '2 pts/BZ' as k, round(0.5 / l / case when moved then 2 else 1 end, 4) as step, round(top - 1, 4) as top, cast(null as varchar) as error from o join a using (k)""")
+def _(t):
+    """Logs with cells, sites, k-points and bands, some with a cell that grows in the last step, parsed line by line."""
+    k, alat = F.col("o_orderkey"), 5 + F.col("o_orderkey") % 7
+    number = lambda c, d: F.format_string(f"%.{d}f", c.cast("double"))
+    symbol = F.when(F.col("l_partkey") % 3 == 0, "Sr").when(F.col("l_partkey") % 3 == 1, "Ti").otherwise("O")
+    site = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("         1           "), symbol, F.lit("  tau(   1) = (   "), number(F.col("l_quantity") / 100, 7), F.lit("   "), number(F.col("l_discount"), 7), F.lit("   "), number(F.col("l_tax"), 7), F.lit("  )")).alias("line"))
+    sites = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(site)), lambda x: x["line"]).alias("sites"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    axis = lambda n, v: F.lit(f"               a({n}) = (   {v} )")
+    head = F.array(text("     Program PWSCF v.v", (k % 4).cast("string"), " starts on 1Jan2014"), text("     celldm(1)=   ", number(alat, 6), "  celldm(2)=   0.000000"), F.lit("     crystal axes: (cart. coord. in units of alat)"),
+                   axis(1, "1.000000   0.000000   0.000000"), axis(2, "0.000000   1.000000   0.000000"), axis(3, "0.000000   0.000000   1.500000"), F.lit("     site n.     atom                  positions (alat units)"))
+    grown = F.when(k % 5 == 0, F.array(F.lit("CELL_PARAMETERS (alat)"), F.lit("2.0 0.0 0.0"), F.lit("0.0 2.0 0.0"), F.lit("0.0 0.0 3.0"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    bands = F.array(F.lit("     End of self-consistent calculation"), F.lit(""), F.lit("          k = 0.0000 0.0000 0.0000 (  1000 PWs)   bands (ev):"), F.lit(""), text("    -1.0000   ", number(k % 9 + 0.5, 4)), F.lit(""),
+                    F.lit("          k = 0.5000 0.0000 0.0000 (  1000 PWs)   bands (ev):"), F.lit(""), text("    -0.5000   ", number(k % 9 + 0.75, 4)), F.lit(""), F.lit("     the Fermi energy is     1.0000 ev"))
+    logs = t.orders.select("o_orderkey").join(sites, "o_orderkey").select(text("runs/", k.cast("string"), ".out").alias("path"), F.posexplode(F.concat(head, "sites", F.array(F.lit("")), grown, bands)).alias("n", "line"))
+    runs = SF.parse_lines(logs.select("path", F.lit(0).alias("start"), "n", "line"))
+    total = lambda c: F.round(F.aggregate("atoms", F.lit(0.0), lambda s, a: s + a[c]), 3).alias(c)
+    cell = lambda i: F.round(F.col("cell")[i][i], 4)
+    return runs.select("path", "version", "natom", cell(0).alias("a"), cell(2).alias("c"), total("x"), total("y"), total("z"), F.array_join(F.transform("atoms", lambda a: a["symbol"]), ",").alias("symbols"), "k", F.round(F.col("bands.abscissa")[1], 4).alias("step"), F.round(F.col("bands.stripes")[1][1], 4).alias("top"), "error")
+
+
 def _lake(t, **tables):
     root = new_path(t.spark, "lake")
     SB.save(tables, root, buckets=16)

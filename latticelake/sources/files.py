@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.functionals import xc_lookup
@@ -83,104 +87,143 @@ def _numbers(line: str) -> list[float]:
     return [float(x) for x in re.findall(r"-?\d+\.?\d*(?:[eEdD][+-]?\d+)?", line)]
 
 
-def _block(lines: list[str], start: int, most: int | None = None) -> list[str]:
-    """Lines from start to the first empty one, or so many."""
-    end = start
-    while end < len(lines) and lines[end].strip() and (most is None or end < start + most):
-        end += 1
-    return lines[start:end]
-
-
-def structure_of(lines: list[str]) -> tuple[np.ndarray, list[str], np.ndarray] | None:
-    """(cell, symbols, positions) in angstrom as the last step of a log leaves them; None without sites.
-
-    Printed cells and positions follow each other in the log; a new cell keeps the fractional positions.
-    """
-    alat, cell, names, place = 1.0, None, [], None
-    seen = False
-    for n, line in enumerate(lines):
-        if line.startswith("     celldm") and not seen:
-            seen, alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
+class LogReader:
+    """What a plane-wave log says, line by line: only the structure of now and the last set of eigenvalues are kept."""
+
+    def __init__(self):
+        self.row = {"version": None, "energy": None, "xc": None, "wall": None, "ended": False}
+        self.alat, self.scaled, self.cell, self.names, self.place = 1.0, False, None, [], None
+        self.block: list[str] | None = None  # lines of the block under way, what it is, how many it has (None: up to an empty line)
+        self.kind, self.most = "", None
+        self.sets = None
+
+    def feed(self, line: str) -> None:
+        if self.block is not None:
+            if (line.strip() or self.most is not None and self.kind != "cell") and len(self.block) != self.most:
+                self.block.append(line)
+                if len(self.block) == self.most:
+                    self.close()
+                return
+            self.close()
+        if m := re.match(r"     Program PWSCF\s*(?:v\.)?\s*(.*?) starts ", line):
+            self.row["version"] = self.row["version"] or m[1].strip()
+        elif m := re.match(r"!\s+total energy\s+=\s+(-?[\d.]+)", line):
+            self.row["energy"] = float(m[1]) * RYDBERG_EV
+        elif m := re.match(r"     Exchange-correlation\s*=\s*(.+)$", line):
+            self.row["xc"] = self.row["xc"] or m[1].strip()
+        elif line.startswith("     celldm") and not self.scaled:
+            self.scaled, self.alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
         elif line.startswith("     crystal axes:"):
-            cell = np.array([_numbers(x.split("=", 1)[1])[:3] for x in lines[n + 1:n + 4]]) * alat
-        elif line.startswith("     site n.") and not names:
-            rows = _block(lines, n + 1)
+            self.open("axes", 3)
+        elif line.startswith("     site n.") and not self.names:
+            self.open("sites", None)
+        elif line.startswith("CELL_PARAMETERS") and self.place is not None:
+            self.open("cell", 3, line)
+        elif line.startswith("ATOMIC_POSITIONS") and self.place is not None:
+            self.open("positions", len(self.names), line)
+        if m := re.search(r"PWSCF\s+:.*CPU(?:\s+time)?,?\s*(.*?)\s*(?:WALL|wall)", line):
+            self.row["wall"] = m[1].replace(" ", "")
+        self.row["ended"] |= "This run was terminated on" in line
+        if "End of self-consistent calculation" in line or "End of band structure calculation" in line:
+            self.sets = {"points": [], "values": [], "level": None, "failed": False, "spin": False, "open": False, "done": False}
+        elif self.sets and not self.sets["done"]:
+            self.eigenvalues(self.sets, line)
+
+    def open(self, kind: str, most: int | None, head: str = "") -> None:
+        self.block, self.kind, self.most, self.head = [], kind, most, head
+        if most == 0:
+            self.close()
+
+    def close(self) -> None:
+        """The block under way has all its lines. A new cell keeps the fractional positions."""
+        rows, self.block = self.block, None
+        scale = self.alat if "alat" in self.head else BOHR if "bohr" in self.head else 1.0
+        if self.kind == "axes":
+            self.cell = np.array([_numbers(x.split("=", 1)[1])[:3] for x in rows]) * self.alat
+        elif self.kind == "sites":
             names = [x.split()[1].strip("0123456789").split("_")[0] for x in rows]
-            names = [x if x in SYMBOLS or len(x) == 1 else x[:-1] for x in names]
-            place = np.array([_numbers(x.rsplit("(", 1)[1])[:3] for x in rows]) * alat
-        elif line.startswith("CELL_PARAMETERS") and place is not None:
-            rows = _block(lines, n + 1, 3)
-            if len(rows) == 3:
-                unit = BOHR if "bohr" in line else alat if "alat" in line else 1.0
-                fractions = place @ np.linalg.inv(cell)
-                cell = np.array([_numbers(x)[:3] for x in rows]) * unit
-                place = fractions @ cell
-        elif line.startswith("ATOMIC_POSITIONS") and place is not None:
-            rows = np.array([[float(v) for v in x.split()[1:4]] for x in lines[n + 1:n + 1 + len(names)]])
-            place = rows * alat if "alat" in line else rows * BOHR if "bohr" in line else rows if "angstrom" in line else rows @ cell
-    return None if place is None or cell is None else (cell, names, place)
-
-
-def bands_of_log(lines: list[str], cell: np.ndarray) -> tuple[dict, list[str]]:
-    """kpoints, bands, k and spin by the last set of eigenvalues, and what to warn of; bands count from the highest occupied level."""
-    ends = [n for n, x in enumerate(lines) if "End of self-consistent calculation" in x or "End of band structure calculation" in x]
-    out, warns = {"kpoints": None, "bands": None, "k": None, "spin": False}, []
-    if not ends:
-        return out, warns
-    points, values, level, failed, open_ = [], [], None, False, False
-    for line in lines[ends[-1] + 1:]:
+            self.names = [x if x in SYMBOLS or len(x) == 1 else x[:-1] for x in names]
+            self.place = np.array([_numbers(x.rsplit("(", 1)[1])[:3] for x in rows]) * self.alat
+        elif self.kind == "cell" and len(rows) == 3:
+            fractions = self.place @ np.linalg.inv(self.cell)
+            self.cell = np.array([_numbers(x)[:3] for x in rows]) * (BOHR if "bohr" in self.head else self.alat if "alat" in self.head else 1.0)
+            self.place = fractions @ self.cell
+        elif self.kind == "positions":
+            at = np.array([[float(v) for v in x.split()[1:4]] for x in rows])
+            self.place = at * scale if scale != 1.0 or "alat" in self.head else at if "angstrom" in self.head else at @ self.cell
+
+    @staticmethod
+    def eigenvalues(now: dict, line: str) -> None:
+        """One line after the end of a calculation: k-points and their values, up to the level that they count from."""
         if "    k =" in line:
-            points.append([float(x) for x in re.findall(r"-?\d*\.\d{4}", line.split("k =")[1])[:3]])
-            values.append([])
-            open_ = True
+            now["points"].append([float(x) for x in re.findall(r"-?\d*\.\d{4}", line.split("k =")[1])[:3]])
+            now["values"].append([])
+            now["open"] = True
         elif "highest occupied level" in line or "highest occupied, lowest unoccupied" in line or "Fermi energy" in line:
             found = _numbers(line.split("is" if "Fermi" in line else ":")[-1])
-            level = found[0] if found else None
-            break
+            now["level"], now["done"] = found[0] if found else None, True
         elif "SPIN UP" in line or "SPIN DOWN" in line:
-            out["spin"] = True
+            now["spin"] = True
         elif "Ry" in line or "CPU" in line:
-            failed = True
-            break
-        elif open_ and line.strip():
+            now["failed"] = now["done"] = True
+        elif now["open"] and line.strip():
             try:
-                values[-1] += [float(x) for x in line.split()]
+                now["values"][-1] += [float(x) for x in line.split()]
             except ValueError:
-                failed = True
-                break
-        elif values and values[-1]:
-            open_ = False
-    if not points or not any(values):
-        return out, warns
-    if out["spin"]:
-        warns.append("Spin states are not supported: only the spin down projection is considered.")
-    out |= {"kpoints": points, "k": f"{len(points) // (2 if out['spin'] else 1)} pts/BZ"}
-    if level is None and not failed:
-        warns.append("The highest occupied state was not found.")
-    elif failed or len({len(v) for v in values}) > 1:
-        warns.append("The band data are incorrect.")
-    else:
-        at = np.array(points) @ np.linalg.inv(cell).T
-        before = np.vstack([np.zeros(3), at[:-1]])
-        out["bands"] = {"abscissa": np.cumsum(np.linalg.norm(at + before, axis=1)).tolist(), "stripes": (np.array(values).T - level).tolist()}
-    return out, warns
+                now["failed"] = now["done"] = True
+        elif now["values"] and now["values"][-1]:
+            now["open"] = False
+
+    def bands(self) -> dict:
+        """kpoints, bands, k, spin and what to warn of; bands count from the highest occupied level."""
+        out, now = {"kpoints": None, "bands": None, "k": None, "spin": False, "warns": []}, self.sets
+        if not now or not any(now["values"]):
+            return out | {"spin": bool(now and now["spin"])}
+        if now["spin"]:
+            out["warns"].append("Spin states are not supported: only the spin down projection is considered.")
+        out |= {"kpoints": now["points"], "k": f"{len(now['points']) // (2 if now['spin'] else 1)} pts/BZ", "spin": now["spin"]}
+        if now["level"] is None and not now["failed"]:
+            out["warns"].append("The highest occupied state was not found.")
+        elif now["failed"] or len({len(v) for v in now["values"]}) > 1:
+            out["warns"].append("The band data are incorrect.")
+        else:
+            at = np.array(now["points"]) @ np.linalg.inv(self.cell).T
+            before = np.vstack([np.zeros(3), at[:-1]])
+            out["bands"] = {"abscissa": np.cumsum(np.linalg.norm(at + before, axis=1)).tolist(), "stripes": (np.array(now["values"]).T - now["level"]).tolist()}
+        return out
+
+    def result(self, path: str) -> dict:
+        """The log as a row of LOG."""
+        if self.block is not None:
+            self.close()
+        said = self.row
+        row = {"path": path, "version": said["version"], "energy": said["energy"], "xc": said["xc"], "wall": said["wall"], "finished": 2 if said["wall"] is not None or said["ended"] else 1, "spin": False, "warns": [], "error": None if said["version"] is not None else "no version found"}
+        if self.place is not None and self.cell is not None:
+            row |= {"cell": self.cell.tolist(), "atoms": [dict(zip(("symbol", "x", "y", "z"), (n, *map(float, p)), strict=True)) for n, p in zip(self.names, self.place, strict=True)]}
+            row |= self.bands()
+        return row
+
+
+def _read(path: str, lines: Iterable[str]) -> dict:
+    """A log as a row of LOG; one that can't be read is a row with an error. All lines are used up."""
+    reader, error = LogReader(), None
+    for line in lines:
+        if error is None:
+            try:
+                reader.feed(line)
+            except Exception as e:  # a bad log is a result
+                error = e
+    try:
+        if error is None:
+            return reader.result(path)
+    except Exception as e:
+        error = e
+    return {"path": path, "error": f"{type(error).__name__}: {error}"[:200]}
 
 
 def parse_log(path: str, text: str) -> dict:
     """One plane-wave log as a row of LOG: what its last step says."""
-    lines = text.split("\n")
-    find = lambda p: re.findall(p, text, re.MULTILINE)
-    version, energy, xc = find(r"^     Program PWSCF\s*(?:v\.)?\s*(.*?) starts "), find(r"^!\s+total energy\s+=\s+(-?[\d.]+)"), find(r"^     Exchange-correlation\s*=\s*(.+)$")
-    wall = find(r"PWSCF\s+:.*CPU(?:\s+time)?,?\s*(.*?)\s*(?:WALL|wall)")
-    row = {"path": path, "version": version[0].strip() if version else None, "energy": float(energy[-1]) * RYDBERG_EV if energy else None, "xc": xc[0].strip() if xc else None, "wall": wall[-1].replace(" ", "") if wall else None,
-           "finished": 2 if wall or "This run was terminated on" in text else 1, "spin": False, "warns": [], "error": None if version else "no version found"}
-    found = structure_of(lines)
-    if found:
-        cell, names, place = found
-        row |= {"cell": cell.tolist(), "atoms": [dict(zip(("symbol", "x", "y", "z"), (s, *map(float, p)), strict=True)) for s, p in zip(names, place, strict=True)]}
-        bands, warns = bands_of_log(lines, cell)
-        row |= bands | {"warns": warns}
-    return row
+    return _read(path, text.split("\n"))
 
 
 def parse_runs(files: DataFrame) -> DataFrame:
@@ -192,15 +235,44 @@ def parse_runs(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for path, text in zip(pdf["path"], pdf["text"], strict=True):
-                try:
-                    rows.append(parse_log(path, text or ""))
-                except Exception as e:  # a bad log is a result
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:200]})
+            rows = [parse_log(path, text or "") for path, text in zip(pdf["path"], pdf["text"], strict=True)]
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
-    raw = files.select("path", "text").mapInPandas(run, LOG)
+    return _with_labels(files.select("path", "text").mapInPandas(run, LOG))
+
+
+def log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, start, n, line) of the logs of a folder; start and n give the order of a file's lines. Large files are read by several tasks."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Run rows, as parse_runs gives them, of logs that come as lines (path, start, n, line): no log has to fit a row or a task's memory.
+
+    Lines are dealt by file and sorted; a task reads them one by one and keeps only what the log
+    says so far. Null lines are empty; lines without a path belong to no log.
+    """
+    names = StructType.fromDDL(LOG).names
+
+    def run(batches):
+        rows = ((path, line or "") for b in batches for path, line in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        done = []
+        for path, own in groupby(rows, key=lambda r: r[0]):
+            said = _read(path, (line for _, line in own))
+            done.append({n: said.get(n) for n in names})
+            if len(done) == 64:
+                yield pa.RecordBatch.from_pylist(done, schema=kinds)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=kinds)
+
+    kinds = to_arrow_schema(StructType.fromDDL(LOG))
+    dealt = lines.where("path is not null").repartition("path").sortWithinPartitions("path", "start", "n")
+    return _with_labels(dealt.select("path", "line").mapInArrow(run, LOG))
+
+
+def _with_labels(raw: DataFrame) -> DataFrame:
     xc = xc_lookup(F.col("xc"))
     return raw.select("*", xc["name"].alias("H"), xc["types"].alias("xc_types"), F.when(F.col("wall").isNotNull(), duration_hours(F.col("wall"))).alias("hours"), F.size("atoms").alias("natom"), F.lit("pwscf").alias("format")).drop("wall")
 

@@ -166,6 +166,25 @@ Ti       0.500000000   0.500000000   0.250000000
 """
 
 
+def test_log_line_by_line(spark, tmp_path):
+    """Lines in any order of rows, a file in several blocks, a bad log, and a folder read by lines: the rows that whole texts give."""
+    texts = {"a.out": LOG, "b.out": "nothing", "c.out": LOG.replace("7.000000", "x"), "d.out": LOG + LOG.replace("Sr  tau", "Ba  tau").replace("-1.0000   5.0000", "-3.0000   4.0000"), "e.out": LOG.split("0.5000000   0.5000000   0.5000000")[0], "f.out": ""}
+    want = sorted(map(str, SF.parse_runs(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()))
+    rows = [(p, 1000 * (i > 20), i, line or None) for p, t in texts.items() for i, line in enumerate(t.split("\n"))]
+    lines = spark.createDataFrame(sorted(rows, key=lambda r: hash(str(r))), "path string, start long, n long, line string")
+    assert sorted(map(str, SF.parse_lines(lines).collect())) == want
+    for p, t in texts.items():
+        (tmp_path / p).write_text(t)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        read = SF.log_lines(spark, str(tmp_path))
+        assert read.groupBy("path").agg(F.countDistinct("start").alias("n")).where("n > 1").count() > 0
+        got = SF.parse_lines(read.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(str, got)) == [x for x in want if "f.out" not in x]
+
+
 def test_log(spark):
     files = spark.createDataFrame([("a.out", LOG), ("b.out", "nothing"), ("c.out", LOG.replace("7.000000", "x"))], "path string, text string")
     got = {r.path: r for r in SF.parse_runs(files).collect()}
