@@ -21,6 +21,8 @@ from .common import chunks, id_and_text, small_batches, texts_of
 
 #: Pre-tokens whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
+#: Bytes of text, about, that are encoded together.
+CHUNK = 1_000_000
 
 
 def byte_chars() -> list[str]:
@@ -129,7 +131,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         c = codec(path, pattern)
         for b in batches:
             texts = texts_of(b.column(1))
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, CHUNK):
                 ids = list(c.encode_batch([t.decode() for t in texts[i:j]]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -160,7 +162,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             n, a, d = [], [], []
             texts = texts_of(b.column(1))
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, CHUNK):
                 for ids in c.encode_batch([t.decode() for t in texts[i:j]]):
                     n.append(len(ids))
                     a.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
