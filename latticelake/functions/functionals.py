@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import functional_family
+
 # Short name, name, type codes, set-ups.
 FUNCTIONALS = [
     ("pw", "PW_LDA", [1], ["sla+pw+nogx+nogc"]),
@@ -73,3 +75,17 @@ def xc_lookup(text: Column) -> Column:
     key = F.when(F.size(parts) < 4, clean(F.array_join(parts, "+"))).otherwise(F.array_join(F.transform(parts, clean), "+"))
     hit = F.try_element_at(_known(), key)
     return F.when(text.isNotNull(), F.struct(F.coalesce(hit["name"], key).alias("name"), F.coalesce(hit["types"], F.expr("cast(array() as array<int>)")).alias("types")))
+
+
+def by_number(rows: DataFrame, number: str, names: DataFrame) -> DataFrame:
+    """rows with name, comment and family of the functional that a column's number stands for.
+
+    names (id, name, comment) is the table of a library of functionals, given by the user, as it
+    comes in editions; of an id that it has twice, the smallest name counts. error says why there
+    is no family: the number is unknown, or the name has no known prefix. A null number has none of all.
+    """
+    known = names.groupBy("id").agg(F.min(F.struct("name", "comment")).alias("of"))
+    found = rows.join(known.withColumnRenamed("id", number), number, "left")
+    family = functional_family(F.col("of.name"))
+    error = F.when(F.col(number).isNull() | family.isNotNull(), None).when(F.col("of").isNull(), F.lit("unknown functional")).otherwise(F.concat(F.lit("unknown family of "), F.col("of.name")))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), F.col("of.name").alias("name"), F.col("of.comment").alias("comment"), family.alias("family"), error.alias("error"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import plugins as P
+from ..functions import functionals as XC
 from ..functions import scalars as S
 from ..operators import classify as C
 from ..operators import facets as FA
@@ -105,6 +106,14 @@ def _(t):
     return SF.attach_setups(t.b_files.select("path", "text").unionByName(said)).withColumn("related", F.array_join("related", " "))
 
 
+@query("j12_functional_table", """with n as (select s_suppkey as id, case s_suppkey % 6 when 0 then 'LDA_' when 1 then 'GGA_' when 2 then 'MGGA_' when 3 then 'HYB_GGA_' when 4 then 'HYB_MGGA_' else 'OTHER_' end || s_suppkey as name, s_name as comment, s_suppkey % 6 as f from supplier)
+  select o_orderkey, o_custkey, n.name, n.comment, case f when 0 then '1' when 1 then '2' when 2 then '3' when 3 then '2,4' when 4 then '3,4' end as family, case when n.id is null then 'unknown functional' when f = 5 then 'unknown family of ' || n.name end as error from orders left join n on n.id = o_custkey""")
+def _(t):
+    prefix = F.element_at(F.array(*(F.lit(x) for x in ("LDA_", "GGA_", "MGGA_", "HYB_GGA_", "HYB_MGGA_", "OTHER_"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    names = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(prefix, F.col("s_suppkey").cast("string")).alias("name"), F.col("s_name").alias("comment"))
+    return XC.by_number(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", names).withColumn("family", F.array_join("family", ","))
+
+
 @query("src6_parse_lines", """with a as (select l_orderkey as k, count(*) as natom, sum(round(l_quantity / 100, 7)) as x, sum(round(l_discount, 7)) as y, sum(round(l_tax, 7)) as z, string_agg(case l_partkey % 3 when 0 then 'Sr' when 1 then 'Ti' else 'O' end, ',' order by l_linenumber, l_partkey, l_suppkey) as symbols from lineitem group by 1),
   o as (select o_orderkey as k, 5 + o_orderkey % 7 as alat, (5 + o_orderkey % 7) * 0.5291772083 as l, o_orderkey % 9 + 0.75 as top, o_orderkey % 5 = 0 as moved from orders)
   select 'runs/' || k || '.out' as path, 'v' || (k % 4) as version, cast(natom as int) as natom, round(l * case when moved then 2 else 1 end, 4) as a, round(1.5 * l * case when moved then 2 else 1 end, 4) as c, round(case when moved then 2 else 1 end * x * l, 3) as x, round(case when moved then 2 else 1 end * y * l, 3) as y, round(case when moved then 2 else 1 end * z * l, 3) as z,
