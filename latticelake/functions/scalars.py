@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from ..reference_data import CRYSTAL_SYSTEMS, ENUMS, FORMULA_ORDER, LAYER_GROUPS
 RYDBERG_EV, HARTREE_EV = 13.605693, 27.211386
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once a row however often f names it: an expression in a lambda would be computed for each entry."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _literal(x) -> str:
     return f"'{x}'".replace("\\", "\\\\") if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
 
@@ -53,15 +60,18 @@ def formula_text(pairs: Column) -> Column:
 
 def standard_formula(symbols: Column) -> Column:
     """Formula of a list of labels: digits dropped, capitalised, in standard order, unknown ones last as first seen."""
-    clean = F.transform(symbols, lambda s: F.initcap(F.regexp_replace(s, "[0-9]", "")))
     order = fixed_list(FORMULA_ORDER)
-    place = lambda s, i: F.struct(F.when(F.array_position(order, s) > 0, F.array_position(order, s)).otherwise(F.lit(1000) + i).alias("place"), s.alias("element"), F.size(F.filter(clean, lambda t: t == s)).alias("count"))
-    return formula_text(F.array_sort(F.transform(F.array_distinct(F.filter(clean, lambda s: s != "X")), place)))
+
+    def told(clean: Column) -> Column:
+        place = lambda s, i: F.struct(F.when(F.array_position(order, s) > 0, F.array_position(order, s)).otherwise(F.lit(1000) + i).alias("place"), s.alias("element"), F.size(F.filter(clean, lambda t: t == s)).alias("count"))
+        return formula_text(F.array_sort(F.transform(F.array_distinct(F.filter(clean, lambda s: s != "X")), place)))
+
+    return let(F.transform(symbols, lambda s: F.initcap(F.regexp_replace(s, "[0-9]", ""))), told)
 
 
 def counts_gcd(counts: Column) -> Column:
     """Greatest common divisor of an array of counts."""
-    return F.filter(F.sequence(F.array_min(counts), F.lit(1), F.lit(-1)), lambda g: F.forall(counts, lambda c: c % g == 0))[0]
+    return let(counts, lambda own: F.filter(F.sequence(F.array_min(own), F.lit(1), F.lit(-1)), lambda g: F.forall(own, lambda c: c % g == 0))[0])
 
 
 def reduced_formula(pairs: Column) -> Column:
