@@ -92,8 +92,19 @@ def _atoms(lineitem: DataFrame) -> DataFrame:
     return rows.select("struct_id", idx.alias("atom_idx"), number.alias("number"), "x", "y", "z", "charge")
 
 
+def _topics(raw_tags: DataFrame) -> DataFrame:
+    """The view b_topics from tags that may repeat."""
+    number = F.row_number().over(Window.orderBy("cid", "topic")).cast("int")
+    return raw_tags.select("cid", "topic").distinct().select(number.alias("tid"), "cid", "topic")
+
+
+def _tags(raw_tags: DataFrame, topics: DataFrame) -> DataFrame:
+    """The view b_tags: the bindings have some twenty topics, so no topic's rows have to meet in one task."""
+    return raw_tags.distinct().join(F.broadcast(topics), ["cid", "topic"]).select("checksum", "tid")
+
+
 #: Views that Spark builds in a cheaper way, with the same rows.
-BUILT = {"b_atoms": (_atoms, ["lineitem"])}
+BUILT = {"b_atoms": (_atoms, ["lineitem"]), "b_topics": (_topics, ["b_raw_tags"]), "b_tags": (_tags, ["b_raw_tags", "b_topics"])}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
