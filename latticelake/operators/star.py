@@ -54,11 +54,16 @@ def star_schema(runs: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def nested(structures: DataFrame, lattices: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(checksum, steps): the structures of each run in order, as star_schema() takes them."""
+def structures_of(structures: DataFrame, lattices: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(checksum, step, s): a row for each of structures that has a cell and atoms, as a struct of cell and atoms."""
     symbol = F.element_at(F.array(*(F.lit(s) for s in ["X", *SYMBOLS])), F.col("number") + 1)
     site = F.struct(symbol.alias("symbol"), "x", "y", "z", F.col("charge").cast("double").alias("charge"), F.lit(None).cast("double").alias("magmom"))
     sites = atoms.groupBy("struct_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("atom_idx", site.alias("a")))), lambda x: x["a"]).alias("atoms"))
     cell = F.array(*(F.array(*(f"a{i}{j}" for j in (1, 2, 3))) for i in (1, 2, 3)))
-    whole = structures.join(lattices, "struct_id").join(sites, "struct_id").select("checksum", "step", F.struct(cell.alias("cell"), "atoms").alias("s"))
+    return structures.join(lattices, "struct_id").join(sites, "struct_id").select("checksum", "step", F.struct(cell.alias("cell"), "atoms").alias("s"))
+
+
+def nested(structures: DataFrame, lattices: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(checksum, steps): the structures of each run in order, as star_schema() takes them."""
+    whole = structures_of(structures, lattices, atoms)
     return whole.groupBy("checksum").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "s"))), lambda x: x["s"]).alias("steps"))
