@@ -86,8 +86,8 @@ def changed_counts(counts: DataFrame, gone: DataFrame, new: DataFrame) -> DataFr
 def replace_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:
     """Tags after those of one facet on the given runs are exchanged; the values must be topics already."""
     own = topics.where(F.col("cid") == cid)
-    old = tags.join(own.select("tid"), "tid", "left_semi").join(keys, "checksum", "left_semi")
-    return tags.join(old, ["checksum", "tid"], "left_anti").unionByName(_given(own, keys, values)).distinct()
+    marked = tags.join(own.select("tid", F.lit(True).alias("own")).distinct(), "tid", "left").join(keys.select("checksum", F.lit(True).alias("given")).distinct(), "checksum", "left")
+    return marked.where("own is null or given is null").select(*tags.columns).unionByName(_given(own, keys, values)).distinct()
 
 
 def append_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:
