@@ -24,7 +24,7 @@ def star_schema(runs: DataFrame) -> dict[str, DataFrame]:
     steps = runs.select("checksum", F.posexplode("steps").alias("step", "s"), F.size("steps").alias("n")).withColumn("struct_id", struct_id(F.col("checksum"), F.col("step")))
     out = {"structures": steps.select("struct_id", "checksum", "step", (F.col("step") == F.col("n") - 1).alias("final"))}
     cells = steps.select("struct_id", *(F.col("s.cell")[i][j].alias(f"a{i + 1}{j + 1}") for i in range(3) for j in range(3)))
-    out["lattices"] = cell_parameters(cells).drop("volume").join(cells, "struct_id")
+    out["lattices"] = cell_parameters(cells, *(c for c in cells.columns if c != "struct_id")).drop("volume")
     number = F.create_map(*(F.lit(x) for i, s in enumerate(["X", *SYMBOLS]) for x in (s, i)))
     atoms = steps.select("struct_id", F.posexplode("s.atoms").alias("atom_idx", "a"))
     out["atoms"] = atoms.select("struct_id", (F.col("atom_idx") + 1).alias("atom_idx"), F.try_element_at(number, F.col("a.symbol")).alias("number"), "a.x", "a.y", "a.z", "a.charge", "a.magmom")
