@@ -83,11 +83,18 @@ def changed_counts(counts: DataFrame, gone: DataFrame, new: DataFrame) -> DataFr
     return every.groupBy("tid").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+def distinct_tags(tags: DataFrame) -> DataFrame:
+    """(checksum, tid), each pair once: dealt by run, which serves what follows by run, and sorted there, so that no task keeps a hash table of its rows."""
+    by = Window.partitionBy("checksum").orderBy("tid")
+    seen = tags.select("checksum", "tid").repartition("checksum").withColumns({"place": F.row_number().over(by), "before": F.lag("tid").over(by)})
+    return seen.where("place = 1 or not before <=> tid").select("checksum", "tid")
+
+
 def replace_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:
     """Tags after those of one facet on the given runs are exchanged; the values must be topics already."""
     own = topics.where(F.col("cid") == cid)
     marked = tags.join(own.select("tid", F.lit(True).alias("own")).distinct(), "tid", "left").join(keys.select("checksum", F.lit(True).alias("given")).distinct(), "checksum", "left")
-    return marked.where("own is null or given is null").select(*tags.columns).unionByName(_given(own, keys, values)).distinct()
+    return distinct_tags(marked.where("own is null or given is null").select("checksum", "tid").unionByName(_given(own, keys, values)))
 
 
 def append_topics(tags: DataFrame, topics: DataFrame, keys: DataFrame, cid: int, values: list[str]) -> DataFrame:

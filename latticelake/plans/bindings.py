@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.facets import distinct_tags
+
 TABLES = "customer supplier part orders lineitem events documents embeddings pages".split()
 
 #: {i} stands for the SQL of an array's (i + 1)-th entry.
@@ -112,9 +114,7 @@ def _tags(orders: DataFrame, lineitem: DataFrame, topics: DataFrame) -> DataFram
     Tags are dealt by run, which serves what follows by run, and sorted there: no task holds the
     keys of its part of a file in a hash table before.
     """
-    dealt = _raw(orders, lineitem, "checksum").join(F.broadcast(topics), ["cid", "topic"]).select("checksum", "tid").repartition("checksum")
-    before = F.lag("tid").over(Window.partitionBy("checksum").orderBy("tid"))
-    return dealt.withColumn("before", before).where("before is null or before <> tid").select("checksum", "tid")
+    return distinct_tags(_raw(orders, lineitem, "checksum").join(F.broadcast(topics), ["cid", "topic"]))
 
 
 #: Views that Spark builds in a cheaper way, with the same rows.
