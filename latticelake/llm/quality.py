@@ -112,14 +112,30 @@ def _summed(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(both)), pa.array(np.arange(len(both), dtype=np.int32)), pa.array(both.astype(np.int64))], names=["lang", "bin", "n"])
 
 
+def _summed_texts(batches):
+    """_summed of the texts (lang, text) that pass the base counts, measured in the same pass: a task needs one Python worker, not two."""
+    for b in batches:
+        langs, texts = b.column(0), texts_of(b.column(1))
+        for i, j in chunks(texts):
+            m = measured(texts[i:j])
+            ok = np.flatnonzero(~_base_failed(m))
+            yield from _summed([pa.RecordBatch.from_arrays([langs.slice(i, j - i).take(pa.array(ok)), _lists(m["kinds"][ok]), _lists(m["words"][ok])], names=["lang", "kinds", "words"])])
+
+
+SUMS = "lang string, bin int, n long"
+
+
 def references(profiled: DataFrame) -> DataFrame:
     """(lang, sums): the summed classes and words of each language that has LEAST_REFERENCE words.
 
     Only documents that pass the base counts take part. Every language has its own row, however
     small its share of the corpus.
     """
-    sums = (profiled.where(~base_failed()).select("lang", "kinds", "words").mapInArrow(_summed, "lang string, bin int, n long")
-            .groupBy("lang", "bin").agg(F.sum("n").alias("n")))
+    return _references(profiled.where(~base_failed()).select("lang", "kinds", "words").mapInArrow(_summed, SUMS))
+
+
+def _references(parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("sums"))
     n_words = F.aggregate(F.slice("sums", 2 + N_CLASSES, N_WORDS), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.where(n_words >= LEAST_REFERENCE)
@@ -145,6 +161,10 @@ def distances(kinds: np.ndarray, words: np.ndarray, sums: list) -> tuple[np.ndar
     return out
 
 
+def _base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
+    return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+
+
 def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -190,11 +210,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     texts: no row is looked up by its id, and texts are neither shuffled nor copied.
     """
     small_batches(docs.sparkSession, 256)
-    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), "lang", "text")
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     lang, sums = "reference_lang", "reference_sums"
     while {lang, sums} & set(docs.columns):
         lang, sums = lang + "_", sums + "_"
-    refs = written(references(profiles(rows)), "references").toDF(lang, sums)
+    refs = written(_references(rows.mapInArrow(_summed_texts, SUMS)), "references").toDF(lang, sums)
 
     @F.arrow_udf("boolean")
     def good(text: pa.Array, sums: pa.Array) -> pa.Array:
@@ -203,8 +223,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
         for i, j in chunks(whole):
             m = measured(whole[i:j])
             class_js, word_js = distances(m["kinds"], m["words"], own[i:j])
-            failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-            out[i:j] = ~failed & ~too_far(m["word_chars"], m["n_words"], class_js, word_js)
+            out[i:j] = ~_base_failed(m) & ~too_far(m["word_chars"], m["n_words"], class_js, word_js)
         return pa.array(out)
 
     told = docs.join(refs, F.coalesce(docs["lang"].cast("string"), F.lit("")) == refs[lang], "left")
