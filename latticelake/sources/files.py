@@ -9,6 +9,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,8 +84,13 @@ LOG = ("path string, version string, energy double, xc string, finished int, wal
 BOHR = 0.5291772083
 
 
+_NUMBER, _COORDINATE = re.compile(r"-?\d+\.?\d*(?:[eEdD][+-]?\d+)?"), re.compile(r"-?\d*\.\d{4}")
+_PROGRAM, _ENERGY, _XC = re.compile(r"     Program PWSCF\s*(?:v\.)?\s*(.*?) starts "), re.compile(r"!\s+total energy\s+=\s+(-?[\d.]+)"), re.compile(r"     Exchange-correlation\s*=\s*(.+)$")
+_WALL = re.compile(r"PWSCF\s+:.*CPU(?:\s+time)?,?\s*(.*?)\s*(?:WALL|wall)")
+
+
 def _numbers(line: str) -> list[float]:
-    return [float(x) for x in re.findall(r"-?\d+\.?\d*(?:[eEdD][+-]?\d+)?", line)]
+    return [float(x) for x in _NUMBER.findall(line)]
 
 
 class LogReader:
@@ -105,26 +111,31 @@ class LogReader:
                     self.close()
                 return
             self.close()
-        if m := re.match(r"     Program PWSCF\s*(?:v\.)?\s*(.*?) starts ", line):
-            self.row["version"] = self.row["version"] or m[1].strip()
-        elif m := re.match(r"!\s+total energy\s+=\s+(-?[\d.]+)", line):
+        if not line:  # says nothing but in a set of eigenvalues
+            if self.sets and not self.sets["done"]:
+                self.eigenvalues(self.sets, line)
+            return
+        if line.startswith("     "):
+            if m := line.startswith("     Program PWSCF") and _PROGRAM.match(line):
+                self.row["version"] = self.row["version"] or m[1].strip()
+            elif m := line.startswith("     Exchange-correlation") and _XC.match(line):
+                self.row["xc"] = self.row["xc"] or m[1].strip()
+            elif line.startswith("     celldm") and not self.scaled:
+                self.scaled, self.alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
+            elif line.startswith("     crystal axes:"):
+                self.open("axes", 3)
+            elif line.startswith("     site n.") and not self.names:
+                self.open("sites", None)
+        elif m := line[0] == "!" and _ENERGY.match(line):
             self.row["energy"] = float(m[1]) * RYDBERG_EV
-        elif m := re.match(r"     Exchange-correlation\s*=\s*(.+)$", line):
-            self.row["xc"] = self.row["xc"] or m[1].strip()
-        elif line.startswith("     celldm") and not self.scaled:
-            self.scaled, self.alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
-        elif line.startswith("     crystal axes:"):
-            self.open("axes", 3)
-        elif line.startswith("     site n.") and not self.names:
-            self.open("sites", None)
         elif line.startswith("CELL_PARAMETERS") and self.place is not None:
             self.open("cell", 3, line)
         elif line.startswith("ATOMIC_POSITIONS") and self.place is not None:
             self.open("positions", len(self.names), line)
-        if m := re.search(r"PWSCF\s+:.*CPU(?:\s+time)?,?\s*(.*?)\s*(?:WALL|wall)", line):
+        if m := "PWSCF" in line and _WALL.search(line):
             self.row["wall"] = m[1].replace(" ", "")
         self.row["ended"] |= "This run was terminated on" in line
-        if "End of self-consistent calculation" in line or "End of band structure calculation" in line:
+        if "End of " in line and ("End of self-consistent calculation" in line or "End of band structure calculation" in line):
             self.sets = {"points": [], "values": [], "level": None, "failed": False, "spin": False, "open": False, "done": False}
         elif self.sets and not self.sets["done"]:
             self.eigenvalues(self.sets, line)
@@ -156,7 +167,7 @@ class LogReader:
     def eigenvalues(now: dict, line: str) -> None:
         """One line after the end of a calculation: k-points and their values, up to the level that they count from."""
         if "    k =" in line:
-            now["points"].append([float(x) for x in re.findall(r"-?\d*\.\d{4}", line.split("k =")[1])[:3]])
+            now["points"].append([float(x) for x in _COORDINATE.findall(line.split("k =")[1])[:3]])
             now["values"].append([])
             now["open"] = True
         elif "highest occupied level" in line or "highest occupied, lowest unoccupied" in line or "Fermi energy" in line:
@@ -247,6 +258,16 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
 
 
+def _stretches(batches: Iterable[pa.RecordBatch]):
+    """(path, lines) of the lines of a batch that follow one another in one file: each path is read once, not with every line."""
+    for b in batches:
+        runs = pc.run_end_encode(b.column(0))
+        lines, start = b.column(1).to_pylist(), 0
+        for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            yield path, lines[start:end]
+            start = end
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Run rows, as parse_runs gives them, of logs that come as lines (path, start, n, line): no log has to fit a row or a task's memory.
 
@@ -256,10 +277,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     names = StructType.fromDDL(LOG).names
 
     def run(batches):
-        rows = ((path, line or "") for b in batches for path, line in zip(*(c.to_pylist() for c in b.columns), strict=True))
         done = []
-        for path, own in groupby(rows, key=lambda r: r[0]):
-            said = _read(path, (line for _, line in own))
+        for path, own in groupby(_stretches(batches), key=lambda r: r[0]):
+            said = _read(path, (line or "" for _, lines in own for line in lines))
             done.append({n: said.get(n) for n in names})
             if len(done) == 64:
                 yield pa.RecordBatch.from_pylist(done, schema=kinds)
