@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, id_and_text, small_batches, texts_of, written
 
-#: Words whose ids a task remembers; beyond that it starts anew.
+#: Words whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
 #: Pieces of one length and bucket, about, that one task ranks.
 BUCKET = 20_000
@@ -95,11 +95,20 @@ class WordTokenizer:
         return [ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and end_id, cut only where longer than capacity."""
 
     def run(batches):
-        t = WordTokenizer(path)  # for this task only: a worker that kept it would hold it through all later stages
+        t = tokenizer(path)
         for b in batches:
             texts = texts_of(b.column(1))
             for i, j in chunks(texts, 8_000_000):
