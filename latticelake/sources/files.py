@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -82,6 +84,7 @@ def detect_format(text: Column, rules: dict[str, list[str]] = RULES) -> Column:
 LOG = ("path string, version string, energy double, xc string, finished int, wall string, spin boolean, cell array<array<double>>, atoms array<struct<symbol:string,x:double,y:double,z:double>>, kpoints array<array<double>>,"
        " bands struct<abscissa:array<double>,stripes:array<array<double>>>, k string, warns array<string>, error string")
 BOHR = 0.5291772083
+_KNOWN = frozenset(SYMBOLS)
 
 
 _NUMBER, _COORDINATE = re.compile(r"-?\d+\.?\d*(?:[eEdD][+-]?\d+)?"), re.compile(r"-?\d*\.\d{4}")
@@ -89,10 +92,53 @@ _PROGRAM, _ENERGY, _XC = re.compile(r"     Program PWSCF\s*(?:v\.)?\s*(.*?) star
 _WALL = re.compile(r"PWSCF\s+:.*CPU(?:\s+time)?,?\s*(.*?)\s*(?:WALL|wall)")
 
 
+#: Three plain numbers and no more of them; a line of plain numbers.
+_THREE = re.compile(r"[\s(]*(-?\d+\.?\d*)\s+(-?\d+\.?\d*)\s+(-?\d+\.?\d*)(?![\d.eEdD])[^\d]*\Z", re.ASCII)
+_PLAIN = re.compile(r"[ \d.+-]+\Z", re.ASCII)
+
+
 def _numbers(line: str) -> list[float]:
     return [float(x) for x in _NUMBER.findall(line)]
 
 
+def _three(text: str) -> list[float]:
+    """The first three numbers of a text, or as many as it has."""
+    if m := _THREE.match(text):
+        return [float(m[1]), float(m[2]), float(m[3])]
+    return _numbers(text)[:3]
+
+
+def _times(rows: list[list[float]], k: float) -> list[list[float]]:
+    """Rows of three numbers times k; others as NumPy takes them, which may be an error."""
+    if any(len(r) != 3 for r in rows):
+        return (np.array(rows) * k).tolist()
+    return [[x * k, y * k, z * k] for x, y, z in rows]
+
+
+def _inverse(cell: list[list[float]]) -> list[list[float]]:
+    """Inverse of a cell by its cofactors; where that is not safe, NumPy's, with its errors."""
+    if [len(r) for r in cell] == [3, 3, 3]:
+        (a, b, c), (d, e, f), (g, h, i) = cell
+        p, q, r = e * i - f * h, f * g - d * i, d * h - e * g
+        det = a * p + b * q + c * r
+        if abs(det) > 1e-6 * (abs(a) + abs(b) + abs(c)) * (abs(d) + abs(e) + abs(f)) * (abs(g) + abs(h) + abs(i)):
+            return [[p / det, (c * h - b * i) / det, (b * f - c * e) / det], [q / det, (a * i - c * g) / det, (c * d - a * f) / det], [r / det, (b * g - a * h) / det, (a * e - b * d) / det]]
+    return np.linalg.inv(np.array(cell)).tolist()
+
+
+def _walk(points: list[list[float]], cell: list[list[float]]) -> list[float]:
+    """Places of k-points along their path."""
+    (a, b, c), (d, e, f), (g, h, i) = _inverse(cell)
+    out, so_far, u, v, w = [], 0.0, 0.0, 0.0, 0.0
+    for x, y, z in points:
+        r, s, t = x * a + y * b + z * c, x * d + y * e + z * f, x * g + y * h + z * i
+        u, v, w = r + u, s + v, t + w
+        so_far += math.sqrt(u * u + v * v + w * w)
+        out.append(so_far)
+        u, v, w = r, s, t
+    return out
+
+
 class LogReader:
     """What a plane-wave log says, line by line: only the structure of now and the last set of eigenvalues are kept."""
 
@@ -111,20 +157,24 @@ class LogReader:
                     self.close()
                 return
             self.close()
-        if not line:  # says nothing but in a set of eigenvalues
-            if self.sets and not self.sets["done"]:
-                self.eigenvalues(self.sets, line)
+        if not line:  # says nothing but in a set of eigenvalues, of which it ends a row
+            if (now := self.sets) and not now["done"] and now["values"] and now["values"][-1]:
+                now["open"] = False
             return
         if line.startswith("     "):
-            if m := line.startswith("     Program PWSCF") and _PROGRAM.match(line):
-                self.row["version"] = self.row["version"] or m[1].strip()
-            elif m := line.startswith("     Exchange-correlation") and _XC.match(line):
-                self.row["xc"] = self.row["xc"] or m[1].strip()
-            elif line.startswith("     celldm") and not self.scaled:
-                self.scaled, self.alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
-            elif line.startswith("     crystal axes:"):
-                self.open("axes", 3)
-            elif line.startswith("     site n.") and not self.names:
+            sign = line[5:6]
+            if sign == "P":
+                if m := line.startswith("     Program PWSCF") and _PROGRAM.match(line):
+                    self.row["version"] = self.row["version"] or m[1].strip()
+            elif sign == "E":
+                if m := line.startswith("     Exchange-correlation") and _XC.match(line):
+                    self.row["xc"] = self.row["xc"] or m[1].strip()
+            elif sign == "c":
+                if line.startswith("     celldm") and not self.scaled:
+                    self.scaled, self.alat = True, float(line.split("=", 1)[1].split()[0]) * BOHR or 1.0
+                elif line.startswith("     crystal axes:"):
+                    self.open("axes", 3)
+            elif sign == "s" and line.startswith("     site n.") and not self.names:
                 self.open("sites", None)
         elif m := line[0] == "!" and _ENERGY.match(line):
             self.row["energy"] = float(m[1]) * RYDBERG_EV
@@ -134,7 +184,8 @@ class LogReader:
             self.open("positions", len(self.names), line)
         if m := "PWSCF" in line and _WALL.search(line):
             self.row["wall"] = m[1].replace(" ", "")
-        self.row["ended"] |= "This run was terminated on" in line
+        if "This run was terminated on" in line:
+            self.row["ended"] = True
         if "End of " in line and ("End of self-consistent calculation" in line or "End of band structure calculation" in line):
             self.sets = {"points": [], "values": [], "level": None, "failed": False, "spin": False, "open": False, "done": False}
         elif self.sets and not self.sets["done"]:
@@ -150,23 +201,30 @@ class LogReader:
         rows, self.block = self.block, None
         scale = self.alat if "alat" in self.head else BOHR if "bohr" in self.head else 1.0
         if self.kind == "axes":
-            self.cell = np.array([_numbers(x.split("=", 1)[1])[:3] for x in rows]) * self.alat
+            self.cell = _times([_three(x.split("=", 1)[1]) for x in rows], self.alat)
         elif self.kind == "sites":
-            names = [x.split()[1].strip("0123456789").split("_")[0] for x in rows]
-            self.names = [x if x in SYMBOLS or len(x) == 1 else x[:-1] for x in names]
-            self.place = np.array([_numbers(x.rsplit("(", 1)[1])[:3] for x in rows]) * self.alat
+            names = [x.split(None, 2)[1].strip("0123456789").split("_")[0] for x in rows]
+            self.names = [x if x in _KNOWN or len(x) == 1 else x[:-1] for x in names]
+            self.place = _times([_three(x.rsplit("(", 1)[1]) for x in rows], self.alat)
         elif self.kind == "cell" and len(rows) == 3:
-            fractions = self.place @ np.linalg.inv(self.cell)
-            self.cell = np.array([_numbers(x)[:3] for x in rows]) * (BOHR if "bohr" in self.head else self.alat if "alat" in self.head else 1.0)
-            self.place = fractions @ self.cell
+            fractions = np.array(self.place) @ np.linalg.inv(np.array(self.cell))
+            self.cell = _times([_three(x) for x in rows], BOHR if "bohr" in self.head else self.alat if "alat" in self.head else 1.0)
+            self.place = (fractions @ np.array(self.cell)).tolist()
         elif self.kind == "positions":
-            at = np.array([[float(v) for v in x.split()[1:4]] for x in rows])
-            self.place = at * scale if scale != 1.0 or "alat" in self.head else at if "angstrom" in self.head else at @ self.cell
+            at = [[float(v) for v in x.split()[1:4]] for x in rows]
+            self.place = _times(at, scale) if scale != 1.0 or "alat" in self.head else _times(at, 1.0) if "angstrom" in self.head else (np.array(at) @ np.array(self.cell)).tolist()
 
     @staticmethod
     def eigenvalues(now: dict, line: str) -> None:
         """One line after the end of a calculation: k-points and their values, up to the level that they count from."""
-        if "    k =" in line:
+        if now["open"] and _PLAIN.match(line):  # holds no word that is looked for
+            try:
+                now["values"][-1] += [float(x) for x in line.split()]
+            except ValueError:
+                now["failed"] = now["done"] = True
+            if line.isspace() and now["values"][-1]:
+                now["open"] = False
+        elif "    k =" in line:
             now["points"].append([float(x) for x in _COORDINATE.findall(line.split("k =")[1])[:3]])
             now["values"].append([])
             now["open"] = True
@@ -198,9 +256,8 @@ class LogReader:
         elif now["failed"] or len({len(v) for v in now["values"]}) > 1:
             out["warns"].append("The band data are incorrect.")
         else:
-            at = np.array(now["points"]) @ np.linalg.inv(self.cell).T
-            before = np.vstack([np.zeros(3), at[:-1]])
-            out["bands"] = {"abscissa": np.cumsum(np.linalg.norm(at + before, axis=1)).tolist(), "stripes": (np.array(now["values"]).T - now["level"]).tolist()}
+            level = now["level"]
+            out["bands"] = {"abscissa": _walk(now["points"], self.cell), "stripes": [[v - level for v in band] for band in zip(*now["values"], strict=True)]}
         return out
 
     def result(self, path: str) -> dict:
@@ -210,18 +267,19 @@ class LogReader:
         said = self.row
         row = {"path": path, "version": said["version"], "energy": said["energy"], "xc": said["xc"], "wall": said["wall"], "finished": 2 if said["wall"] is not None or said["ended"] else 1, "spin": False, "warns": [], "error": None if said["version"] is not None else "no version found"}
         if self.place is not None and self.cell is not None:
-            row |= {"cell": self.cell.tolist(), "atoms": [dict(zip(("symbol", "x", "y", "z"), (n, *map(float, p)), strict=True)) for n, p in zip(self.names, self.place, strict=True)]}
+            row |= {"cell": self.cell, "atoms": [{"symbol": n, "x": x, "y": y, "z": z} for n, (x, y, z) in zip(self.names, self.place, strict=True)]}
             row |= self.bands()
         return row
 
 
-def _read(path: str, lines: Iterable[str]) -> dict:
-    """A log as a row of LOG; one that can't be read is a row with an error. All lines are used up."""
+def _read(path: str, stretches: Iterable[list[str | None]]) -> dict:
+    """A log, as lists of lines, as a row of LOG; one that can't be read is a row with an error. All lists are used up."""
     reader, error = LogReader(), None
-    for line in lines:
+    for lines in stretches:
         if error is None:
             try:
-                reader.feed(line)
+                for line in lines:
+                    reader.feed(line or "")
             except Exception as e:  # a bad log is a result
                 error = e
     try:
@@ -234,7 +292,7 @@ def _read(path: str, lines: Iterable[str]) -> dict:
 
 def parse_log(path: str, text: str) -> dict:
     """One plane-wave log as a row of LOG: what its last step says."""
-    return _read(path, text.split("\n"))
+    return _read(path, [text.split("\n")])
 
 
 def parse_runs(files: DataFrame) -> DataFrame:
@@ -262,33 +320,38 @@ def _stretches(batches: Iterable[pa.RecordBatch]):
     """(path, lines) of the lines of a batch that follow one another in one file: each path is read once, not with every line."""
     for b in batches:
         runs = pc.run_end_encode(b.column(0))
-        lines, start = b.column(1).to_pylist(), 0
+        lines, start = b.column(1).to_numpy(zero_copy_only=False).tolist(), 0  # quicker than to_pylist
         for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
             yield path, lines[start:end]
             start = end
 
 
+def _rows(batches: Iterable[pa.RecordBatch], kinds: pa.Schema):
+    """Rows of LOG of logs whose lines follow one another."""
+    batch = lambda done: pa.RecordBatch.from_arrays([pa.array([r.get(k.name) for r in done], k.type) for k in kinds], schema=kinds)
+    done = []
+    for path, own in groupby(_stretches(batches), key=itemgetter(0)):
+        done.append(_read(path, (lines for _, lines in own)))
+        if len(done) == 64:
+            yield batch(done)
+            done = []
+    if done:
+        yield batch(done)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Run rows, as parse_runs gives them, of logs that come as lines (path, start, n, line): no log has to fit a row or a task's memory.
 
     Lines are dealt by file and sorted; a task reads them one by one and keeps only what the log
     says so far. Null lines are empty; lines without a path belong to no log.
     """
-    names = StructType.fromDDL(LOG).names
+    kinds = to_arrow_schema(StructType.fromDDL(LOG))
 
     def run(batches):
-        done = []
-        for path, own in groupby(_stretches(batches), key=lambda r: r[0]):
-            said = _read(path, (line or "" for _, lines in own for line in lines))
-            done.append({n: said.get(n) for n in names})
-            if len(done) == 64:
-                yield pa.RecordBatch.from_pylist(done, schema=kinds)
-                done = []
-        if done:
-            yield pa.RecordBatch.from_pylist(done, schema=kinds)
+        return _rows(batches, kinds)
 
-    kinds = to_arrow_schema(StructType.fromDDL(LOG))
-    dealt = lines.where("path is not null").repartition("path").sortWithinPartitions("path", "start", "n")
+    # a number tells most files apart before their paths are compared, which often begin alike
+    dealt = lines.where("path is not null").withColumn("h", F.xxhash64("path")).repartition("path").sortWithinPartitions("h", "path", "start", "n")
     return _with_labels(dealt.select("path", "line").mapInArrow(run, LOG))
 
 
