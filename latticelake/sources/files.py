@@ -110,9 +110,10 @@ def _three(text: str) -> list[float]:
 
 def _times(rows: list[list[float]], k: float) -> list[list[float]]:
     """Rows of three numbers times k; others as NumPy takes them, which may be an error."""
-    if any(len(r) != 3 for r in rows):
+    try:
+        return [[x * k, y * k, z * k] for x, y, z in rows]
+    except ValueError:
         return (np.array(rows) * k).tolist()
-    return [[x * k, y * k, z * k] for x, y, z in rows]
 
 
 def _inverse(cell: list[list[float]]) -> list[list[float]]:
@@ -149,6 +150,20 @@ class LogReader:
         self.kind, self.most = "", None
         self.sets = None
 
+    def feed_all(self, lines: list[str | None]) -> None:
+        """feed() of each line; what most lines are is told here: lines of a block, empty ones and rows of eigenvalues."""
+        for line in lines:
+            if (block := self.block) is not None:
+                if line and not line.isspace() and len(block) != self.most:
+                    block.append(line)
+                    if len(block) == self.most:
+                        self.close()
+                    continue
+            elif line and (now := self.sets) and now["open"] and not now["done"] and _PLAIN.match(line):
+                self.eigenvalues(now, line)
+                continue
+            self.feed(line or "")
+
     def feed(self, line: str) -> None:
         if self.block is not None:
             if (line.strip() or self.most is not None and self.kind != "cell") and len(self.block) != self.most:
@@ -278,8 +293,7 @@ def _read(path: str, stretches: Iterable[list[str | None]]) -> dict:
     for lines in stretches:
         if error is None:
             try:
-                for line in lines:
-                    reader.feed(line or "")
+                reader.feed_all(lines)
             except Exception as e:  # a bad log is a result
                 error = e
     try:
